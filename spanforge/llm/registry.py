@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import piece_codec, sharding
 
 QUERIES = {
+    "op2_sentencepiece": piece_codec.op2_sentencepiece,
     "op7_sharding": sharding.op7_sharding,
 }
 ORACLES: dict[str, str] = {}
