@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import piece_codec, sharding
+from . import decontaminate, piece_codec, sharding, topk
 
 QUERIES = {
     "op2_sentencepiece": piece_codec.op2_sentencepiece,
+    "op5_topk": topk.op5_topk,
     "op7_sharding": sharding.op7_sharding,
+    "op9_decontamination": decontaminate.op9_decontamination,
+}
+ORACLES = {
+    "op5_topk": topk.OP5_SQL,
+    "op9_decontamination": decontaminate.OP9_SQL,
 }
-ORACLES: dict[str, str] = {}
