@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, piece_codec, sharding, topk
+from . import decontaminate, near_dedup, piece_codec, sharding, topk
 
 QUERIES = {
     "op2_sentencepiece": piece_codec.op2_sentencepiece,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_topk": topk.op5_topk,
     "op7_sharding": sharding.op7_sharding,
     "op9_decontamination": decontaminate.op9_decontamination,
 }
 ORACLES = {
+    "op4_near_dedup": near_dedup.OP4_SQL,
     "op5_topk": topk.OP5_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
 }

@@ -144,8 +144,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, block:
     salts = max(1, partitions(spark))
     pairs = cands.withColumn("salt", (F.abs(F.xxhash64("c_ids")) % salts).cast("int")).join(queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["dim", "salt"])
     found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), (-F.col("col.s")).alias("score"))
+    # Ranks up to k only: Spark keeps k rows a query and task before the exchange.
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _far_apart(x: np.ndarray, n: int) -> np.ndarray:
