@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, piece_codec, sharding, topk
+from . import decontaminate, near_dedup, piece_codec, sharding, substring_dedup, topk
 
 QUERIES = {
     "op2_sentencepiece": piece_codec.op2_sentencepiece,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_topk": topk.op5_topk,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_sharding": sharding.op7_sharding,
     "op9_decontamination": decontaminate.op9_decontamination,
 }
