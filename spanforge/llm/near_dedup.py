@@ -156,9 +156,11 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
         active = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct(F.col("own") / F.col("n"), "degree", "v", "label", "n", "own")).alias("rep")).where("lo != hi")
         now = members.join(active.select("key", "rep"), "key")
         if turn == 2 * stars:
-            left, right = materialize(now.drop("rep"), "members"), None
-            right = left.select("key", F.col("v").alias("b"), F.col("n").alias("m"), F.col("own").alias("mown"), F.col("label").alias("other"))
-            pairs = left.join(right, "key").where("v < b and label != other").where(f"{den} * least(own, mown) >= {num} * (n + m - least(own, mown))").select(F.col("v").alias("a"), "b").distinct()
+            # A pair meets in the first key that both have, so it is made once however many buckets they share.
+            left = materialize(now.drop("rep").join(vertices.select("v", "keys"), "v"), "members")
+            right = left.select("key", F.col("v").alias("b"), F.col("n").alias("m"), F.col("own").alias("mown"), F.col("label").alias("other"), F.col("keys").alias("keys_b"))
+            met = left.join(right, "key").where("v < b and label != other").where(f"{den} * least(own, mown) >= {num} * (n + m - least(own, mown))")
+            pairs = met.where("key = array_min(array_intersect(keys, keys_b))").select(F.col("v").alias("a"), "b")
         else:
             members = materialize(now.where("v != rep.v"), "members")
             if members.limit(1).count() == 0:
