@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, piece_codec, sharding, substring_dedup, topk
+from . import decontaminate, near_dedup, piece_codec, quality, sharding, substring_dedup, topk, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_sentencepiece": piece_codec.op2_sentencepiece,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_topk": topk.op5_topk,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_sharding": sharding.op7_sharding,
     "op9_decontamination": decontaminate.op9_decontamination,
+    "op10_quality": quality.op10_quality,
 }
 ORACLES = {
     "op4_near_dedup": near_dedup.OP4_SQL,
