@@ -12,9 +12,10 @@ bytes, so suffixes are held by equality classes instead of lexicographic ranks:
 1. dictionary prefixes: windows of a trigger share the bytes after it, so a trigger whose next
    ``length - reach + 1`` bytes are unique ends here (nearly all of an unrepetitive corpus);
 2. dictionary phrases: a phrase that occurs twice repeats all its windows;
-3. phrase suffixes: only where several different phrases share the bytes after their trigger (the ends of
-   repeated passages) is each suffix of ``length`` bytes given its 128-bit class, once for each distinct phrase,
-   weighted by the phrase's count.
+3. where several different phrases share the bytes after their trigger (the ends of repeated passages), the same
+   two steps follow for bands of ``BAND`` suffixes each, once for each distinct phrase, weighted by its count:
+   bytes that all suffixes of a band share, then the band's whole;
+4. phrase suffixes: in bands that are still open each suffix of ``length`` bytes gets its 128-bit class.
 
 Exchanges carry fixed-size rows aggregated before the shuffle; a passage that a third of all texts hold is one row
 of the dictionary a task.  Texts are only joined with their own few spans.  Classes are 128 bits wide, from
@@ -37,6 +38,7 @@ from .common import RollingHash, batch_chunks, discard, gather_spans, materializ
 
 LENGTH = 200
 GRAM = 8
+BAND = 20
 _ONE, _TWO = RollingHash(101), RollingHash(202)
 _GRAM_MIX = np.uint64(0x9E3779B97F4A7C15)
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -100,23 +102,53 @@ def _parse(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("doc_id", "hash", "text").mapInArrow(run, "doc_id long, hash long, place long, follow long, phrase long")
 
 
+def _opened(batch: pa.RecordBatch):
+    """Chunks of texts with the phrases listed with them: (rows, bytes, offsets, row, trigger, first window, windows, weight)."""
+    lists = batch.column(3)
+    for a, b, data, offsets in batch_chunks(batch):
+        part = lists.slice(a, b - a)
+        flat = part.flatten()
+        place, weight = np.asarray(flat.field(0)), np.asarray(flat.field(1))
+        row = np.repeat(np.arange(b - a), np.asarray(part.value_lengths().fill_null(0)))
+        at = offsets[row] + (place >> 16)
+        yield batch.slice(a, b - a), data, offsets, row, at, at - (place >> 8 & 255), (place & 255) + 1, weight
+
+
+def _bands(texts: DataFrame, length: int, band: int) -> DataFrame:
+    """The listed phrases again, cut into bands of windows at multiples of ``band`` from their trigger."""
+
+    def run(batches):
+        for batch in batches:
+            for own, data, offsets, row, at, lo, count, weight in _opened(batch):
+                far, near = (at - lo) // band, (at - (lo + count - 1)) // band  # a window's distance is at - window
+                per = far - near + 1
+                source = np.repeat(np.arange(len(row)), per)
+                number = gather_spans(near, per)
+                t, rows = at[source], row[source]
+                first = np.maximum(lo[source], t - (number + 1) * band + 1)
+                last = np.minimum(lo[source] + count[source] - 1, t - number * band)
+                one = _ONE.prefix(data)
+                core = mix64(_ONE.spans(one, t - number * band, t - (number + 1) * band + 1 + length) + number.astype(np.uint64))
+                phrase = mix64(_ONE.spans(one, first, last + length) ^ ((t - first) * 512 + last - first).astype(np.uint64))
+                place = (t - offsets[rows]) << 16 | (t - first) << 8 | (last - first)
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0).take(take), own.column(1).take(take), pa.array(place), pa.array(signed(core)), pa.array(signed(phrase)), pa.array(weight[source])],
+                    ["doc_id", "hash", "place", "follow", "phrase", "weight"],
+                )
+
+    return texts.select("doc_id", "hash", "text", "phrases").mapInArrow(run, "doc_id long, hash long, place long, follow long, phrase long, weight long")
+
+
 def _suffixes(texts: DataFrame, length: int) -> DataFrame:
     """Class and weight of each window of the phrases listed with each text."""
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(3)
-            for a, b, data, offsets in batch_chunks(batch):
-                part = lists.slice(a, b - a)
-                flat = part.flatten()
-                place, weight = np.asarray(flat.field(0)), np.asarray(flat.field(1))
-                row = np.repeat(np.arange(b - a), np.asarray(part.value_lengths().fill_null(0)))
-                at = offsets[row] + (place >> 16)
-                lo, count = at - (place >> 8 & 255), (place & 255) + 1
+            for own, data, offsets, row, _, lo, count, weight in _opened(batch):
                 start = gather_spans(lo, count)
                 rows = np.repeat(row, count)
                 c1, c2 = (signed(h.spans(h.prefix(data), start, start + length)) for h in (_ONE, _TWO))
-                own = batch.slice(a, b - a)
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
                     [own.column(0).take(take), own.column(1).take(take), pa.array((start - offsets[rows]).astype(np.int32)), pa.array(c1), pa.array(c2), pa.array(np.repeat(weight, count))],
@@ -126,25 +158,37 @@ def _suffixes(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("doc_id", "hash", "text", "phrases").mapInArrow(run, "doc_id long, hash long, start int, c1 long, c2 long, weight long")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, hash, spans): the repeated byte spans of each text that has any, not yet merged."""
-    parse = materialize(_parse(docs, length), "parse")
-    shared = parse.groupBy("follow").agg(F.count(F.lit(1)).alias("n"), F.min("phrase").alias("lo"), F.max("phrase").alias("hi")).where("n > 1")
-    alive = materialize(parse.join(shared.select("follow", (F.col("lo") != F.col("hi")).alias("several")), "follow"), "parse-shared")
+def _refine(parse: DataFrame, length: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """(spans of phrases that occur again, phrases still open by text) of a level of the parse; deletes ``parse``.
+
+    Rows of weight over 1 stand for phrases whose places are known to be repeated already.
+    """
+    shared = parse.groupBy("follow").agg(F.sum("weight").alias("n"), F.min("phrase").alias("lo"), F.max("phrase").alias("hi")).where("n > 1")
+    alive = materialize(parse.join(shared.select("follow", (F.col("lo") != F.col("hi")).alias("several")), "follow"), f"{name}-shared")
     discard(parse)
-    several = alive.where("several")
-    key = ["follow", "phrase"]
-    dictionary = several.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "hash", "place")).alias("first"))
-    dictionary = materialize(dictionary, "dictionary")
-    twice = alive.where("not several").select("doc_id", "hash", "place").union(several.join(dictionary.where("n > 1").select(*key), key, "left_semi").select("doc_id", "hash", "place"))
-    trigger, left, more = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
-    start = (trigger - left).cast("int")
-    whole = twice.select("doc_id", "hash", F.struct(start.alias("start"), (start + more + length).cast("int").alias("end")).alias("span"))
+    several, key = alive.where("several"), ["follow", "phrase"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "hash", "place")).alias("first")
+    dictionary = materialize(several.groupBy(*key).agg(F.sum("weight").alias("n"), first), f"{name}-dictionary")
+    again = several.join(dictionary.where("n > 1").select(*key), key, "left_semi")
+    spot = alive.where("not several").unionByName(again.select(alive.columns)).where("weight = 1")
+    start = (F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(255)).cast("int")
+    span = F.struct(start.alias("start"), (start + F.col("place").bitwiseAND(255) + length).cast("int").alias("end"))
     listed = dictionary.select("first.doc_id", "first.hash", F.struct("first.place", "n").alias("phrase")).groupBy("doc_id", "hash").agg(F.collect_list("phrase").alias("phrases"))
-    suffixes = materialize(_suffixes(_with_texts(docs, listed).dropDuplicates(["doc_id", "hash"]), length), "suffixes")
+    return spot.select("doc_id", "hash", span.alias("span")), listed
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, band: int = BAND) -> DataFrame:
+    """(doc_id, hash, spans): the repeated byte spans of each text that has any, not yet merged."""
+    band = max(1, min(band, reach_of(length)))
+    parse = materialize(_parse(docs, length).withColumn("weight", F.lit(1).cast("long")), "parse")
+    whole, listed = _refine(parse, length, "parse")
+    texts = materialize(_with_texts(docs, listed).dropDuplicates(["doc_id", "hash"]), "open-texts")
+    bands = materialize(_bands(texts, length, band), "bands")
+    banded, open_ = _refine(bands, length, "bands")
+    suffixes = materialize(_suffixes(_with_texts(texts.drop("phrases"), open_), length), "suffixes")
     again = suffixes.groupBy("c1", "c2").agg(F.sum("weight").alias("n")).where("n > 1").select("c1", "c2")
     part = suffixes.where("weight = 1").join(again, ["c1", "c2"]).select("doc_id", "hash", F.struct("start", (F.col("start") + length).alias("end")).alias("span"))
-    return whole.union(part).groupBy("doc_id", "hash").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    return whole.union(banded).union(part).groupBy("doc_id", "hash").agg(F.array_sort(F.collect_set("span")).alias("spans"))
 
 
 def _with_texts(docs: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
