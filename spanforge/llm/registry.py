@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, piece_codec, quality, sharding, substring_dedup, topk, toxicity
+from . import decontaminate, html_extract, near_dedup, piece_codec, quality, sharding, substring_dedup, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_topk": topk.op5_topk,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_sharding": sharding.op7_sharding,
+    "op8_html_extraction": html_extract.op8_html_extraction,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_quality": quality.op10_quality,
 }
