@@ -121,19 +121,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     joined = pairs.join(sets.select(F.col("v").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("v").alias("a"), F.col("set").alias("set_a")), "a")
-
-    def run(batches):
-        for batch in batches:
-            x, y = batch.column(4), batch.column(5)
-            ok = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                p, q = x[i].values.to_numpy(), y[i].values.to_numpy()
-                inter = len(p) + len(q) - len(np.union1d(p, q))
-                ok[i] = den * inter >= num * (len(p) + len(q) - inter)
-            yield batch.select([0, 1, 2, 3]).filter(pa.array(ok))
-
-    flat = joined.select("a.h1", "a.h2", F.col("b.h1").alias("g1"), F.col("b.h2").alias("g2"), "set_a", "set_b")
-    return flat.mapInArrow(run, "h1 long, h2 long, g1 long, g2 long").select(F.struct("h1", "h2").alias("a"), F.struct(F.col("g1").alias("h1"), F.col("g2").alias("h2")).alias("b"))
+    inter = F.size(F.array_intersect("set_a", "set_b"))
+    return joined.where(den * inter >= num * (F.size("set_a") + F.size("set_b") - inter)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, bands: int = BANDS, rows: int = ROWS, stars: int = STARS) -> DataFrame:
