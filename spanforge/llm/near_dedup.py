@@ -126,7 +126,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, bands: int = BANDS, rows: int = ROWS, stars: int = STARS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; documents link at den * |A n B| >= num * |A u B|."""
+    """doc_id, n_shingles, component_id, kept, text_hash, first_hash (of the component's first row); documents link at den * |A n B| >= num * |A u B|."""
     docs = docs.select("doc_id", "text")
     sketched = materialize(_sketched(docs, k, bands, rows), "sketches").withColumn("v", F.struct("h1", "h2"))
     # min() over structs would take a null id first: rows with an id come before those without.
@@ -164,16 +164,22 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
                 members = _relabel(members, labels)
         if turn == stars - 1:
             members = _with_own(members, sets, num, den)
-    named = vertices.select("v", F.col("doc.id").alias("id"))
+    named = vertices.select("v", F.struct(F.col("doc.id").isNull().alias("no"), "doc").alias("f"))
     if labels is not None:
-        named = named.join(labels, "v", "left").select("v", "id", F.coalesce("label", "v").alias("label"))
-        least_id = named.groupBy("label").agg(F.min("id").alias("component_id"))
-        by_vertex = named.join(least_id, "label").select("v", "component_id")
-    else:
-        by_vertex = named.select("v", F.col("id").alias("component_id"))
-    full = sketched.where("n > 0").join(by_vertex, "v").select("doc_id", "n", "component_id")
-    lone = sketched.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return full.union(lone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        named = named.join(labels, "v", "left").select("v", "f", F.coalesce("label", "v").alias("label"))
+        named = named.join(named.groupBy("label").agg(F.min("f").alias("least")), "label").select("v", F.col("least").alias("f"))
+    full = sketched.where("n > 0").join(named, "v").select("doc_id", "text_hash", "n", F.col("f.doc.id").alias("component_id"), F.col("f.doc.hash").alias("first_hash"))
+    lone = sketched.where("n = 0").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id"), F.col("text_hash").alias("first_hash"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return full.union(lone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), "text_hash", "first_hash")
+
+
+def keep_first(docs: DataFrame, num: int = 80, den: int = 100, **options) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component its first row by id and text, once."""
+    found = near_duplicates(docs, num, den, **options)
+    first = found.where(F.col("kept") & F.col("text_hash").eqNullSafe(F.col("first_hash"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    hashed = docs.withColumn("_own", F.xxhash64("text")).dropDuplicates(["doc_id", "_own"])
+    return hashed.join(first, hashed.doc_id.eqNullSafe(first._id) & (hashed._own == first._hash), "left_semi").drop("_own")
 
 
 def _full_sets_without_id(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -205,7 +211,7 @@ def _with_own(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP4_SQL = r"""

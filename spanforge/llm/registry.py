@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, near_dedup, piece_codec, quality, sharding, substring_dedup, topk, toxicity
+from . import decontaminate, fuzzy_passages, html_extract, near_dedup, piece_codec, quality, sharding, substring_dedup, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_sentencepiece": piece_codec.op2_sentencepiece,
+    "op3_fuzzy_passages": fuzzy_passages.op3_fuzzy_passages,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_topk": topk.op5_topk,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,

@@ -206,8 +206,23 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """All rows of ``docs`` with ``removed`` (merged byte spans) and ``kept`` (the other bytes)."""
+def _back(text: bytes, at: int) -> int:
+    while at > 0 and text[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
+def _forth(text: bytes, at: int) -> int:
+    while at < len(text) and text[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def cut(docs: DataFrame, spans: DataFrame, whole_characters: bool = False) -> DataFrame:
+    """All rows of ``docs`` with ``removed`` (merged byte spans) and ``kept`` (the other bytes).
+
+    ``whole_characters``: spans grow to the bounds of the characters that they cut, so ``kept`` is UTF-8.
+    """
     joined = _with_texts(docs, spans, "left")
     names = joined.columns
     text_at, spans_at = names.index("text"), names.index("spans")
@@ -228,6 +243,8 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
                         kept.append(text)
                         continue
                     gone = merged(list(zip(row.field(0).to_pylist(), row.field(1).to_pylist())))
+                    if whole_characters:
+                        gone = merged([(_back(text, x), _forth(text, y)) for x, y in gone])
                     at, pieces = 0, []
                     for x, y in gone:
                         pieces.append(text[at:x])
@@ -242,10 +259,10 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool = False) -> DataFrame:
     """Columns of ``docs`` with removed (byte spans) and kept (remaining bytes, binary)."""
     taken = docs.drop("hash", "spans", "removed", "kept").withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return cut(taken, repeated_spans(taken.select("doc_id", "hash", "text"), length)).drop("hash")
+    return cut(taken, repeated_spans(taken.select("doc_id", "hash", "text"), length), whole_characters).drop("hash")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
