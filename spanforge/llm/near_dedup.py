@@ -133,7 +133,8 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).alias("doc")))
     vertices = materialize(sketched.where("n > 0").groupBy("v").agg(first.alias("f"), F.first("n").alias("n"), F.first("keys").alias("keys")).select("v", "f.doc", "n", "keys"), "vertices")
     banded = vertices.select("v", "n", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # A table of its own: a join with an aggregate in the same stage cannot split a hot key's rows.
+    shared = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "keys")
     members = materialize(banded.join(shared, "key"), "members")
     degree = members.groupBy("v").agg(F.sum("size").alias("degree"))
     members = materialize(members.join(degree, "v").withColumn("label", F.col("v")).withColumn("own", F.col("n")), "members")

@@ -164,7 +164,9 @@ def _refine(parse: DataFrame, length: int, name: str) -> tuple[DataFrame, DataFr
     Rows of weight over 1 stand for phrases whose places are known to be repeated already.
     """
     shared = parse.groupBy("follow").agg(F.sum("weight").alias("n"), F.min("phrase").alias("lo"), F.max("phrase").alias("hi")).where("n > 1")
-    alive = materialize(parse.join(shared.select("follow", (F.col("lo") != F.col("hi")).alias("several")), "follow"), f"{name}-shared")
+    # A table of its own: a join with an aggregate in the same stage cannot split a hot key's rows.
+    shared = materialize(shared.select("follow", (F.col("lo") != F.col("hi")).alias("several")), f"{name}-follow")
+    alive = materialize(parse.join(shared, "follow"), f"{name}-shared")
     discard(parse)
     several, key = alive.where("several"), ["follow", "phrase"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "hash", "place")).alias("first")
