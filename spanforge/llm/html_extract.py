@@ -52,6 +52,8 @@ BOILERPLATE_WORDS = re.compile(
 CONTAINERS = {"article", "body", "center", "div", "main", "section", "td"}
 BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form"}
 LEAST_PAGES = 3
+#: Parts of a host's pages in the join with its template.
+SALTS = 64
 
 
 def nodes(page: str):
@@ -206,7 +208,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
     hosted = pages.select("page_id", "url", "html", host.alias("host"))
-    joined = hosted.join(templates(hosted), "host", "left").select("page_id", "url", "html", "slot", "constants")
+    # One template row for each host and salt, so the pages of a large host spread over many tasks.
+    salted = templates(hosted).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = hosted.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.lit(SALTS)).cast("int"))
+    joined = spread.join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "slot", "constants")
 
     def run(batches):
         for batch in batches:
