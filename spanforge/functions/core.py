@@ -41,7 +41,7 @@ def nanos(raw: Column) -> Column:
     whole = F.when(raw.rlike(r"^[0-9]{1,38}$"), raw.try_cast("decimal(38,0)"))
     real = F.when(raw.rlike(r"^[0-9]*\.?[0-9]+(?:[eE][+-]?[0-9]+)?$"), F.least(raw.try_cast("double"), F.lit(float(MAX_U64))))
     limit = F.lit(MAX_U64).cast("decimal(38,0)")
-    return F.coalesce(F.when(whole <= limit, whole), F.least(F.floor(real).cast("decimal(38,0)"), limit), F.lit(0).cast("decimal(38,0)")).cast("decimal(20,0)")
+    return F.coalesce(F.when(whole <= limit, whole), F.when(real.isNotNull(), F.least(F.floor(real.cast("decimal(38,6)")).cast("decimal(38,0)"), limit)), F.lit(0).cast("decimal(38,0)")).cast("decimal(20,0)")
 
 
 def duration_ns(start: Column, end: Column) -> Column:

@@ -278,7 +278,12 @@ def metric_value(metric: Column) -> Column:
 def metric_points(bodies: DataFrame) -> DataFrame:
     """One row a data point."""
     x = _exploded(_parsed(bodies, "metrics"), "resourceMetrics", "scopeMetrics", "metrics").where("x IS NOT NULL")
-    points = F.flatten(F.array(*(F.coalesce(F.transform(F.col(f"x.{k}.dataPoints"), lambda p, k=k: F.struct(F.lit(k).alias("kind"), point_value(p).alias("value"), p["attributes"].alias("attributes"))), F.array()) for k in KINDS)))
+
+    def of(kind: str) -> Column:
+        shaped = F.transform(F.col(f"x.{kind}.dataPoints"), lambda p: F.struct(F.lit(kind).alias("kind"), point_value(p).alias("value"), p["attributes"].alias("attributes")))
+        return F.coalesce(shaped, F.array())
+
+    points = F.flatten(F.array(*map(of, KINDS)))
     y = x.select("entry_id", "ord", "observed_at", F.col("service_name").alias("entry_service_name"), _attrs("r.resource.attributes").alias("resource_attrs"), F.col("x.name").alias("metric_name"), F.posexplode(points).alias("point_idx", "pt"))
     return y.select("entry_id", "ord", "observed_at", "entry_service_name", "resource_attrs", "metric_name", "pt.kind", "point_idx", "pt.value", F.col("pt.attributes").alias("attrs"))
 
