@@ -7,6 +7,7 @@ temporaries of one task stay small however long the texts are; one text is never
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -14,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+BATCH_ROWS = 1000
 MIX_BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -34,6 +36,7 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder; survives the loss of any executor."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     was = spark.conf.get(_CLEANUP, None)
     try:
@@ -53,7 +56,42 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts hold ``BATCH_ROWS`` rows at most: what both sides buffer stays a few megabytes.
+
+    Plans read the setting when they run, so it is left in the session.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def lean(run):
+    """Wraps the function of a ``mapInArrow``: large arrays go back to the system when they are freed, and what
+    the allocators keep goes back at the end of the task, so idle Python workers hold little."""
+
+    def wrapped(batches):
+        _allocator(-3, 1 << 18)
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _allocator(None, 0)
+
+    return wrapped
+
+
+def _allocator(option: int | None, value: int) -> None:
+    """glibc's mallopt (-3: size from which blocks are mapped) or, without an option, malloc_trim."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.malloc_trim(0) if option is None else libc.mallopt(option, value)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_ALNUM, batch_chunks, read, words
+from .common import WORD_ALNUM, batch_chunks, lean, read, words
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -181,7 +181,7 @@ def _against(docs: DataFrame, automaton: SuffixAutomaton) -> DataFrame:
                     [*batch.schema.names, *(f.name for f in _OUT)],
                 )
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *_OUT]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *_OUT]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -242,7 +242,7 @@ def remove_hits(found: DataFrame, max_coverage: float = 0.5, max_span: int | Non
             columns[index["text"]] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return kept.mapInArrow(run, found.schema)
+    return kept.mapInArrow(lean(run), found.schema)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

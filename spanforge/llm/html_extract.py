@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_chunks, read
+from .common import batch_chunks, lean, read
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S | re.I
@@ -162,7 +162,7 @@ def _tokens(pages: DataFrame) -> DataFrame:
                 )
 
     taken = pages.select("host", F.xxhash64("page_id", "url", "html"), "html")
-    return taken.mapInArrow(run, "host string, path string, constant long, weight long, hits long, chars long")
+    return taken.mapInArrow(lean(run), "host string, path string, constant long, weight long, hits long, chars long")
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -220,7 +220,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 out = [main_text(p or "", s, set(c or ())) for p, s, c in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

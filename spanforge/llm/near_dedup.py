@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_WHITE, batch_chunks, list_array, materialize, mix64, random_table, read, shingle_hashes, signed, words
+from .common import WORD_WHITE, batch_chunks, lean, list_array, materialize, mix64, random_table, read, shingle_hashes, signed, words
 from .components import components
 
 BANDS, ROWS = 40, 5
@@ -97,7 +97,7 @@ def _sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 lists = list_array(keys[np.repeat(full, bands)], np.concatenate([[0], np.cumsum(full * bands)]))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).select(["doc_id", "text_hash"]).columns, pa.array(h1), pa.array(h2), pa.array(np.diff(at)), lists], ["doc_id", "text_hash", "h1", "h2", "n", "keys"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, h1 long, h2 long, n long, keys array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lean(run), "doc_id long, text_hash long, h1 long, h2 long, n long, keys array<long>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -114,7 +114,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 out = pa.RecordBatch.from_arrays([part.column(1), part.column(2), list_array(signed(sets), at)], ["h1", "h2", "set"])
                 yield out.filter(same)
 
-    found = joined.mapInArrow(run, "h1 long, h2 long, set array<long>")
+    found = joined.mapInArrow(lean(run), "h1 long, h2 long, set array<long>")
     return found.dropDuplicates(["h1", "h2"]).select(F.struct("h1", "h2").alias("v"), "set")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_WHITE, batch_chunks, gather_spans, read, words
+from .common import WORD_WHITE, batch_chunks, gather_spans, lean, read, words
 from .labelled import remainder, sample, texts
 
 PASSAGE = 64
@@ -167,7 +167,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str, chosen, limit: int =
                 yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
 
     found = texts(docs, sample(labels, column, chosen, limit)).select("doc_id", "y", "text")
-    table = found.mapInArrow(run, "doc_id long, y int, x binary").toArrow()
+    table = found.mapInArrow(lean(run), "doc_id long, y int, x binary").toArrow()
     if not table.num_rows:
         return None
     x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(-1, N_FEATURES)
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: AttentionMil | None, text: str = "text") -> Da
                 out = shared.value.score(*passages(data, offsets), b - a)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RollingHash, batch_chunks, discard, gather_spans, materialize, mix64, read, signed
+from .common import batch_chunks, discard, gather_spans, lean, materialize, mix64, read, RollingHash, signed
 
 LENGTH = 200
 GRAM = 8
@@ -99,7 +99,7 @@ def _parse(docs: DataFrame, length: int) -> DataFrame:
                 rows = pa.array(text)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(place), pa.array(signed(follow)), pa.array(signed(phrase))], ["doc_id", "hash", "place", "follow", "phrase"])
 
-    return docs.select("doc_id", "hash", "text").mapInArrow(run, "doc_id long, hash long, place long, follow long, phrase long")
+    return docs.select("doc_id", "hash", "text").mapInArrow(lean(run), "doc_id long, hash long, place long, follow long, phrase long")
 
 
 def _opened(batch: pa.RecordBatch):
@@ -137,7 +137,7 @@ def _bands(texts: DataFrame, length: int, band: int) -> DataFrame:
                     ["doc_id", "hash", "place", "follow", "phrase", "weight"],
                 )
 
-    return texts.select("doc_id", "hash", "text", "phrases").mapInArrow(run, "doc_id long, hash long, place long, follow long, phrase long, weight long")
+    return texts.select("doc_id", "hash", "text", "phrases").mapInArrow(lean(run), "doc_id long, hash long, place long, follow long, phrase long, weight long")
 
 
 def _suffixes(texts: DataFrame, length: int) -> DataFrame:
@@ -155,7 +155,7 @@ def _suffixes(texts: DataFrame, length: int) -> DataFrame:
                     ["doc_id", "hash", "start", "c1", "c2", "weight"],
                 )
 
-    return texts.select("doc_id", "hash", "text", "phrases").mapInArrow(run, "doc_id long, hash long, start int, c1 long, c2 long, weight long")
+    return texts.select("doc_id", "hash", "text", "phrases").mapInArrow(lean(run), "doc_id long, hash long, start int, c1 long, c2 long, weight long")
 
 
 def _refine(parse: DataFrame, length: int, name: str) -> tuple[DataFrame, DataFrame]:
@@ -258,7 +258,7 @@ def cut(docs: DataFrame, spans: DataFrame, whole_characters: bool = False) -> Da
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, spans_type), pa.array(kept, pa.binary())], schema.names)
 
     assert text_at >= 0
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool = False) -> DataFrame:

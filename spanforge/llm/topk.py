@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, read
+from .common import lean, partitions, read
 
 PIVOTS = 24
 BLOCK = 4096
@@ -89,7 +89,7 @@ def _pack(df: DataFrame, block: int, name: str, ordered: int) -> DataFrame:
                     x = np.asarray(rows.column(1).flatten()).astype(np.float64)
                     yield pa.RecordBatch.from_arrays([pa.array([int(d)], pa.int32()), pa.array([ids.tobytes()]), pa.array([x.tobytes()])], ["dim", f"{name}_ids", f"{name}_x"])
 
-    packed = df.mapInArrow(run, f"dim int, {name}_ids binary, {name}_x binary")
+    packed = df.mapInArrow(lean(run), f"dim int, {name}_ids binary, {name}_x binary")
     return packed
 
 
@@ -129,7 +129,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, block:
                     tau = np.where(np.abs(tau) < 2**52, tau, -np.inf)
                 yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([raw_ids]), pa.array([raw_x]), pa.array([tau.tobytes()])], ["dim", "q_ids", "q_x", "q_tau"])
 
-    queries = queries.mapInArrow(bounds, "dim int, q_ids binary, q_x binary, q_tau binary")
+    queries = queries.mapInArrow(lean(bounds), "dim int, q_ids binary, q_x binary, q_tau binary")
 
     def search(batches):
         _, centres = shared.value
@@ -143,7 +143,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, block:
     # Blocks meet in a join on the vectors' length and a salt: each row of a side holds a whole block.
     salts = max(1, partitions(spark))
     pairs = cands.withColumn("salt", (F.abs(F.xxhash64("c_ids")) % salts).cast("int")).join(queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["dim", "salt"])
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
+    found = pairs.mapInArrow(lean(search), "query_id long, vec_id long, score long")
     # Ranks up to k only: Spark keeps k rows a query and task before the exchange.
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

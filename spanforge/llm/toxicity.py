@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_ALNUM, LOWER, _WORDS, batch_chunks, mix64, read, signed, words
+from .common import _WORDS, LOWER, WORD_ALNUM, batch_chunks, lean, mix64, read, signed, words
 from .labelled import remainder, sample, texts
 
 EXAMPLES = 12_000
@@ -85,7 +85,7 @@ def choose_terms(examples: DataFrame) -> np.ndarray:
     n_all, n_pos = float(totals[0]), float(totals[1])
     if not 0 < n_pos < n_all:
         return np.zeros(0, np.uint64)
-    counted = examples.select("text", "y").mapInArrow(run, "term long, n long, n1 long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).where(F.col("n") >= LEAST_DOCS)
+    counted = examples.select("text", "y").mapInArrow(lean(run), "term long, n long, n1 long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).where(F.col("n") >= LEAST_DOCS)
     a, b = F.col("n1").cast("double"), (F.col("n") - F.col("n1")).cast("double")
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(F.lit(0.0))
     c, d, n = F.lit(n_pos) - a, F.lit(n_all - n_pos) - b, F.col("n")
@@ -108,7 +108,7 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int,
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some])), pa.array(np.concatenate([[total], counts[some]]))], ["term", "n"])
 
-    rows = dict(docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect())
+    rows = dict(docs.select("text").mapInArrow(lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect())
     return rows.pop(-1, 0), np.array([rows.get(i, 0) for i in range(len(vocabulary))], np.int64)
 
 
@@ -221,7 +221,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str, chosen, limit: int =
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(cuts), pa.array(term)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(weight))], ["doc_id", "y", "terms", "weights"])
 
-    rows = examples.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, terms array<long>, weights array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    rows = examples.select("doc_id", "y", "text").mapInArrow(lean(run), "doc_id long, y int, terms array<long>, weights array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
     ids, y = np.asarray(rows.column("doc_id")), np.asarray(rows.column("y")).astype(float)
     lists = rows.column("terms").combine_chunks()
     text = np.repeat(np.arange(len(ids)), np.asarray(lists.value_lengths()))
@@ -253,7 +253,7 @@ def score(docs: DataFrame, index: BlockMaxIndex | None) -> DataFrame:
                 kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(scores), pa.array(evidence, kind)], [*batch.schema.names, "score", "evidence"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("evidence", _EVIDENCE)]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("evidence", _EVIDENCE)]))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
