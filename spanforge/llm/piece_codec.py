@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHUNK_BYTES, batch_chunks, chunks, gather_spans, list_array, read
+from .common import CHUNK_BYTES, batch_chunks, chunks, gather_spans, lean, list_array, read
 
 SPACE = "▁"
 LONG_WORD = 4096
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -281,6 +281,14 @@ codecs.register_error("piece_bytes", _each_byte)
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def _encoder(model_path: str, shared) -> Encoder:
+    """A worker's encoder, with the words that it knows from earlier tasks."""
+    if model_path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[model_path] = Encoder(shared.value)
+    return _ENCODERS[model_path]
+
+
 def _put(batch: pa.RecordBatch, name: str, column: pa.Array, drop: tuple = ()) -> pa.RecordBatch:
     kept = [f for f in batch.schema.names if f != name and f not in drop]
     return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f)) for f in kept), column], [*kept, name])
@@ -293,17 +301,14 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
     shared = spark.sparkContext.broadcast(load_model(model_path))  # a vocabulary file: of fixed size
 
     def run(batches):
-        encoder = _ENCODERS.get(model_path)
-        if encoder is None:
-            _ENCODERS.clear()
-            encoder = _ENCODERS[model_path] = Encoder(shared.value)
+        encoder = _encoder(model_path, shared)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             for a, b, _, _ in batch_chunks(batch, text):
                 flat, at = encoder(column.slice(a, b - a).fill_null("").to_pylist())
                 yield _put(batch.slice(a, b - a), ids, list_array(flat, at))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -323,7 +328,26 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "ids", text: str = "d
                 out = decoder(np.asarray(part.flatten()).astype(np.int64), at)
                 yield _put(batch.slice(a, b - a), text, pa.array([x.decode() for x in out], pa.string()))
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(text, T.StringType())]))
+    return encoded.mapInArrow(lean(run), T.StructType([*encoded.schema.fields, T.StructField(text, T.StringType())]))
+
+
+def encode_decode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one pass over the batches: columns ``ids`` and ``decoded`` instead of ``text``."""
+    docs = docs.drop("ids", "decoded")
+    shared = docs.sparkSession.sparkContext.broadcast(load_model(model_path))
+
+    def run(batches):
+        encoder = _encoder(model_path, shared)
+        decoder = Decoder(shared.value)
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text))
+            for a, b, _, _ in batch_chunks(batch, text):
+                flat, at = encoder(column.slice(a, b - a).fill_null("").to_pylist())
+                out = _put(batch.slice(a, b - a), "ids", list_array(flat, at), (text,))
+                yield _put(out, "decoded", pa.array([x.decode() for x in decoder(flat.astype(np.int64), at)], pa.string()))
+
+    kept = [f for f in docs.schema.fields if f.name != text]
+    return docs.mapInArrow(lean(run), T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
 
 
 def default_model() -> str:
@@ -335,7 +359,7 @@ def default_model() -> str:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     path = model_path or default_model()
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    done = decode(encode(docs, path).drop("text"), path)
+    done = encode_decode(docs, path)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
