@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.core import wall_micros
@@ -92,11 +92,12 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = o.select("o_orderkey", wall_micros(F.col("o_orderdate")).alias("at"), "c_mktsegment", "o_orderpriority")
     no_attrs = F.array().cast(ATTRS)
 
-    def made(df: DataFrame, trace, span, parent, service, name, start_us, ms, status, attrs, rs: int) -> DataFrame:
+    def made(trace, span, parent, service, name, start_us, ms, status, attrs, rs: int, i) -> Column:
         start = nano(start_us)
-        return df.select(
+        ord_ = F.struct(F.floor(start_us / 1000).alias("ms"), trace.alias("seq"), F.lit(rs).alias("rs"), F.lit(0).alias("ss"), i.cast("int").alias("i"))
+        return F.struct(
             trace.alias("entry_id"),
-            F.struct(F.floor(start_us / 1000).alias("ms"), trace.alias("seq"), F.lit(rs).alias("rs"), F.lit(0).alias("ss"), F.lit(0).alias("i")).alias("ord"),
+            ord_.alias("ord"),
             F.timestamp_micros(start_us).alias("observed_at"),
             service.alias("entry_service_name"),
             service.alias("resource_service_name"),
@@ -105,14 +106,14 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
             parent.alias("parent_span_id"),
             name.alias("name"),
             start.alias("start_ns"),
-            (start + (ms * 1000000).cast("decimal(20,0)")).cast("decimal(20,0)").alias("end_ns"),
+            nano(start_us + ms * 1000).alias("end_ns"),
             status.alias("status_code"),
             no_attrs.alias("resource_attrs"),
             attrs.alias("attrs"),
         )
 
     key = F.col("o_orderkey")
-    roots = made(base, key, F.concat(F.lit("o"), key.cast("string")), F.lit(""), F.concat(F.lit("seg-"), "c_mktsegment"), F.concat(F.lit("order "), "o_orderpriority"), F.col("at"), F.lit(1000), F.lit(0), no_attrs, 0)
+    roots = base.select(made(key, F.concat(F.lit("o"), key.cast("string")), F.lit(""), F.concat(F.lit("seg-"), "c_mktsegment"), F.concat(F.lit("order "), "o_orderpriority"), F.col("at"), F.lit(1000), F.lit(0), no_attrs, 0, F.lit(0)).alias("s"))
     li = read("lineitem")
     numbered = li.withColumn("seq", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*sorted(li.columns))))
     lines = numbered.join(base.select("o_orderkey", "at"), F.col("l_orderkey") == key)
@@ -126,8 +127,8 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     peer = F.when(orphan, F.concat(F.lit("peer-"), (F.col("l_suppkey") % 3).cast("string")))
     system = F.when(F.col("l_linestatus") == "F", "postgresql").otherwise("mysql")
     child_attrs = text_attrs(db__statement=statement, db__system=system, peer__service=peer)
-    child = made(lines, key, F.concat(F.lit("l"), place), F.when(orphan, missing).otherwise(F.concat(F.lit("o"), key.cast("string"))), supplier, F.lit("query part"), at, quantity * 10, F.when(F.col("l_returnflag") == "R", 2).otherwise(0), child_attrs, 1)
-    deeper = made(lines.where("seq % 2 = 0"), key, F.concat(F.lit("g"), place), F.concat(F.lit("l"), place), F.when(F.col("l_tax") > 0.04, supplier).otherwise(F.lit("cache")), F.lit("lookup"), at + 1000, quantity, F.lit(0), no_attrs, 2)
-    # Places inside a trace: by kind, then by line.
-    seq = F.regexp_extract("span_id", "-([0-9]+)$", 1).try_cast("int")
-    return roots.union(child).union(deeper).withColumn("ord", F.col("ord").withField("i", F.coalesce(seq, F.lit(0))))
+    child = made(key, F.concat(F.lit("l"), place), F.when(orphan, missing).otherwise(F.concat(F.lit("o"), key.cast("string"))), supplier, F.lit("query part"), at, quantity * 10, F.when(F.col("l_returnflag") == "R", 2).otherwise(0), child_attrs, 1, F.col("seq"))
+    deeper = made(key, F.concat(F.lit("g"), place), F.concat(F.lit("l"), place), F.when(F.col("l_tax") > 0.04, supplier).otherwise(F.lit("cache")), F.lit("lookup"), at + 1000, quantity, F.lit(0), no_attrs, 2, F.col("seq"))
+    # A line gives its span and, every second one, another below it: one pass over the numbered lines for both.
+    below = lines.select(F.explode(F.array_compact(F.array(child, F.when(F.col("seq") % 2 == 0, deeper)))).alias("s"))
+    return roots.union(below).select("s.*")

@@ -200,7 +200,7 @@ def _flat(df: DataFrame) -> DataFrame:
 for _name, _options, _where in (
     ("t_search", {}, "true"),
     ("t_search_service", {"service": "supplier-3"}, "list_contains(string_split(services, ','), 'supplier-3')"),
-    ("t_search_min_duration", {"min_duration_ms": 1001}, "duration_ms >= 1001"),
+    ("t_search_min_duration", {"min_duration_ms": 1000, "service": "cache"}, "duration_ms >= 1000 AND list_contains(string_split(services, ','), 'cache')"),
     ("t_search_errors", {"only_errors": True}, "has_error"),
     ("t_search_attr", {"span_name": "QUERY", "attribute": ("db.system", "MYSQL")}, "trace_id IN (SELECT trace_id FROM spans WHERE name LIKE '%query%' AND system = 'mysql')"),
     ("t_search_attr_key", {"attribute": ("peer.service", None)}, "trace_id IN (SELECT trace_id FROM spans WHERE peer IS NOT NULL)"),
