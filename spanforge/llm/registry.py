@@ -19,5 +19,7 @@ QUERIES = {
 ORACLES = {
     "op4_near_dedup": near_dedup.OP4_SQL,
     "op5_topk": topk.OP5_SQL,
+    "op6_substring_dedup": substring_dedup.OP6_SQL,
+    "op7_sharding": sharding.OP7_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
 }

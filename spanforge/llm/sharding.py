@@ -60,3 +60,19 @@ def shard(docs: DataFrame, shards: int = 40, ranges: int | None = None) -> DataF
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
+
+
+OP7_SQL = """
+WITH bits AS (
+  SELECT list(crc ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END, i) AS crc FROM (SELECT unnest(range(256)) AS i))
+), d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), s AS (
+  SELECT r, doc_id, len(h) // 2 + 16 AS size,
+    xor(4294967295, list_reduce(list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8), CAST(4294967295 AS BIGINT))) AS text_crc32
+  FROM d, bits
+), p AS (
+  SELECT *, sum(size) OVER w - size AS before, sum(size) OVER () AS total, row_number() OVER w - 1 AS n FROM s WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)
+), q AS (SELECT *, least(39, ((2 * before + size) * 40) // (2 * total)) AS shard FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+  CAST(n - min(n) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM q
+"""

@@ -277,3 +277,19 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+OP6_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (SELECT r, unnest(range(0, len(h) // 2 - 199)) AS i, h FROM d WHERE len(h) >= 400
+), k AS (SELECT r, i, md5_number(substr(h, 2 * i + 1, 400)) AS k FROM w
+), again AS (SELECT k FROM k GROUP BY k HAVING count(*) > 1
+), hit AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM k WHERE k IN (SELECT k FROM again)
+), runs AS (SELECT r, i, sum(CASE WHEN gap IS NULL OR gap > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g FROM hit
+), spans AS (SELECT r, g, min(i) AS a, max(i) + 200 AS b FROM runs GROUP BY r, g
+), kept AS (
+  SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS p FROM spans
+), cut AS (SELECT d.r, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS k FROM kept JOIN d USING (r) GROUP BY d.r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
