@@ -113,9 +113,9 @@ def exemplars(metric_entries: DataFrame, spans: DataFrame, now: datetime, lookba
 
 
 def exemplar_service(metric_entries: DataFrame) -> str | None:
-    """A viewer's exemplars are held to a service only if all its metric entries share one."""
-    names = [r[0] for r in metric_entries.select("service_name").distinct().limit(2).collect()]
-    return names[0] if len(names) == 1 else None
+    """A viewer's exemplars are held to a service only if all its metric entries share one, whatever its case."""
+    row = metric_entries.agg(F.count_if(F.col("service_name").isNull()).alias("none"), F.min(F.lower("service_name")).alias("lo"), F.max(F.lower("service_name")).alias("hi"), F.min("service_name").alias("name")).first()
+    return row.name if row.none == 0 and row.lo is not None and row.lo == row.hi else None
 
 
 # --- rollups ---

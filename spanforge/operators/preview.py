@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import attribute_text, squeeze
-from ..sources.otlp import _attrs, _exploded, _parsed
+from ..plans.dialect import number_text
+from ..sources.otlp import _attrs, _exploded, _inner, _parsed, body_text, service_name
 from .viewers import newest
 
 WIDTH = 160
@@ -25,16 +26,33 @@ def raw_preview(payload):
     return F.coalesce(shown, F.when(F.octet_length(payload) > HEX_BYTES, F.concat(first, F.lit("..."))).otherwise(first))
 
 
-def preview(entries: DataFrame, n: int = 50) -> DataFrame:
-    """The newest entries: observed_at, signal, service_name, payload_size, preview, metric_name, metric_value.
-
-    ``entries`` are decoded entries that still carry ``payload``.
-    """
-    rows = newest(entries, n)
-    first = F.get("metrics", F.lit(0))
-    text = F.coalesce(cut(squeeze(F.col("payload_text"))), raw_preview(F.col("payload")))
-    value = F.get(F.filter("metrics", lambda m: m["value"].isNotNull()), F.lit(0))["value"]
-    return rows.select("observed_at", "signal", "service_name", F.octet_length("payload").alias("payload_size"), text.alias("preview"), first["name"].alias("metric_name"), value.alias("metric_value"))
+def structured(bodies: DataFrame) -> DataFrame:
+    """(entry_id, structured): what a decoded request shows, as ``service=.. | span=.. | otlp_json``; null if nothing."""
+    p = F.col("p")
+    first = lambda a, f: F.get(F.filter(F.transform(a, f), lambda x: x.isNotNull()), F.lit(0))
+    part = lambda name, x: F.concat(F.lit(f"{name}="), x)
+    line = lambda *parts: F.when(F.coalesce(*parts).isNotNull(), F.concat_ws(" | ", *parts, F.lit("otlp_json")))
+    spans = _inner(p, "resourceSpans", "scopeSpans", "spans")
+    traces = _parsed(bodies, "traces").select("entry_id", line(part("service", service_name(p, "resourceSpans")), part("span", first(spans, lambda s: s["name"]))).alias("structured"))
+    records = _inner(p, "resourceLogs", "scopeLogs", "logRecords")
+    logs = _parsed(bodies, "logs").select(
+        "entry_id",
+        line(part("service", service_name(p, "resourceLogs")), part("severity", first(records, lambda r: r["severityText"])), part("body", squeeze(first(records, lambda r: body_text(r["body"]))))).alias("structured"),
+    )
+    metrics = _inner(p, "resourceMetrics", "scopeMetrics", "metrics")
+    name, value = first(metrics, lambda m: m["name"]), first(metrics, shown_value).try_cast("double")
+    shown = F.when(name.isNotNull(), part("value", number_text(value)))
+    measured = _parsed(bodies, "metrics").select("entry_id", line(part("service", service_name(p, "resourceMetrics")), part("metric", name), shown).alias("structured"))
+    return traces.unionByName(logs).unionByName(measured)
+
+
+def preview(bodies: DataFrame, n: int = 50) -> DataFrame:
+    """The newest requests: observed_at, signal, service_name, payload_size, preview, metric_name, metric_value."""
+    rows = newest(bodies, n)
+    shown = structured(rows).join(first_metric(rows), "entry_id", "left")
+    text = F.coalesce(cut(F.col("structured")), raw_preview(F.col("payload")))
+    out = rows.join(shown, "entry_id", "left").orderBy(F.desc("stream_ms"), F.desc("stream_seq"))
+    return out.select("observed_at", "signal", "service_name", F.octet_length("payload").alias("payload_size"), text.alias("preview"), "metric_name", "metric_value")
 
 
 def shown_value(metric):

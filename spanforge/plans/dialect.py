@@ -299,7 +299,7 @@ def condition(w: tuple) -> Column:
     return _compare(*w)
 
 
-def _number_text(n: Column) -> Column:
+def number_text(n: Column) -> Column:
     """A double as the dialect prints it: no trailing .0, no exponent."""
     whole = F.when((n == F.floor(n)) & (F.abs(n) < 1e37), n.cast("decimal(38,0)").cast("string"))
     text = n.cast("string")
@@ -312,7 +312,7 @@ def group_order(columns: tuple[str, ...]) -> Column:
     keys = []
     for c in columns:
         x = _value(c)
-        tagged = F.concat(F.lit("#"), _number_text(x)) if c.lower() in NUMBER_COLUMNS else F.concat(F.lit("s"), x)
+        tagged = F.concat(F.lit("#"), number_text(x)) if c.lower() in NUMBER_COLUMNS else F.concat(F.lit("s"), x)
         keys.append(F.coalesce(tagged, F.lit("n")))
     return F.concat_ws("\x1f", *keys)
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import attribute_text, nanos
-from ..schema import BODIES, KINDS, METRICS, RESOURCES
+from ..schema import BODIES, KINDS, METRICS, RESOURCE, RESOURCES
 
 MEDIA_TYPES = {"application/x-protobuf": "protobuf", "application/json": "json"}
 ENCODINGS = ("identity", "gzip", "zstd", "snappy", "lz4")
@@ -308,6 +308,17 @@ def service_name(p: Column, outer: str) -> Column:
     return F.get(F.filter(names, lambda n: n.isNotNull()), F.lit(0))
 
 
+_OUTER = {"traces": "resourceSpans", "metrics": "resourceMetrics", "logs": "resourceLogs"}
+
+
+def name_services(bodies: DataFrame) -> DataFrame:
+    """``service_name`` of new entries from their bodies; only the resource blocks are parsed."""
+    shape = "struct<" + ",".join(f"{o}:array<struct<resource:{RESOURCE}>>" for o in _OUTER.values()) + ">"
+    parsed = bodies.withColumn("_p", F.from_json("body", shape, {"mode": "PERMISSIVE"}))
+    found = F.coalesce(*(F.when(F.col("signal") == s, service_name(F.col("_p"), o)) for s, o in _OUTER.items()))
+    return parsed.withColumn("service_name", F.coalesce("service_name", found)).drop("_p")
+
+
 def _joined(texts: Column) -> Column:
     kept = F.filter(texts, lambda t: t.isNotNull() & (t != ""))
     return F.when(F.size(kept) > 0, F.array_join(kept, " "))

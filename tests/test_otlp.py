@@ -123,10 +123,12 @@ def test_attribute_index(spark):
 
 
 def test_preview(spark):
-    e = raw(spark, ("logs", 3, "s", b"  a \n b  "), ("logs", 2, "s", b""), ("logs", 1, "s", bytes(range(200, 240))), ("logs", 0, "s", log_body({"severityText": "INFO", "body": {"stringValue": "x" * 300}})))
-    full = otlp.entries(otlp.decode_bodies(e)).join(e.select("entry_id", "payload"), "entry_id")
-    got = [r.preview for r in preview.preview(full).collect()]
-    assert got == ["INFO " + "x" * 155 + "...", bytes(range(200, 224)).hex() + "...", "(empty payload)", "a b"]
+    metric = metric_body(({"service.name": "m"}, [("cpu", "gauge", [{"asInt": "3", "asDouble": 2.5}])]))
+    log = log_body({"severityText": "INFO", "body": {"stringValue": "x  y" * 100}}, **{"service.name": "s"})
+    e = otlp.decode_bodies(raw(spark, ("logs", 5, "s", b"  a \n b  "), ("logs", 4, "s", b""), ("logs", 3, "s", bytes(range(200, 240))), ("traces", 2, "s", trace_body(("web", [span(name="op")]))), ("metrics", 1, "s", metric), ("logs", 0, "s", log)))
+    got = preview.preview(e).collect()
+    assert [r.preview for r in got] == [("service=s | severity=INFO | body=" + "x y" * 100)[:160] + "...", "service=m | metric=cpu | value=3 | otlp_json", "service=web | span=op | otlp_json", bytes(range(200, 224)).hex() + "...", "(empty payload)", "a b"]
+    assert (got[1].metric_name, got[1].metric_value, got[4].payload_size) == ("cpu", 3.0, 0)
 
 
 def test_landing(spark, tmp_path):
