@@ -142,8 +142,16 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
     sets = materialize(_full_sets(docs.where(F.col("doc_id").isNotNull()), wanted.where("doc.id is not null"), k).unionByName(_full_sets_without_id(docs, wanted, k)), "sets")
     links = labels = None
     possible = lambda x, y: f"{den} * least({x}own, {y}own) >= {num} * ({x}n + {y}n - least({x}own, {y}own))"
+    best = F.max(F.struct(F.col("own") / F.col("n"), "degree", "v", "label", "n", "own")).alias("rep")
+    # First each vertex meets the best of its buckets' representatives alone, which joins most of a group at once.
+    heads = members.groupBy("key").agg(best)
+    nearest = members.join(heads, "key").where("v != rep.v").where(possible("", "rep.")).groupBy("v").agg(F.max("rep").alias("rep"))
+    found = materialize(_linked(nearest.select(F.least("v", "rep.v").alias("a"), F.greatest("v", "rep.v").alias("b")).distinct(), sets, num, den), "links-found")
+    if found.limit(1).count():
+        links, labels = found, components(found)
+        members = _relabel(members, labels)
     for turn in range(2 * stars + 1):
-        active = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct(F.col("own") / F.col("n"), "degree", "v", "label", "n", "own")).alias("rep")).where("lo != hi")
+        active = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), best).where("lo != hi")
         now = members.join(active.select("key", "rep"), "key")
         if turn == 2 * stars:
             # A pair meets in the first key that both have, so it is made once however many buckets they share.
