@@ -171,8 +171,9 @@ def _refine(parse: DataFrame, length: int, name: str) -> tuple[DataFrame, DataFr
     several, key = alive.where("several"), ["follow", "phrase"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "hash", "place")).alias("first")
     dictionary = materialize(several.groupBy(*key).agg(F.sum("weight").alias("n"), first), f"{name}-dictionary")
-    again = several.join(dictionary.where("n > 1").select(*key), key, "left_semi")
-    spot = alive.where("not several").unionByName(again.select(alive.columns)).where("weight = 1")
+    # Every open phrase gets its mark, repeated or not, and the marks are written once for all that read them.
+    marked = materialize(several.join(dictionary.select(*key, (F.col("n") > 1).alias("again")), key, "left"), f"{name}-marked")
+    spot = alive.where("not several").unionByName(marked.where("again").select(alive.columns)).where("weight = 1")
     start = (F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(255)).cast("int")
     span = F.struct(start.alias("start"), (start + F.col("place").bitwiseAND(255) + length).cast("int").alias("end"))
     listed = dictionary.select("first.doc_id", "first.hash", F.struct("first.place", "n").alias("phrase")).groupBy("doc_id", "hash").agg(F.collect_list("phrase").alias("phrases"))
