@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from .common import CHUNK_BYTES, batch_chunks, chunks, gather_spans, lean, list_
 
 SPACE = "▁"
 LONG_WORD = 4096
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -49,6 +50,7 @@ class PieceModel:
     pair_symbols: np.ndarray
     base: int
     split_newline: bool
+    table: tuple | None = None  # of the pairs, made at first use
 
     @property
     def pattern(self) -> re.Pattern:
@@ -100,11 +102,48 @@ def load_model(path: str) -> PieceModel:
     return PieceModel(n, surfaces, byte_ids, np.array(points, np.int64), np.array(symbols, np.int64), extra, take(keys), take(ranks), take(merged), base, newline)
 
 
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hash_table(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+    """Open addressing with linear probing: (slot -> key or -1, slot -> place in ``keys``, shift of the hash)."""
+    bits = max(4, int(len(keys) * 4).bit_length())
+    shift = np.uint64(64 - bits)
+    slots, places = np.full(1 << bits, -1), np.zeros(1 << bits, np.int64)
+    todo = np.arange(len(keys))
+    at = ((keys.astype(np.uint64) * _SPREAD) >> shift).astype(np.int64)
+    while len(todo):
+        free = slots[at] == -1
+        _, first = np.unique(at[free], return_index=True)
+        win = np.flatnonzero(free)[first]
+        slots[at[win]], places[at[win]] = keys[todo[win]], todo[win]
+        left = np.ones(len(todo), bool)
+        left[win] = False
+        todo, at = todo[left], (at[left] + 1) & ((1 << bits) - 1)
+    return slots, places, shift
+
+
 def _pairs(model: PieceModel, left: np.ndarray, right: np.ndarray):
+    """(rank, merged symbol) of pairs of symbols; no rank where they are no pair."""
+    if model.table is None:
+        model.table = _hash_table(model.pair_keys)
+    slots, places, shift = model.table
     key = left * model.base + right
-    at = np.minimum(np.searchsorted(model.pair_keys, key), len(model.pair_keys) - 1)
-    hit = model.pair_keys[at] == key
-    return np.where(hit, model.pair_ranks[at], NO_RANK), model.pair_symbols[at]
+    at = ((key.astype(np.uint64) * _SPREAD) >> shift).astype(np.int64)
+    rank, made = np.full(len(key), NO_RANK), np.zeros(len(key), np.int64)
+    todo = None
+    while True:
+        seen = slots[at]
+        same = seen == key
+        hit = np.flatnonzero(same)
+        where = hit if todo is None else todo[hit]
+        place = places[at[hit]]
+        rank[where], made[where] = model.pair_ranks[place], model.pair_symbols[place]
+        go = np.flatnonzero(~same & (seen != -1))
+        if not len(go):
+            return rank, made
+        todo = go if todo is None else todo[go]
+        key, at = key[go], (at[go] + 1) & (len(slots) - 1)
 
 
 def merge_by_queue(model: PieceModel, symbols: list[int]) -> list[int]:
@@ -225,7 +264,7 @@ class Encoder:
         if len(self.known) > CACHE_WORDS:
             self.clear()
         split = [self.pattern.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        fresh = list({w for ws in split for w in ws if w not in self.known})
+        fresh = list(set().union(*split).difference(self.known)) if split else []
         if fresh:
             fresh.sort(key=len)
             flat, at = merge_words(self.model, fresh)
@@ -236,7 +275,7 @@ class Encoder:
             self.flat = np.concatenate([self.flat, flat])
         counts = np.fromiter(map(len, split), np.int64, len(split))
         get = self.known.__getitem__
-        index = np.fromiter((i for ws in split for i in map(get, ws)), np.int64, int(counts.sum()))
+        index = np.fromiter(map(get, chain.from_iterable(split)), np.int64, int(counts.sum()))
         sizes = self.length[index]
         ids = self.flat[gather_spans(self.start[index], sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])
