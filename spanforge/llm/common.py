@@ -67,27 +67,24 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def lean(run):
-    """Wraps the function of a ``mapInArrow``: large arrays go back to the system when they are freed, and what
-    the allocators keep goes back at the end of the task, so idle Python workers hold little."""
+    """Wraps the function of a ``mapInArrow``: what the allocators keep of freed memory goes back to the system at
+    the end of the task, so idle Python workers hold little."""
 
     def wrapped(batches):
-        _allocator(-3, 1 << 18)
         try:
             yield from run(batches)
         finally:
             pa.default_memory_pool().release_unused()
-            _allocator(None, 0)
+            _trim()
 
     return wrapped
 
 
-def _allocator(option: int | None, value: int) -> None:
-    """glibc's mallopt (-3: size from which blocks are mapped) or, without an option, malloc_trim."""
+def _trim() -> None:
     try:
-        libc = ctypes.CDLL(None)
-        libc.malloc_trim(0) if option is None else libc.mallopt(option, value)
+        ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):
-        pass  # another C library
+        pass  # another C library than glibc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
