@@ -176,8 +176,11 @@ def _refine(parse: DataFrame, length: int, name: str) -> tuple[DataFrame, DataFr
     spot = alive.where("not several").unionByName(marked.where("again").select(alive.columns)).where("weight = 1")
     start = (F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(255)).cast("int")
     span = F.struct(start.alias("start"), (start + F.col("place").bitwiseAND(255) + length).cast("int").alias("end"))
+    spans = materialize(spot.select("doc_id", "hash", span.alias("span")), f"{name}-spans")
+    for done in (alive, marked, shared):
+        discard(done)
     listed = dictionary.select("first.doc_id", "first.hash", F.struct("first.place", "n").alias("phrase")).groupBy("doc_id", "hash").agg(F.collect_list("phrase").alias("phrases"))
-    return spot.select("doc_id", "hash", span.alias("span")), listed
+    return spans, listed
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, band: int = BAND) -> DataFrame:
@@ -189,6 +192,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, band: int = BAND) -> D
     bands = materialize(_bands(texts, length, band), "bands")
     banded, open_ = _refine(bands, length, "bands")
     suffixes = materialize(_suffixes(_with_texts(texts.drop("phrases"), open_), length), "suffixes")
+    discard(texts)
     again = suffixes.groupBy("c1", "c2").agg(F.sum("weight").alias("n")).where("n > 1").select("c1", "c2")
     part = suffixes.where("weight = 1").join(again, ["c1", "c2"]).select("doc_id", "hash", F.struct("start", (F.col("start") + length).alias("end")).alias("span"))
     return whole.union(banded).union(part).groupBy("doc_id", "hash").agg(F.array_sort(F.collect_set("span")).alias("spans"))
