@@ -186,9 +186,9 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
 def keep_first(docs: DataFrame, num: int = 80, den: int = 100, **options) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component its first row by id and text, once."""
     found = near_duplicates(docs, num, den, **options)
-    first = found.where(F.col("kept") & F.col("text_hash").eqNullSafe(F.col("first_hash"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    hashed = docs.withColumn("_own", F.xxhash64("text")).dropDuplicates(["doc_id", "_own"])
-    return hashed.join(first, hashed.doc_id.eqNullSafe(first._id) & (hashed._own == first._hash), "left_semi").drop("_own")
+    first = found.where(F.col("kept") & F.col("text_hash").eqNullSafe(F.col("first_hash"))).select(F.col("doc_id").alias("__id__"), F.col("text_hash").alias("__hash__")).distinct()
+    hashed = docs.withColumn("__own__", F.xxhash64("text")).dropDuplicates(["doc_id", "__own__"])
+    return hashed.join(first, hashed.doc_id.eqNullSafe(first["__id__"]) & (hashed["__own__"] == first["__hash__"]), "left_semi").drop("__own__")
 
 
 def _full_sets_without_id(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:

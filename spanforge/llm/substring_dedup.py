@@ -23,7 +23,7 @@ independent polynomial hashes, and are taken as equal strings.
 
 Defined results: a null or empty text has no bytes; texts of under ``length`` bytes lose nothing; repeated rows
 repeat each other's strings and so lose all if they are long enough; rows without an id take part; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; other columns are carried through, but for those named hash, spans, removed and kept.
 """
 
 from __future__ import annotations
@@ -199,8 +199,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, band: int = BAND) -> D
 
 
 def _with_texts(docs: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
-    right = lists.withColumnsRenamed({"doc_id": "_id", "hash": "_hash"})
-    return docs.join(right, docs.doc_id.eqNullSafe(right._id) & (docs.hash == right._hash), how).drop("_id", "_hash")
+    right = lists.withColumnsRenamed({"doc_id": "__id__", "hash": "__hash__"})
+    return docs.join(right, docs.doc_id.eqNullSafe(right["__id__"]) & (docs.hash == right["__hash__"]), how).drop("__id__", "__hash__")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
