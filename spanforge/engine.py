@@ -4,8 +4,9 @@
     engine.ingest(requests)                       # signal, content_type, content_encoding, body
     engine.query("SELECT service_name, count(*) FROM logs GROUP BY service_name", lookback_ms=3_600_000)
 
-``now`` is a parameter everywhere; left out it is the wall clock.  Entries are read by signal and day, so a look-back
-prunes partitions; bounds on scanned rows are off unless asked for.
+Bodies are parsed once, when they are landed: decoded tables by day, rollups and the attribute index are written
+then, and queries read only those.  ``now`` is a parameter everywhere; left out it is the wall clock.  A look-back
+prunes days; bounds on scanned rows are off unless asked for.
 """
 
 from __future__ import annotations
@@ -19,12 +20,18 @@ from pyspark.sql import functions as F
 from .catalog import Catalog, CatalogError
 from .operators import insight, preview, traces, viewers
 from .plans import dialect
+from .schema import RAW_ENTRY
 from .sources import landing, otlp
 
 MINUTE = 60_000
 APM_LOOKBACK_MS = 5 * MINUTE
 MAP_LOOKBACK_MS = 10 * MINUTE
 EXEMPLAR_BUCKET_MS = MINUTE
+#: What is written of each landed request.
+DECODED = {
+    "entries": otlp.entries, "spans": otlp.spans, "points": otlp.metric_points, "records": otlp.log_records,
+    "attributes": lambda bodies: insight.attribute_index(*otlp.indexable_attributes(bodies)),
+}
 
 
 class Engine:
@@ -39,31 +46,53 @@ class Engine:
         at = now or datetime.now(timezone.utc)
         good = taken.where("status = 200").select("signal", F.lit(at).cast("timestamp").alias("observed_at"), F.lit(None).cast("string").alias("service_name"), "payload")
         rows = landing.with_ids(good).withColumn("entry_id", F.xxhash64("signal", "stream_ms", "stream_seq", "payload"))
-        rows = otlp.name_services(otlp.decode_bodies(rows))
-        landing.append(rows.select("entry_id", "stream_ms", "stream_seq", "signal", "observed_at", "service_name", "payload"), f"{self.root}/landing")
-        self.__dict__.pop("bodies", None)
+        bodies = otlp.name_services(otlp.decode_bodies(rows)).persist()
+        try:
+            landing.append(bodies.select("entry_id", "stream_ms", "stream_seq", "signal", "observed_at", "service_name", "payload"), f"{self.root}/landing")
+            for name, made in DECODED.items():
+                self._append(made(bodies).withColumn("day", F.to_date("observed_at")), name, "day")
+            self._append(insight.rollup(otlp.entries(bodies)), "rollups", "signal", "resolution")
+        finally:
+            bodies.unpersist()
         return taken.select("signal", "status")
 
+    def _append(self, df: DataFrame, name: str, *by: str) -> None:
+        df.write.mode("append").partitionBy(*by).parquet(f"{self.root}/{name}")
+
     @cached_property
+    def _schemas(self) -> dict:
+        """Schemas of the decoded tables, which may hold no file yet of a signal that has not come."""
+        none = self.spark.createDataFrame([], f"{RAW_ENTRY}, body string")
+        tables = {name: made(none).withColumn("day", F.to_date("observed_at")) for name, made in DECODED.items()}
+        return {name: df.schema for name, df in (tables | {"rollups": insight.rollup(otlp.entries(none))}).items()}
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self._schemas[name]).parquet(f"{self.root}/{name}")
+
+    @property
     def bodies(self) -> DataFrame:
+        """Landed requests as JSON text, for previews."""
         return otlp.decode_bodies(landing.read(self.spark, f"{self.root}/landing"))
 
     def entries(self) -> DataFrame:
-        return otlp.entries(self.bodies)
+        return self.table("entries")
+
+    def spans(self) -> DataFrame:
+        return self.table("spans")
 
     def _since(self, df: DataFrame, now: datetime | None, lookback_ms: int, inclusive: bool = True) -> DataFrame:
         """Rows of a look-back, with the day's bound stated so that older days are not read."""
         return viewers.within_lookback(df, lookback_ms, now or datetime.now(timezone.utc), inclusive)
 
-    def _recent_bodies(self, now: datetime | None, lookback_ms: int) -> DataFrame:
+    def _recent(self, name: str, now: datetime | None, lookback_ms: int, inclusive: bool = True) -> DataFrame:
         at = now or datetime.now(timezone.utc)
-        return self._since(self.bodies.where(F.col("day") >= F.lit((at - timedelta(milliseconds=lookback_ms)).date())), at, lookback_ms)
+        first_day = (at - timedelta(milliseconds=lookback_ms, days=1)).date()  # a day's name depends on the time zone
+        return self._since(self.table(name).where(F.col("day") >= F.lit(first_day)), at, lookback_ms, inclusive)
 
     # --- queries ---
 
     def query(self, sql: str, lookback_ms: int | None = None, now: datetime | None = None, scan_limit: int | None = None) -> dialect.QueryResult:
-        rows = otlp.entries(self._recent_bodies(now, viewers.query_lookback(lookback_ms)))
-        rows = self._since(rows, now, viewers.query_lookback(lookback_ms), inclusive=False)
+        rows = self._recent("entries", now, viewers.query_lookback(lookback_ms), inclusive=False)
         return dialect.run(sql, viewers.scan_cap(rows, scan_limit) if scan_limit else rows)
 
     # --- viewers and dashboards ---
@@ -77,7 +106,8 @@ class Engine:
         return viewers.compile_viewer(row)
 
     def _live(self, v: viewers.Viewer, now: datetime | None) -> DataFrame:
-        return viewers.matching(v, self.entries(), now or datetime.now(timezone.utc))
+        at = now or datetime.now(timezone.utc)
+        return viewers.matching(v, self._recent("entries", at, v.lookback_ms), at)
 
     def viewer(self, viewer_id: str, now: datetime | None = None, lookback_ms: int | None = None, services: str | None = None, query: str | None = None) -> dict:
         """entries, buckets (not touched by the filters), rows, traces and exemplars of a viewer."""
@@ -88,7 +118,7 @@ class Engine:
         if v.aggregation:
             out["buckets"] = viewers.aggregate(v.aggregation, live)
         if "traces" in v.signals():
-            out["traces"] = traces.summaries(otlp.spans(self.bodies.join(shown.select("entry_id"), "entry_id", "left_semi")))
+            out["traces"] = traces.summaries(self.spans().join(shown.select("entry_id"), "entry_id", "left_semi"))
         if "metrics" in v.signals():
             out["exemplars"] = self.exemplars(viewer_id, now=now)
         return out
@@ -116,7 +146,7 @@ class Engine:
         return viewers.services(self.entries())
 
     def attribute_index(self) -> DataFrame:
-        return insight.attribute_index(*otlp.indexable_attributes(self.bodies))
+        return self.table("attributes").dropDuplicates(["key", "value", "entry_id"])
 
     def attribute_keys(self) -> DataFrame:
         return insight.attribute_keys(self.attribute_index())
@@ -127,28 +157,28 @@ class Engine:
     # --- traces ---
 
     def trace_search(self, **options) -> DataFrame:
-        return traces.search(otlp.spans(self.bodies), **options)
+        return traces.search(self.spans(), **options)
 
     def trace(self, trace_id: str) -> DataFrame:
-        return traces.lookup(otlp.spans(self.bodies), trace_id)
+        return traces.lookup(self.spans(), trace_id)
 
     def waterfall(self, trace_id: str) -> DataFrame:
         if not trace_id.strip():
             raise CatalogError(400, "no trace id")
-        return traces.waterfall(otlp.spans(self.bodies), trace_id.strip())
+        return traces.waterfall(self.spans(), trace_id.strip())
 
     def service_map(self, now: datetime | None = None, lookback_ms: int = MAP_LOOKBACK_MS) -> tuple[DataFrame, DataFrame]:
-        s, at = otlp.spans(self.bodies), now or datetime.now(timezone.utc)
+        s, at = self.spans(), now or datetime.now(timezone.utc)
         return traces.service_nodes(s, at, lookback_ms), traces.service_edges(s, at, lookback_ms)
 
     # --- errors and calls ---
 
     def error_groups(self, now: datetime | None = None, lookback_ms: int | None = None) -> DataFrame:
-        found = insight.span_errors(otlp.spans(self.bodies)).unionByName(insight.log_errors(otlp.log_records(self.bodies)))
+        found = insight.span_errors(self.spans()).unionByName(insight.log_errors(self.table("records")))
         return insight.recent_error_groups(insight.error_groups(found), now or datetime.now(timezone.utc), lookback_ms)
 
     def _calls(self, now: datetime | None, lookback_ms: int) -> DataFrame:
-        return insight.db_spans(otlp.spans(self._recent_bodies(now, max(lookback_ms, 0))))
+        return insight.db_spans(self._recent("spans", now, max(lookback_ms, 0)))
 
     def slow_queries(self, now: datetime | None = None, lookback_ms: int = APM_LOOKBACK_MS, min_p95_ms: int = 100) -> DataFrame:
         return insight.slow_queries(self._calls(now, lookback_ms), min_p95_ms)
@@ -164,10 +194,10 @@ class Engine:
             raise CatalogError(400, "not a viewer of metrics")
         at = now or datetime.now(timezone.utc)
         metric = self._live(v, at).where("signal = 'metrics'")
-        return insight.exemplars(metric, otlp.spans(self.bodies), at, lookback_ms or v.lookback_ms, bucket_ms, insight.exemplar_service(metric), max_samples)
+        return insight.exemplars(metric, self.spans(), at, lookback_ms or v.lookback_ms, bucket_ms, insight.exemplar_service(metric), max_samples)
 
     def rollups(self, signal: str, from_ms: int, to_ms: int, resolution: str = "1m") -> DataFrame:
-        return insight.rollup_range(insight.rollup(self.entries(), (resolution,)), signal, resolution, from_ms, to_ms)
+        return insight.rollup_range(self.table("rollups"), signal, resolution, from_ms, to_ms)
 
     def anomaly(self, viewer_id: str, detector: dict, now: datetime | None = None) -> DataFrame:
         """``{"kind": "no_data", "window_ms"}`` or ``{"kind": "zscore", "bucket_ms", "threshold"}`` over a viewer."""

@@ -140,8 +140,10 @@ def rollup_range(rolled: DataFrame, signal: str, resolution: str, from_ms: int,
     width = RESOLUTIONS[resolution]
     first, last = (x // 1000 // width * width for x in (from_ms, to_ms))
     rows = rolled.where((F.col("signal") == signal) & (F.col("resolution") == resolution) & F.col("bucket_start_seconds").between(first, last))
+    # Rollups may be appended in parts: those of a service add up first.
+    summed = rows.groupBy("bucket_start_seconds", "service").agg(F.sum("count").alias("count"))
     services = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("service") != "", F.struct("service", "count")))))
-    return rows.groupBy("bucket_start_seconds").agg(F.sum(F.when(F.col("service") == "", F.col("count"))).alias("count"), services.alias("by_service")).orderBy("bucket_start_seconds")
+    return summed.groupBy("bucket_start_seconds").agg(F.sum(F.when(F.col("service") == "", F.col("count"))).alias("count"), services.alias("by_service")).orderBy("bucket_start_seconds")
 
 
 # --- attribute index ---
