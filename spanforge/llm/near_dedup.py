@@ -29,6 +29,7 @@ from .components import components
 
 BANDS, ROWS = 40, 5
 STARS = 2
+GROUPS = 128
 _SEEDS = random_table(41, 2 * BANDS * ROWS + 512)
 _KEY = random_table(43, 64)
 
@@ -155,10 +156,12 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
         now = members.join(active.select("key", "rep"), "key")
         if turn == 2 * stars:
             # A pair meets in the first key that both have, so it is made once however many buckets they share.
-            left = materialize(now.drop("rep").join(vertices.select("v", "keys"), "v"), "members")
-            right = left.select("key", F.col("v").alias("b"), F.col("n").alias("m"), F.col("own").alias("mown"), F.col("label").alias("other"), F.col("keys").alias("keys_b"))
+            held = _histograms(sets, now.select("v").distinct())
+            left = materialize(now.drop("rep").join(vertices.select("v", "keys"), "v").join(held, "v"), "members")
+            right = left.select("key", F.col("v").alias("b"), F.col("n").alias("m"), F.col("own").alias("mown"), F.col("label").alias("other"), F.col("keys").alias("keys_b"), F.col("held").alias("held_b"))
             met = left.join(right, "key").where("v < b and label != other").where(f"{den} * least(own, mown) >= {num} * (n + m - least(own, mown))")
-            pairs = met.where("key = array_min(array_intersect(keys, keys_b))").select(F.col("v").alias("a"), "b")
+            most = "aggregate(zip_with(held, held_b, (x, y) -> least(x, y)), 0, (a, x) -> a + x)"
+            pairs = met.where("key = array_min(array_intersect(keys, keys_b))").where(f"({den} + {num}) * {most} >= {num} * (n + m)").select(F.col("v").alias("a"), "b")
         else:
             members = materialize(now.where("v != rep.v"), "members")
             if members.limit(1).count() == 0:
@@ -212,13 +215,30 @@ def _with_own(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     active = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
     members = materialize(members.join(active, "key", "left_semi"), "members")
     # Representatives that have left their buckets have been compared already, and count no more.
-    open_ = sets.join(members.select("v").distinct(), "v", "left_semi").select("v", F.explode("set").alias("x"))
-    common = open_.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("x")
-    own = open_.join(common, "x").groupBy("v").agg(F.count(F.lit(1)).alias("now"))
+    own = _common(sets, members.select("v").distinct()).groupBy("v").agg(F.count(F.lit(1)).alias("now"))
     out = members.drop("own").join(own, "v").withColumnRenamed("now", "own")
     return materialize(out.where(f"{den} * own >= {num} * n"), "members")
 
 
+def _common(sets: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(v, x): elements of the vertices' sets that occur in more than one of these sets."""
+    open_ = sets.join(vertices, "v", "left_semi").select("v", F.explode("set").alias("x"))
+    common = open_.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("x")
+    return open_.join(common, "x")
+
+
+def _histograms(sets: DataFrame, vertices: DataFrame, groups: int = GROUPS) -> DataFrame:
+    """(v, held): how many common elements of a vertex fall into each of ``groups`` hash groups.
+
+    The sum of the smaller counts of two vertices is an upper bound on their intersection, and near it where the
+    groups hold few elements each.
+    """
+    counts = _common(sets, vertices).groupBy("v", F.pmod("x", F.lit(groups)).cast("int").alias("g")).agg(F.count(F.lit(1)).cast("int").alias("c"))
+    by_group = F.map_from_entries(F.collect_list(F.struct("g", "c")))
+    filled = counts.groupBy("v").agg(by_group.alias("m"))
+    return filled.select("v", F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.coalesce(F.col("m")[g], F.lit(0))).alias("held"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
