@@ -257,7 +257,7 @@ def e_fingerprint(spark, sf_dir):
     return i.log_errors(a.log_records(spark, sf_dir)).select(F.col("ord.seq").alias("entry_id"), "fingerprint", "signature")
 
 
-@query(f"WITH {_LOGS} SELECT fingerprint, count(*) AS count, epoch_us(min(observed_at)) // 1000 AS first_ms, epoch_us(max(observed_at)) // 1000 AS last_ms, arg_max(signature, (observed_at, -entry_id)) AS signature, arg_max({'s': service_name}, (observed_at, -entry_id)).s AS service_name FROM occurrences GROUP BY fingerprint")
+@query(f"WITH {_LOGS} SELECT fingerprint, count(*) AS count, epoch_us(min(observed_at)) // 1000 AS first_ms, epoch_us(max(observed_at)) // 1000 AS last_ms, arg_max(signature, (observed_at, -entry_id)) AS signature, arg_max(struct_pack(s := service_name), (observed_at, -entry_id)).s AS service_name FROM occurrences GROUP BY fingerprint")
 def e_groups(spark, sf_dir):
     g = i.error_groups(i.log_errors(a.log_records(spark, sf_dir)))
     return g.select("fingerprint", "count", F.unix_millis("first_seen").alias("first_ms"), F.unix_millis("last_seen").alias("last_ms"), "signature", "service_name")
