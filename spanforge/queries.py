@@ -213,16 +213,25 @@ def t_lookup(spark, sf_dir):
     return t.lookup(a.spans(spark, sf_dir), "t7").select("span_id", "name", F.col("start_ns").cast("string").alias("start_ns"))
 
 
-@query(f"""WITH RECURSIVE {SPANS}, own AS (SELECT *, CASE WHEN parent = '' OR parent NOT IN (SELECT span_id FROM spans z WHERE z.trace_id = s.trace_id) THEN NULL ELSE parent END AS up FROM spans s WHERE trace BETWEEN 0 AND 40),
+def _waterfall_sql(where: str = "") -> str:
+    return f"""WITH RECURSIVE {SPANS}, own AS (SELECT *, CASE WHEN parent = '' OR parent NOT IN (SELECT span_id FROM spans z WHERE z.trace_id = s.trace_id) THEN NULL ELSE parent END AS up FROM spans s{where}),
 walk AS (
   SELECT trace_id, span_id, 0 AS depth, [struct_pack(s := start_us, r := rs, i := i)] AS path FROM own WHERE up IS NULL
   UNION ALL
   SELECT o.trace_id, o.span_id, w.depth + 1, list_append(w.path, struct_pack(s := o.start_us, r := o.rs, i := o.i)) FROM walk w JOIN own o ON o.up = w.span_id AND o.trace_id = w.trace_id
-) SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY path) - 1 AS INTEGER) AS position, CAST(depth AS INTEGER) AS depth, span_id FROM walk""")
+) SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY path) - 1 AS INTEGER) AS position, CAST(depth AS INTEGER) AS depth, span_id FROM walk"""
+
+
+@query(_waterfall_sql(" WHERE trace BETWEEN 0 AND 40"))
 def t_waterfall(spark, sf_dir):
     return t.waterfall(a.spans(spark, sf_dir).where("entry_id BETWEEN 0 AND 40")).select("trace_id", "position", "depth", "span_id")
 
 
+@query(_waterfall_sql())
+def t_waterfall_all(spark, sf_dir):
+    return t.waterfall(a.spans(spark, sf_dir)).select("trace_id", "position", "depth", "span_id")
+
+
 @query(f"WITH {SPANS} SELECT service, count(*) AS span_count, count(*) FILTER (status = 2) AS error_count, quantile_disc((end_us - start_us) / 1000.0, 0.95) AS p95_ms FROM spans GROUP BY service")
 def m_nodes(spark, sf_dir):
     return t.service_nodes(a.spans(spark, sf_dir))

@@ -228,3 +228,12 @@ def test_charts(spark):
     assert tuple(round(x, 3) for x in i.billboard(m, 60_000).first()) == (5.0, 3.0, 66.667)
     assert tuple(i.billboard(m.limit(0), 60_000).first()) == (0.0, None, None)
     assert i.chart_bucket_ms(300_000) == 10_000 and i.chart_bucket_ms(3_600_000) == 60_000 and i.chart_bucket_ms(3_600_001) == 300_000
+
+
+def test_waterfall_query_covers_all_traces(spark):
+    from spanforge import adapters
+    from spanforge.queries import QUERIES
+
+    got = QUERIES["t_waterfall_all"](spark, "/root/testdata/sf0.001")
+    spans = adapters.spans(spark, "/root/testdata/sf0.001").select("trace_id", "span_id")
+    assert got.select("trace_id", "span_id").exceptAll(spans).count() == spans.exceptAll(got.select("trace_id", "span_id")).count() == 0
