@@ -14,23 +14,69 @@ def chunk(texts):
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
 
 
-def test_nearest_is_exact():
+def dense_votes(model, text, term, weight, ids, y, queries, k=toxicity.K):
+    """Votes and neighbours of every example, itself left out, from whole rows of cosines."""
+    v = len(model.vocabulary)
+    x = np.zeros((len(ids), v))
+    x[text, term] = weight
+    out = []
+    for i in queries:
+        cosine = np.round(x @ x[i], 12)
+        cosine[ids == ids[i]] = 0
+        held, held_1 = np.zeros(v), np.zeros(v)
+        for j in range(len(ids)):
+            if j != i:
+                worth = model.prior / y.mean() if y[j] else (1 - model.prior) / (1 - y.mean())
+                held[x[j] > 0] += worth
+                held_1[x[j] > 0] += worth * y[j]
+        lift = ((held_1 + toxicity.PRIOR_TERM * model.prior) / (held + toxicity.PRIOR_TERM) - model.prior) / (1 - model.prior)
+        lift[lift < toxicity.LEAST_LIFT] = 0
+        spoken = likeness = 0.0
+        near = []
+        for label in (0, 1):
+            mine = [j for j in range(len(ids)) if y[j] == label and cosine[j] > 0]
+            mine.sort(key=lambda j: (-cosine[j], ids[j]))
+            least = cosine[mine[k - 1]] if len(mine) > k else 0
+            above = [j for j in mine if cosine[j] > least]
+            ties = [j for j in mine if cosine[j] == least]
+            for j in above + ties:
+                share = 1.0 if j in above or len(mine) <= k else (k - len(above)) / len(ties)
+                likeness += share * cosine[j]
+                spoken += share * label * float((x[i] * x[j] * lift**2).sum())
+            near.append([(int(ids[j]), cosine[j]) for j in above + ties])
+        out.append((spoken / likeness if likeness else np.nan, near))
+    return out
+
+
+def test_votes_equal_dense_cosine():
     r = np.random.default_rng(3)
-    words = [f"t{i}" for i in range(40)]
-    texts = [" ".join(r.choice(words, r.integers(0, 12))) for _ in range(500)]
-    vocabulary = np.unique(toxicity.terms(*chunk(words))[1])
-    index = toxicity.BlockMaxIndex(vocabulary, np.ones(len(vocabulary)) + r.random(len(vocabulary)))
-    text, term, weight = index.vectors(*chunk(texts))
-    dense = np.zeros((500, len(vocabulary)))
-    dense[text, term] = weight
-    ids, y = np.arange(500) * 3 + 1, (r.random(500) < 0.4).astype(float)
-    index.build(ids, y, text, term, weight)
-    for i in range(0, 500, 7):
-        mine = text == i
-        got = [(round(s, 9), int(index.ids[j])) for s, j in index.nearest(term[mine], weight[mine], 9)]
-        cos = dense @ dense[i]
-        want = sorted(((-round(c, 12), int(d)) for c, d in zip(cos, ids) if c > 1e-12))[:9]
-        assert got == [(round(-c, 9), d) for c, d in want]
+    for n, n_words in ((700, 60), (90, 400), (30, 5)):
+        y = (r.random(n) < 0.3).astype(float)
+        texts = [" ".join([*(f"w{int(j)}" for j in r.integers(0, n_words, r.integers(0, 25))), *(["marking"] if y[i] and r.random() < 0.7 else [])]) for i in range(n)]
+        ids = np.arange(n) * 3 + 1
+        data, offsets = chunk(texts)
+        vocabulary = toxicity.Vocabulary(np.unique(toxicity.terms(data, offsets)[1]))
+        model = toxicity.Model(vocabulary, 1 + r.random(len(vocabulary)), ids, y, 0.1)
+        text, term, weight = model.vectors(data, offsets)
+        model.fill(ids, y, text, term, weight)
+        votes, near = model.votes(text, term, weight, ids.tolist())
+        some = range(0, n, 9)
+        for i, (vote, want) in zip(some, dense_votes(model, text, term, weight, ids, y, some)):
+            assert np.isnan(votes[i]) == np.isnan(vote) and (np.isnan(vote) or abs(votes[i] - vote) < 1e-9)
+            for label in (0, 1):
+                q, e, cosine, _ = near[label]
+                got = [(int(j), round(c, 9)) for j, c in zip(model.index.ids[e[q == i]], cosine[q == i])]
+                assert sorted(got) == sorted((j, round(c, 9)) for j, c in want[label])
+
+
+def test_every_term_is_indexed(spark):
+    """No term is picked by its label, so a text that shares any word with an example has neighbours."""
+    docs = spark.createDataFrame([(i, f"common{i % 7} alone{i} tail") for i in range(200)] + [(900, "alone3 only")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, "toxic", remainder(5) >= 0)
+    assert len(model.vocabulary) >= 200
+    (row,) = toxicity.score(docs.where("doc_id = 900"), model).collect()
+    assert [e.doc_id for e in row.evidence if e.cosine > 0.05] == [3]
 
 
 @pytest.mark.parametrize("module,column,modulus,held,least", [(toxicity, "toxic", 5, lambda r: r == 0, 0.95), (quality, "quality", 3, lambda r: r == 1, 0.97)])
@@ -61,9 +107,10 @@ def test_odd_rows(spark, module, column):
 def test_evidence(spark):
     docs = spark.createDataFrame([(i, "bad thing here" if i < 10 else "fine thing here") for i in range(40)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 10)) for i in range(40)], "doc_id long, toxic int")
-    index = toxicity.learn(docs, labels, "toxic", remainder(5) >= 0)
-    for x in toxicity.score(docs, index).collect():
-        assert {e.label for e in x.evidence} <= {int(x.doc_id < 10)}
+    model = toxicity.learn(docs, labels, "toxic", remainder(5) >= 0)
+    for x in toxicity.score(docs, model).collect():
+        assert (x.score >= 0.5) == (x.doc_id < 10)
+        assert x.doc_id not in {e.doc_id for e in x.evidence} and max(x.evidence, key=lambda e: e.cosine).label == int(x.doc_id < 10)
 
 
 def test_passages_cover_all_words():
