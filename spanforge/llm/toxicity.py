@@ -73,6 +73,9 @@ class Vocabulary:
     def __len__(self) -> int:
         return len(self.hashes)
 
+    def __reduce__(self):
+        return Vocabulary, (self.hashes,)
+
     def counts(self, text: np.ndarray, term: np.ndarray):
         """(text, term number, count) of the known terms, sorted by text and number."""
         at = self.first[(term >> np.uint64(64 - self.bits)).astype(np.int64)]
@@ -243,9 +246,22 @@ class Model:
         text, term, count = self.vocabulary.counts(*terms(data, offsets))
         w = (1 + np.log(count)) * self.idf[term]
         norm = np.sqrt(np.bincount(text, w * w, len(offsets) - 1))
-        return text, term, w / norm[text] if len(w) else w
+        # Weights are what 32 bits hold, so that the model travels small.
+        return text, term, (w / norm[text]).astype(np.float32).astype(np.float64) if len(w) else w
+
+    def __getstate__(self) -> dict:
+        """The vectors alone; their index is built again where it is read."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("index", "held", "held_1")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        if "rows" in state:
+            self.fill(*self.rows)
 
     def fill(self, ids: np.ndarray, y: np.ndarray, text: np.ndarray, term: np.ndarray, weight: np.ndarray) -> Model:
+        self.rows = ids, y, text.astype(np.int32), term.astype(np.int32), weight.astype(np.float32)
+        _, _, text, term, weight = self.rows
+        weight = weight.astype(np.float64)
         n = len(self.vocabulary)
         self.share = float(y.mean())
         # An example stands for as many labelled documents as its label has for each of its examples.
@@ -335,7 +351,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str, chosen, limit: int =
     vocabulary = vocabulary_of(examples)
     n, df = document_frequencies(docs, vocabulary)
     ids, y = kept.doc_id.to_numpy(), kept.y.to_numpy().astype(float)
-    model = Model(vocabulary, np.log((n + 1) / (df + 1)) + 1, ids, y, totals[1] / (totals[0] + totals[1]))
+    model = Model(vocabulary, (np.log((n + 1) / (df + 1)) + 1).astype(np.float32), ids, y, totals[1] / (totals[0] + totals[1]))
     weighed = context.broadcast(model)
 
     def vectors(batches):
