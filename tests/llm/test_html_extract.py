@@ -1,6 +1,10 @@
 import re
 
-from spanforge.llm.html_extract import extract, main_text, templates
+from collections import Counter
+
+import pytest
+
+from spanforge.llm.html_extract import BROADCAST_BYTES, blocks, deduce, extract, main_text, names_boilerplate, templates, text_key
 
 SF = "/root/testdata/sf0.01"
 
@@ -10,23 +14,119 @@ def page(body, menu="Home", foot="(c) us"):
 
 
 def test_blocks_and_references():
-    text = main_text(page("<!-- x --><div class='ad'>Buy</div><article><h1>A &amp; B</h1><p><b>one\n two<br><p>three &eacute;&#33;<script>var a='<p>'</script></p><ul><li>i<li>j</ul><div class='comments'>me too</div></article>"), None, set())
+    text = main_text(page("<!-- x --><div class='ad'>Buy</div><article><h1>A &amp; B</h1><p><b>one\n two<br><p>three &eacute;&#33;<script>var a='<p>'</script></p><ul><li>i<li>j</ul><div class='comments'>me too</div></article>"), set(), set())
     assert text == "A & B\n\none two\n\nthree é!\n\ni\n\nj"
 
 
 def test_unclosed_and_stray():
-    assert main_text("<p>a</b> < b & c<div>d", None, set()) == "a < b & c\n\nd"
-    assert main_text("plain", None, set()) == "plain"
-    assert main_text("<nav><ul><li>menu<article><p>text</article>", None, set()) == "text"
-    assert main_text("<article><p>a<!-- open", None, set()) == "a"
-
-
-def test_slot_without_article(spark):
-    rows = [(i, f"http://h.example/{i}", page(f"<div id='top'>Daily news</div><div id='c'><h2>T{i}</h2><p>text of page {i} " + "x " * 50 + "</p></div>", menu=f"m{i}")) for i in range(6)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert [t.slot for t in templates(df.selectExpr("*", "'h' as host")).collect()] == [">html>body>div#c"]
-    for x in extract(df).collect():
-        assert x.text == f"T{x.page_id}\n\ntext of page {x.page_id} " + " ".join("x" * 50)
+    assert main_text("<p>a</b> < b & c<div>d", set(), set()) == "a < b & c\n\nd"
+    assert main_text("plain", set(), set()) == "plain"
+    assert main_text("<nav><ul><li>menu<article><p>text</article>", set(), set()) == "text"
+    assert main_text("<article><p>a<!-- open", set(), set()) == "a"
+
+
+WORDS = "x " * 100
+
+
+def hosted(spark, bodies, body_tag="<body>"):
+    whole = [f"<html><head><title>t</title></head>{body_tag}{b}</body></html>" for b in bodies]
+    return spark.createDataFrame([(i, f"http://h.example/{i}", w) for i, w in enumerate(whole)], "page_id long, url string, html string")
+
+
+def texts(spark, bodies, body_tag="<body>"):
+    return {x.page_id: x.text for x in extract(hosted(spark, bodies, body_tag)).collect()}
+
+
+def test_root_without_article(spark):
+    bodies = [f"<div class='top'>Daily news of {i}</div><div class='c' id='c{i}'><h2>T{i}</h2><p>text of page {i} {WORDS}</p></div><p class='foot'>about</p>" for i in range(6)]
+    df = hosted(spark, bodies)
+    assert [t.roots for t in templates(df.selectExpr("*", "'h' as host")).collect()] == [[">html>body>div.c"]]
+    assert texts(spark, bodies) == {i: f"T{i}\n\ntext of page {i} {WORDS.strip()}" for i in range(6)}
+
+
+def test_several_slots_stay(spark):
+    """No child holds nearly all of the text, so all of their parent's slots are the article."""
+    bodies = [f"<div class='a'><div class='one'>first {i} {WORDS}</div><div class='two'>second {i} {WORDS}</div></div>" for i in range(4)]
+    assert texts(spark, bodies) == {i: f"first {i} {WORDS}\n\nsecond {i} {WORDS}".replace(" \n", "\n").strip() for i in range(4)}
+
+
+def test_template_text_inside_the_root(spark):
+    bodies = [f"<article><h1>T{i}</h1><p>body {i}</p><div class='legal'><p>All <b>rights</b> reserved by us</p></div></article>" for i in range(5)]
+    assert texts(spark, bodies) == {i: f"T{i}\n\nbody {i}" for i in range(5)}
+    # A text that repeats on fewer than half of the pages is no template.
+    bodies = [f"<article><h1>T{i}</h1><p>{'shared' if i < 2 else f'own {i}'}</p></article>" for i in range(5)]
+    assert texts(spark, bodies) == {i: f"T{i}\n\n{'shared' if i < 2 else f'own {i}'}" for i in range(5)}
+
+
+def test_error_pages_do_not_empty_the_template(spark):
+    bodies = [f"<article><h1>T{i}</h1><p>body {i}</p><p class='legal'>Rights reserved</p></article>" for i in range(6)] + ["<p>Not found", ""]
+    got = texts(spark, bodies)
+    assert [got[i] for i in range(8)] == [*(f"T{i}\n\nbody {i}" for i in range(6)), "Not found", ""]
+
+
+def test_two_pages_have_no_template(spark):
+    bodies = ["<article><p>same text</p><p>one</p></article>", "<article><p>same text</p><p>two</p></article>"]
+    assert texts(spark, bodies) == {0: "same text\n\none", 1: "same text\n\ntwo"}
+
+
+@pytest.mark.parametrize("body_tag", ["<body class='home no-sidebar'>", "<body class='menu-open' id='nav'>", "<body>"])
+@pytest.mark.parametrize("before,after", [("<article>", "</article>"), ("<main><article class='promo-story'>", "</article></main>"), ("<div class='content no-sidebar has-menu'>", "</div>"), ("<main class='sidebar'>", "</main>")])
+def test_ordinary_class_names(spark, body_tag, before, after):
+    bodies = [f"<nav>menu</nav><div class='site-header'></div>{before}<p>body {i} {WORDS}</p><div class='comment-list'>nice</div>{after}<div class='ad-slot'>buy {i}</div>" for i in range(4)]
+    assert texts(spark, bodies, body_tag) == {i: f"body {i} {WORDS.strip()}" for i in range(4)}
+
+
+def test_boilerplate_names():
+    for name in ("ad", "ads top", "site-footer", "cookie_banner", "comment-list", "relatedPosts", "sidebar-2", "main-nav"):
+        assert names_boilerplate("div", name), name
+    for name in ("no-sidebar", "menu-open", "has-ads", "promo-story", "navigate", "header", "shared", "commentary", ""):
+        assert not names_boilerplate("div", name), name
+
+
+def test_text_in_named_elements_only_is_kept():
+    assert main_text("<div class='widget'><p>all there is</p></div>", set(), set()) == "all there is"
+    assert main_text("<div class='widget'><p>no</p></div><p>yes</p>", set(), set()) == "yes"
+    assert main_text("<p>buy <span class='ad'>now</span> here</p>", set(), set()) == "buy here"
+
+
+def brute_force(pages):
+    """Roots and constants of a host from whole occurrence vectors."""
+    vectors, chars = {}, Counter()
+    for i, page in enumerate(pages):
+        opened = []
+        for text, _, chain in blocks(page, opened):
+            path = chain[-1][1] if chain else ""
+            vectors.setdefault((path or ">", text_key(path, text)), Counter())[i] += 1
+            chars[path or ">", text_key(path, text)] += len(text)
+            for c in {c[1] for c in chain}:
+                chars[c, 0] += len(text) * sum(c == d[1] for d in chain)
+        for path in opened:
+            vectors.setdefault((path, 0), Counter())[i] += 1
+    number = {}
+    tokens = [(p, k, number.setdefault(tuple(sorted(v.items())), len(number)), sum(v.values()), len(v), chars[p, k]) for (p, k), v in vectors.items() if 2 * len(v) >= len(pages)]
+    return deduce(len(pages), tokens)
+
+
+def test_sketches_give_the_classes_of_whole_vectors(spark):
+    import random
+
+    r = random.Random(4)
+    for _ in range(4):
+        pages = []
+        for i in range(r.randint(3, 9)):
+            parts = [f"<p>t{r.randint(0, 3)}</p>" if r.random() < 0.5 else f"<div class='k{'ab'[r.randint(0, 1)]}'>w{r.randint(0, 2)} <b>z</b></div>" for _ in range(r.randint(1, 6))]
+            pages.append(f"<html><body><div class='m'>{''.join(parts)}</div>" + ("<section>fixed</section>" if r.random() < 0.8 else ""))
+        df = spark.createDataFrame([(i, "u", p, "h") for i, p in enumerate(pages)], "page_id long, url string, html string, host string")
+        (got,) = templates(df).collect()
+        roots, constants, classes = brute_force(pages)
+        assert got.roots == roots and sorted(c % 2**64 for c in got.constants) == constants and sorted(got.classes) == sorted(classes)
+
+
+def test_join_over_salts_gives_the_same(spark, monkeypatch):
+    df = hosted(spark, [f"<article><p>body {i}</p><p>fixed</p></article>" for i in range(40)])
+    want = sorted(extract(df).collect())
+    monkeypatch.setattr("spanforge.llm.html_extract.BROADCAST_BYTES", -1)
+    assert BROADCAST_BYTES > 0 and sorted(extract(df).collect()) == want
 
 
 def test_odd_rows(spark):
