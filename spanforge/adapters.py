@@ -84,8 +84,15 @@ def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of the traces: an order is the root, its lines are children, even lines have a grandchild."""
+#: Columns of a line that its spans show; lines of an order that are equal in all of them are the same spans.
+LINE = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_tax")
+
+
+def spans(spark: SparkSession, sf_dir: str, calls_only: bool = False) -> DataFrame:
+    """Spans of the traces: an order is the root, its lines are children, even lines have a grandchild.
+
+    ``calls_only``: the children alone, which are the spans with a database statement.
+    """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     nano = lambda micros: (micros.cast("decimal(20,0)") * 1000).cast("decimal(20,0)")
     o = read("orders").join(read("customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"), "left")
@@ -114,8 +121,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     key = F.col("o_orderkey")
     roots = base.select(made(key, F.concat(F.lit("o"), key.cast("string")), F.lit(""), F.concat(F.lit("seg-"), "c_mktsegment"), F.concat(F.lit("order "), "o_orderpriority"), F.col("at"), F.lit(1000), F.lit(0), no_attrs, 0, F.lit(0)).alias("s"))
-    li = read("lineitem")
-    numbered = li.withColumn("seq", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*sorted(li.columns))))
+    numbered = read("lineitem").select("l_orderkey", *LINE).withColumn("seq", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE)))
     lines = numbered.join(base.select("o_orderkey", "at"), F.col("l_orderkey") == key)
     place = F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("seq").cast("string"))
     at = F.col("at") + F.col("seq") * 1000
@@ -129,6 +135,8 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     child_attrs = text_attrs(db__statement=statement, db__system=system, peer__service=peer)
     child = made(key, F.concat(F.lit("l"), place), F.when(orphan, missing).otherwise(F.concat(F.lit("o"), key.cast("string"))), supplier, F.lit("query part"), at, quantity * 10, F.when(F.col("l_returnflag") == "R", 2).otherwise(0), child_attrs, 1, F.col("seq"))
     deeper = made(key, F.concat(F.lit("g"), place), F.concat(F.lit("l"), place), F.when(F.col("l_tax") > 0.04, supplier).otherwise(F.lit("cache")), F.lit("lookup"), at + 1000, quantity, F.lit(0), no_attrs, 2, F.col("seq"))
+    if calls_only:
+        return lines.select(child.alias("s")).select("s.*")
     # A line gives its span and, every second one, another below it: one pass over the numbered lines for both.
     below = lines.select(F.explode(F.array_compact(F.array(child, F.when(F.col("seq") % 2 == 0, deeper)))).alias("s"))
     return roots.union(below).select("s.*")

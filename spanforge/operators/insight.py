@@ -121,14 +121,19 @@ def exemplar_service(metric_entries: DataFrame) -> str | None:
 # --- rollups ---
 
 
+def rollup_services() -> Column:
+    """What an entry counts for: all entries (''), and its service if it has one."""
+    name = F.when(F.coalesce("service_name", F.lit("")) != "", sanitize_service(F.col("service_name")))
+    return F.array_compact(F.array(F.lit(""), name))
+
+
 def rollup(entries: DataFrame, resolutions: tuple[str, ...] = tuple(RESOLUTIONS)) -> DataFrame:
     """signal, resolution, bucket_start_seconds, service, count; the service '' counts all entries.
 
     One scan for all resolutions; a bucket's services are rows, so no map grows with the data.
     """
     kinds = F.array(*(F.struct(F.lit(r).alias("resolution"), F.lit(RESOLUTIONS[r]).alias("width")) for r in resolutions))
-    name = F.when(F.coalesce("service_name", F.lit("")) != "", sanitize_service(F.col("service_name")))
-    rows = entries.select("signal", F.floor(F.unix_millis("observed_at") / 1000).alias("s"), F.explode(F.array_compact(F.array(F.lit(""), name))).alias("service"))
+    rows = entries.select("signal", F.floor(F.unix_millis("observed_at") / 1000).alias("s"), F.explode(rollup_services()).alias("service"))
     rows = rows.groupBy("signal", "s", "service").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.explode(kinds))
     return rows.groupBy("signal", F.col("k.resolution").alias("resolution"), bucket_start(F.col("s"), F.col("k.width")).alias("bucket_start_seconds"), "service").agg(F.sum("n").alias("count"))
 

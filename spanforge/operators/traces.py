@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,9 +59,9 @@ def search(spans: DataFrame, service: str | None = None, min_duration_ms: int |
 
 
 def parse_attribute(text: str) -> tuple[str, str | None]:
-    """``key`` or ``key=value`` of a search request."""
-    key, mark, value = text.partition("=")
-    return key, value if mark else None
+    """``key`` or ``key=value`` of a search request, both trimmed; an empty value asks for the key alone."""
+    key, _, value = text.partition("=")
+    return key.strip(), value.strip() or None
 
 
 def truthy(text: str | None, strict: bool = False) -> bool:
@@ -82,10 +83,8 @@ def attribute_map(attrs: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda a: F.struct(a["key"], attribute_json(a["value"]))))
 
 
-def depth_first(group: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one trace in pre-order, siblings by start; spans that no root reaches come last as they arrived."""
-    group = group.sort_values("arrival", kind="stable").reset_index(drop=True)
-    ids, parents, starts = group.span_id.tolist(), group.parent_span_id.tolist(), group.start_ms.tolist()
+def depth_first(ids: list[str], parents: list[str], starts: list[float]) -> list[tuple[int, int]]:
+    """(span, depth) of one trace's spans, given as they arrived, in pre-order, siblings by start; spans that no root reaches come last."""
     known, below, todo = set(ids), {}, []
     for i in sorted(range(len(ids)), key=starts.__getitem__):
         if not parents[i] or parents[i] not in known:
@@ -93,25 +92,55 @@ def depth_first(group: pd.DataFrame) -> pd.DataFrame:
         else:
             below.setdefault(parents[i], []).append(i)
     todo.reverse()
-    seen, order, depth = set(), [], []
+    seen, out = set(), []
     while todo:
         i, d = todo.pop()
         if i in seen:
             continue
         seen.add(i)
-        order.append(i)
-        depth.append(d)
+        out.append((i, d))
         todo += [(c, d + 1) for c in reversed(below.get(ids[i], ())) if c not in seen]
-    rest = [i for i in range(len(ids)) if i not in seen]
-    out = group.loc[order + rest].assign(position=range(len(ids)), depth=depth + [0] * len(rest))
-    return out[["trace_id", "position", "depth", "span_id", "parent_span_id", "name", "service_name", "start_ms", "duration_ms", "status_code"]]
+    return out + [(i, 0) for i in range(len(ids)) if i not in seen]
+
+
+def _walk(batches):
+    """Rows in the order of trace and arrival; many traces a batch, the last of which may go on in the next one."""
+
+    def walked(table: pa.Table) -> pa.RecordBatch:
+        trace = table.column("trace_id").to_pylist()
+        ids, parents, starts = (table.column(c).to_pylist() for c in ("span_id", "parent_span_id", "start_ms"))
+        cuts = [i for i in range(len(trace)) if i == 0 or trace[i] != trace[i - 1]] + [len(trace)]
+        order, position, depth = [], [], []
+        for a, b in zip(cuts, cuts[1:]):
+            for n, (i, d) in enumerate(depth_first(ids[a:b], parents[a:b], starts[a:b])):
+                order.append(a + i)
+                position.append(n)
+                depth.append(d)
+        rows = table.take(pa.array(order, pa.int64()))
+        names = ["span_id", "parent_span_id", "name", "service_name", "start_ms", "duration_ms", "status_code"]
+        made = pa.table([rows.column("trace_id"), pa.array(position, pa.int32()), pa.array(depth, pa.int32()), *(rows.column(c) for c in names)], ["trace_id", "position", "depth", *names])
+        return made.combine_chunks().to_batches()[0]
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        last = table.column("trace_id")[-1]
+        open_ = pc.index(table.column("trace_id"), last).as_py()
+        if open_:
+            yield walked(table.slice(0, open_))
+        held = table.slice(open_)
+    if held is not None:
+        yield walked(held)
 
 
 def waterfall(spans: DataFrame, trace_id: str | None = None) -> DataFrame:
     """Spans of one trace, or of all, in display order.
 
-    A trace is one group of a handful to a few thousand spans; parents may form cycles, which a recursive query
-    would have to cut, so the walk is done in Arrow batches per trace.
+    A trace is a handful to a few thousand spans; parents may form cycles, which a recursive query would have to cut,
+    so the walk is done in Arrow batches, many sorted traces in each.
     """
     rows = spans.where(F.col("trace_id") == trace_id) if trace_id is not None else spans.where(F.coalesce("trace_id", F.lit("")) != "")
     flat = rows.select(
@@ -126,7 +155,7 @@ def waterfall(spans: DataFrame, trace_id: str | None = None) -> DataFrame:
         F.coalesce("status_code", F.lit(0)).cast("int").alias("status_code"),
     )
     schema = "trace_id string, position int, depth int, span_id string, parent_span_id string, name string, service_name string, start_ms double, duration_ms double, status_code int"
-    return flat.groupBy("trace_id").applyInPandas(depth_first, schema)
+    return flat.repartition("trace_id").sortWithinPartitions("trace_id", "arrival").mapInArrow(_walk, schema)
 
 
 def _recent(spans: DataFrame, now: datetime | None, lookback_ms: int) -> DataFrame:

@@ -12,6 +12,7 @@ import re
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,12 +75,34 @@ class Viewer:
 def _test(name: str, op: str, value: str) -> Column:
     x = F.col(FIELDS[name])
     if op == "regex":
-        found = x.rlike("(?iuU)" + value)
+        found = x.rlike("(?iuU)" + engine_pattern(value))
     else:
         found = F.lower(x) == value.lower() if op == "eq" else F.lower(x).contains(value.lower())
     return F.coalesce(found, F.lit(False))
 
 
+def engine_pattern(pattern: str) -> str:
+    """The pattern for the engine that runs it: names of groups, which nothing reads, are left out."""
+    return re.sub(r"(?<!\\)((?:\\\\)*)\(\?P?<(?![=!])[^>]*>", r"\1(", pattern)
+
+
+def _check_pattern(pattern: str) -> None:
+    """By the engine that will run it where a session is there, else by the one at hand."""
+    from pyspark.errors import PySparkException
+    from pyspark.sql import SparkSession
+
+    session = SparkSession.getActiveSession()
+    try:
+        if session is None:
+            re.compile(pattern)
+        else:
+            session.sparkContext._jvm.java.util.regex.Pattern.compile("(?iuU)" + engine_pattern(pattern))
+    except re.error as e:
+        raise ViewerError("InvalidFilterRegex", e) from None
+    except (Py4JJavaError, PySparkException) as e:
+        raise ViewerError("InvalidFilterRegex", str(e).splitlines()[0]) from None
+
+
 def parse_aggregation(definition: dict) -> Aggregation | None:
     if "aggregation" not in definition:
         return None
@@ -127,10 +150,7 @@ def compile_viewer(definition: dict) -> Viewer:
             # Patterns are linear-time ones: no look-around, no back references.
             if re.search(r"\(\?(?:[=!]|<[=!])|\\[1-9]", text["value"]):
                 raise ViewerError("InvalidFilterRegex", text["value"])
-            try:
-                re.compile(text["value"])
-            except re.error as e:
-                raise ViewerError("InvalidFilterRegex", e) from None
+            _check_pattern(text["value"])
         filters.append((text["field"], text["op"], text["value"]))
     mode = body.get("filter_mode", "and")
     if mode not in ("and", "or"):

@@ -18,7 +18,7 @@ SPANS = """
 base AS (
   SELECT o_orderkey, epoch_us(o_orderdate) AS t0, c_mktsegment, o_orderpriority FROM orders LEFT JOIN customer ON o_custkey = c_custkey
 ), numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount, l_extendedprice, l_linenumber, l_linestatus, l_orderkey, l_partkey, l_quantity, l_returnflag, l_shipdate, l_suppkey, l_tax) AS n FROM lineitem
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus, l_tax) AS n FROM lineitem
 ), lines AS (
   SELECT *, l_orderkey || '-' || n AS place, 'supplier-' || (l_suppkey % 5) AS supplier, CAST(l_quantity AS INTEGER) AS q FROM numbered JOIN base ON l_orderkey = o_orderkey
 ), spans AS (

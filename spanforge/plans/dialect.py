@@ -253,11 +253,11 @@ _ORDER = {"=": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.
 
 
 def _numbers(x: Column, op: str, y: float) -> Column:
-    """Comparison of doubles in which NaN differs from everything; null for null ``x``."""
+    """Comparison of doubles in which NaN differs from everything, also from a missing ``x``; else null for null ``x``."""
     if op == "like":
         return F.lit(False)
     if math.isnan(y):
-        return x.isNotNull() if op == "!=" else F.lit(False)
+        return F.lit(op == "!=")
     plain = _ORDER[op](x, F.lit(y))
     if op == "!=":
         return F.isnan(x) | plain

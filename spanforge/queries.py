@@ -213,8 +213,8 @@ def t_lookup(spark, sf_dir):
     return t.lookup(a.spans(spark, sf_dir), "t7").select("span_id", "name", F.col("start_ns").cast("string").alias("start_ns"))
 
 
-def _waterfall_sql(where: str = "") -> str:
-    return f"""WITH RECURSIVE {SPANS}, own AS (SELECT *, CASE WHEN parent = '' OR parent NOT IN (SELECT span_id FROM spans z WHERE z.trace_id = s.trace_id) THEN NULL ELSE parent END AS up FROM spans s{where}),
+def _waterfall_sql() -> str:
+    return f"""WITH RECURSIVE {SPANS}, own AS (SELECT *, CASE WHEN parent = '' OR parent NOT IN (SELECT span_id FROM spans z WHERE z.trace_id = s.trace_id) THEN NULL ELSE parent END AS up FROM spans s),
 walk AS (
   SELECT trace_id, span_id, 0 AS depth, [struct_pack(s := start_us, r := rs, i := i)] AS path FROM own WHERE up IS NULL
   UNION ALL
@@ -222,13 +222,8 @@ walk AS (
 ) SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY path) - 1 AS INTEGER) AS position, CAST(depth AS INTEGER) AS depth, span_id FROM walk"""
 
 
-@query(_waterfall_sql(" WHERE trace BETWEEN 0 AND 40"))
-def t_waterfall(spark, sf_dir):
-    return t.waterfall(a.spans(spark, sf_dir).where("entry_id BETWEEN 0 AND 40")).select("trace_id", "position", "depth", "span_id")
-
-
 @query(_waterfall_sql())
-def t_waterfall_all(spark, sf_dir):
+def t_waterfall(spark, sf_dir):
     return t.waterfall(a.spans(spark, sf_dir)).select("trace_id", "position", "depth", "span_id")
 
 
@@ -284,17 +279,17 @@ _SLOW = "SELECT statement, db_system, count(*) AS count, quantile_disc(ms, 0.5)
 
 @query(f"{_CALLS} {_SLOW} HAVING p95_ms >= 100")
 def d_slow_queries(spark, sf_dir):
-    return i.slow_queries(i.db_spans(a.spans(spark, sf_dir)))
+    return i.slow_queries(i.db_spans(a.spans(spark, sf_dir, calls_only=True)))
 
 
 @query(f"{_CALLS} {_SLOW} HAVING p95_ms >= 481")
 def d_slow_queries_none(spark, sf_dir):
-    return i.slow_queries(i.db_spans(a.spans(spark, sf_dir)), 481)
+    return i.slow_queries(i.db_spans(a.spans(spark, sf_dir, calls_only=True)), 481)
 
 
 @query(f"{_CALLS} SELECT trace_id, statement, db_system, count(*) AS count, string_agg(DISTINCT service, ',' ORDER BY service) AS services FROM calls GROUP BY trace_id, statement, db_system HAVING count(*) >= 2")
 def d_n_plus_one(spark, sf_dir):
-    return i.n_plus_one(i.db_spans(a.spans(spark, sf_dir)), 2).withColumn("services", F.array_join("services", ","))
+    return i.n_plus_one(i.db_spans(a.spans(spark, sf_dir, calls_only=True)), 2).withColumn("services", F.array_join("services", ","))
 
 
 @query(f"""WITH {ENTRIES}, active AS (SELECT DISTINCT ms - ms % {HOUR} AS b FROM entries WHERE signal = 'metrics' AND ms BETWEEN {NOW_MS} - {7 * DAY} AND {NOW_MS}),

@@ -112,10 +112,11 @@ class ViewerRuntime:
 
 
 def rollup_stream(entries: DataFrame, resolution: str = "1m", late: str = "10 minutes") -> DataFrame:
-    """Counts by signal, bucket and service of a stream of entries, for append or update output."""
+    """Counts by signal, bucket and service of a stream of entries, as ``insight.rollup`` gives them, for append or update output."""
     width = insight.RESOLUTIONS[resolution]
     window = F.window("observed_at", f"{width} seconds")
-    out = entries.withWatermark("observed_at", late).groupBy("signal", window.alias("w"), F.coalesce("service_name", F.lit("")).alias("service")).agg(F.count(F.lit(1)).alias("count"))
+    rows = entries.withColumn("service", F.explode(insight.rollup_services()))
+    out = rows.withWatermark("observed_at", late).groupBy("signal", window.alias("w"), "service").agg(F.count(F.lit(1)).alias("count"))
     return out.select("signal", F.unix_seconds("w.start").alias("bucket_start_seconds"), "service", "count")
 
 

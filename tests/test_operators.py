@@ -234,6 +234,6 @@ def test_waterfall_query_covers_all_traces(spark):
     from spanforge import adapters
     from spanforge.queries import QUERIES
 
-    got = QUERIES["t_waterfall_all"](spark, "/root/testdata/sf0.001")
+    got = QUERIES["t_waterfall"](spark, "/root/testdata/sf0.001")
     spans = adapters.spans(spark, "/root/testdata/sf0.001").select("trace_id", "span_id")
     assert got.select("trace_id", "span_id").exceptAll(spans).count() == spans.exceptAll(got.select("trace_id", "span_id")).count() == 0
