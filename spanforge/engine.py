@@ -4,8 +4,9 @@
     engine.ingest(requests)                       # signal, content_type, content_encoding, body
     engine.query("SELECT service_name, count(*) FROM logs GROUP BY service_name", lookback_ms=3_600_000)
 
-Bodies are parsed once, when they are landed: decoded tables by day, rollups and the attribute index are written
-then, and queries read only those.  ``now`` is a parameter everywhere; left out it is the wall clock.  A look-back
+Bodies are parsed once, when they are landed, into a struct that all decoded tables, rollups, error groups and the attribute
+index are taken from; queries read only those.  A batch of requests counts once all its tables are written
+(``landing.Log``), so a failure in between shows nothing and a batch that comes again under its key is taken once.  ``now`` is a parameter everywhere; left out it is the wall clock.  A look-back
 prunes days; bounds on scanned rows are off unless asked for.
 """
 
@@ -27,6 +28,11 @@ MINUTE = 60_000
 APM_LOOKBACK_MS = 5 * MINUTE
 MAP_LOOKBACK_MS = 10 * MINUTE
 EXEMPLAR_BUCKET_MS = MINUTE
+#: Where a table's rows name the entry that they came from: signal, stream_ms, stream_seq.
+IDS = {
+    "landing": ("signal", "stream_ms", "stream_seq"), "entries": ("signal", "stream_ms", "stream_seq"), "spans": ("'traces'", "ord.ms", "ord.seq"),
+    "points": ("'metrics'", "ord.ms", "ord.seq"), "records": ("'logs'", "ord.ms", "ord.seq"),
+}
 #: What is written of each landed request.
 DECODED = {
     "entries": otlp.entries, "spans": otlp.spans, "points": otlp.metric_points, "records": otlp.log_records,
@@ -34,45 +40,71 @@ DECODED = {
 }
 
 
+#: Partitions of tables below those of their batch, where it is not the day.
+BY = {"landing": landing.PARTITIONS, "rollups": ("signal", "resolution")}
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, catalog: Catalog | None = None):
-        self.spark, self.root, self.catalog = spark, root.rstrip("/"), catalog or Catalog()
+    def __init__(self, spark: SparkSession, root: str, catalog: Catalog | None = None, retention: int | None = None):
+        """``retention``: how many newest entries of each signal are kept; all if None."""
+        self.spark, self.root, self.catalog, self.retention = spark, root.rstrip("/"), catalog or Catalog(), retention
+        self.log = landing.Log(spark, self.root)
 
     # --- data ---
 
-    def ingest(self, requests: DataFrame, now: datetime | None = None) -> DataFrame:
-        """Lands the requests that can be taken, arrived ``now``; gives all with the status of each."""
+    def ingest(self, requests: DataFrame, now: datetime | None = None, key: str | None = None) -> DataFrame:
+        """Lands the requests that can be taken, arrived ``now``; gives all with the status of each.
+
+        ``key`` names the batch: one that was taken already is not taken again.
+        """
         taken = otlp.normalize(requests)
         at = now or datetime.now(timezone.utc)
-        good = taken.where("status = 200").select("signal", F.lit(at).cast("timestamp").alias("observed_at"), F.lit(None).cast("string").alias("service_name"), "payload")
-        rows = landing.with_ids(good).withColumn("entry_id", F.xxhash64("signal", "stream_ms", "stream_seq", "payload"))
-        bodies = otlp.name_services(otlp.decode_bodies(rows)).persist()
-        try:
-            landing.append(bodies.select("entry_id", "stream_ms", "stream_seq", "signal", "observed_at", "service_name", "payload"), f"{self.root}/landing")
-            for name, made in DECODED.items():
-                self._append(made(bodies).withColumn("day", F.to_date("observed_at")), name, "day")
-            self._append(insight.rollup(otlp.entries(bodies)), "rollups", "signal", "resolution")
-        finally:
-            bodies.unpersist()
+        batch = self.log.reserve(int(at.timestamp() * 1000), key)
+        if not batch.committed:
+            good = taken.where("status = 200").select("signal", F.lit(at).cast("timestamp").alias("observed_at"), F.lit(None).cast("string").alias("service_name"), "payload")
+            rows = landing.with_ids(good, batch).withColumn("entry_id", F.xxhash64("signal", "stream_ms", "stream_seq", "payload"))
+            bodies = otlp.name_services(otlp.parse(otlp.decode_bodies(rows))).persist()
+            try:
+                for name, df in self._tables(bodies).items():
+                    df.write.mode("overwrite").partitionBy(*BY.get(name, ("day",))).parquet(f"{self.root}/{name}/batch={batch.number}")
+            finally:
+                bodies.unpersist()
+            self.log.commit(batch)
+            self.__dict__.pop("_floors", None)
         return taken.select("signal", "status")
 
-    def _append(self, df: DataFrame, name: str, *by: str) -> None:
-        df.write.mode("append").partitionBy(*by).parquet(f"{self.root}/{name}")
+    def _tables(self, bodies: DataFrame) -> dict[str, DataFrame]:
+        daily = {name: made(bodies).withColumn("day", F.to_date("observed_at")) for name, made in DECODED.items()}
+        found = insight.span_errors(otlp.spans(bodies)).unionByName(insight.log_errors(otlp.log_records(bodies)))
+        landed = bodies.select("entry_id", "stream_ms", "stream_seq", "signal", "observed_at", "service_name", "payload").withColumn("day", F.to_date("observed_at"))
+        return daily | {"landing": landed, "rollups": insight.rollup(otlp.entries(bodies)), "errors": insight.error_groups(found).withColumn("day", F.to_date("last_seen"))}
 
     @cached_property
     def _schemas(self) -> dict:
-        """Schemas of the decoded tables, which may hold no file yet of a signal that has not come."""
-        none = self.spark.createDataFrame([], f"{RAW_ENTRY}, body string")
-        tables = {name: made(none).withColumn("day", F.to_date("observed_at")) for name, made in DECODED.items()}
-        return {name: df.schema for name, df in (tables | {"rollups": insight.rollup(otlp.entries(none))}).items()}
+        """Schemas of the tables, which may hold no file yet of a signal that has not come."""
+        none = otlp.parse(self.spark.createDataFrame([], f"{RAW_ENTRY}, body string"))
+        return {name: df.withColumn("batch", F.lit(0)).schema for name, df in self._tables(none).items()}
+
+    @cached_property
+    def _floors(self) -> dict[str, tuple[int, int]]:
+        return landing.floors(self._stored("landing"), self.retention) if self.retention else {}
+
+    def _stored(self, name: str) -> DataFrame:
+        if not self.log.batches():
+            return self.spark.createDataFrame([], self._schemas[name]).drop("batch")
+        return self.log.whole(self.spark.read.schema(self._schemas[name]).option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}"))
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(self._schemas[name]).parquet(f"{self.root}/{name}")
+        """Rows of committed batches, of kept entries where they name one."""
+        rows = self._stored(name)
+        if name in IDS and self._floors:
+            rows = rows.where(landing.above(self._floors, *map(F.expr, IDS[name])))
+        return rows
 
     @property
     def bodies(self) -> DataFrame:
         """Landed requests as JSON text, for previews."""
-        return otlp.decode_bodies(landing.read(self.spark, f"{self.root}/landing"))
+        return otlp.decode_bodies(self.table("landing").withColumn("service_name", F.nullif(F.col("service_name"), F.lit(""))))
 
     def entries(self) -> DataFrame:
         return self.table("entries")
@@ -142,8 +174,14 @@ class Engine:
             out.append(p | {"viewer": None if not known else self.catalog.get("viewer", p["viewer_id"]) if lazy else self.viewer(p["viewer_id"], now, **filters)})
         return out
 
-    def services(self) -> DataFrame:
-        return viewers.services(self.entries())
+    def services(self, now: datetime | None = None) -> DataFrame:
+        """Of the entries that are live in an enabled viewer."""
+        at = now or datetime.now(timezone.utc)
+        live = [viewers.compile_viewer(v) for v in self.catalog.enabled_viewers()]
+        if not live:
+            return viewers.services(self.entries().limit(0))
+        recent = self._recent("entries", at, max(v.lookback_ms for v in live), inclusive=False)
+        return viewers.services(viewers.fan_out(live, recent, at))
 
     def attribute_index(self) -> DataFrame:
         return self.table("attributes").dropDuplicates(["key", "value", "entry_id"])
@@ -168,14 +206,15 @@ class Engine:
         return traces.waterfall(self.spans(), trace_id.strip())
 
     def service_map(self, now: datetime | None = None, lookback_ms: int = MAP_LOOKBACK_MS) -> tuple[DataFrame, DataFrame]:
-        s, at = self.spans(), now or datetime.now(timezone.utc)
+        at = now or datetime.now(timezone.utc)
+        s = self._recent("spans", at, lookback_ms) if lookback_ms > 0 else self.spans()
         return traces.service_nodes(s, at, lookback_ms), traces.service_edges(s, at, lookback_ms)
 
     # --- errors and calls ---
 
     def error_groups(self, now: datetime | None = None, lookback_ms: int | None = None) -> DataFrame:
-        found = insight.span_errors(self.spans()).unionByName(insight.log_errors(self.table("records")))
-        return insight.recent_error_groups(insight.error_groups(found), now or datetime.now(timezone.utc), lookback_ms)
+        """Groups are kept by batch when it is landed; here they are folded, a row a group and batch."""
+        return insight.recent_error_groups(insight.fold_error_groups(self._stored("errors").drop("day")), now or datetime.now(timezone.utc), lookback_ms)
 
     def _calls(self, now: datetime | None, lookback_ms: int) -> DataFrame:
         return insight.db_spans(self._recent("spans", now, max(lookback_ms, 0)))
@@ -194,7 +233,7 @@ class Engine:
             raise CatalogError(400, "not a viewer of metrics")
         at = now or datetime.now(timezone.utc)
         metric = self._live(v, at).where("signal = 'metrics'")
-        return insight.exemplars(metric, self.spans(), at, lookback_ms or v.lookback_ms, bucket_ms, insight.exemplar_service(metric), max_samples)
+        return insight.exemplars(metric, self._recent("spans", at, lookback_ms or v.lookback_ms), at, lookback_ms or v.lookback_ms, bucket_ms, insight.exemplar_service(metric), max_samples)
 
     def rollups(self, signal: str, from_ms: int, to_ms: int, resolution: str = "1m") -> DataFrame:
         return insight.rollup_range(self.table("rollups"), signal, resolution, from_ms, to_ms)
@@ -219,7 +258,8 @@ class Engine:
         at = now or datetime.now(timezone.utc)
         live = [viewers.compile_viewer(v) for v in self.catalog.enabled_viewers()]
         seen = self.spark.createDataFrame([(v.id,) for v in live], "viewer_id string")
-        rows = viewers.fan_out(live, self.entries()) if live else self.entries().withColumn("viewer_id", F.lit(""))
+        recent = self._recent("entries", at, max([0, *(v.lookback_ms for v in live)]), inclusive=False)
+        rows = viewers.fan_out(live, recent) if live else recent.withColumn("viewer_id", F.lit(""))
         spans_of = self.spark.createDataFrame([(v.id, at - timedelta(milliseconds=v.lookback_ms)) for v in live], "viewer_id string, since timestamp")
         counted = rows.join(F.broadcast(spans_of), "viewer_id").where("observed_at > since").groupBy("viewer_id").agg(F.count(F.lit(1)).alias("n"))  # a row a viewer
         counts = seen.join(counted, "viewer_id", "left").select("viewer_id", F.coalesce("n", F.lit(0)).alias("count"))

@@ -58,6 +58,13 @@ def merge_error_groups(old: DataFrame, new: DataFrame, overwrite: bool = False)
     return out.select("fingerprint", "count", "first_seen", "last_seen", *(f"n.{c}" for c in rest))
 
 
+def fold_error_groups(groups: DataFrame) -> DataFrame:
+    """Groups of many batches as one row a fingerprint: counts add up, bounds widen, the newest sample stays."""
+    rest = [c for c in groups.columns if c not in ("fingerprint", "count", "first_seen", "last_seen")]
+    out = groups.groupBy("fingerprint").agg(F.sum("count").alias("count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max(F.struct("last_seen", *rest)).alias("n"))
+    return out.select("fingerprint", "count", "first_seen", "last_seen", *(f"n.{c}" for c in rest))
+
+
 def recent_error_groups(groups: DataFrame, now: datetime, lookback_ms: int | None = None) -> DataFrame:
     ms = lookback_ms if lookback_ms and lookback_ms > 0 else 3_600_000
     return groups.where(F.col("last_seen") >= F.lit(now - timedelta(milliseconds=ms))).orderBy(F.desc("last_seen"), "fingerprint")

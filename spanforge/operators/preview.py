@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import attribute_text, squeeze
 from ..plans.dialect import number_text
+from ..schema import SHOWN_METRICS
 from ..sources.otlp import _attrs, _exploded, _inner, _parsed, body_text, service_name
 from .viewers import newest
 
@@ -42,7 +43,7 @@ def structured(bodies: DataFrame) -> DataFrame:
     metrics = _inner(p, "resourceMetrics", "scopeMetrics", "metrics")
     name, value = first(metrics, lambda m: m["name"]), first(metrics, shown_value).try_cast("double")
     shown = F.when(name.isNotNull(), part("value", number_text(value)))
-    measured = _parsed(bodies, "metrics").select("entry_id", line(part("service", service_name(p, "resourceMetrics")), part("metric", name), shown).alias("structured"))
+    measured = _parsed(bodies, "metrics", SHOWN_METRICS).select("entry_id", line(part("service", service_name(p, "resourceMetrics")), part("metric", name), shown).alias("structured"))
     return traces.unionByName(logs).unionByName(measured)
 
 
@@ -63,7 +64,7 @@ def shown_value(metric):
 
 def metric_rows(bodies: DataFrame, query: str | None = None) -> DataFrame:
     """A row each metric whose name holds the query: observed_at, service_name, metric_name, metric_value."""
-    x = _exploded(_parsed(bodies, "metrics"), "resourceMetrics", "scopeMetrics", "metrics").where("x.name IS NOT NULL")
+    x = _exploded(_parsed(bodies, "metrics", SHOWN_METRICS), "resourceMetrics", "scopeMetrics", "metrics").where("x.name IS NOT NULL")
     if query:
         x = x.where(F.lower("x.name").contains(query.lower()))
     service = attribute_text(_attrs("r.resource.attributes"), "service.name")

@@ -186,9 +186,10 @@ def matching(viewer: Viewer, entries: DataFrame, now: datetime) -> DataFrame:
     return within_lookback(entries.where(viewer.predicate()), viewer.lookback_ms, now)
 
 
-def fan_out(viewers: list[Viewer], entries: DataFrame) -> DataFrame:
-    """Each entry once for every viewer that it meets, in one pass: adds ``viewer_id``."""
-    ids = F.array_compact(F.array(*(F.when(v.predicate(), F.lit(v.id)) for v in viewers)))
+def fan_out(viewers: list[Viewer], entries: DataFrame, now: datetime | None = None) -> DataFrame:
+    """Each entry once for every viewer that it meets, within its look-back where ``now`` is given, in one pass: adds ``viewer_id``."""
+    meets = lambda v: v.predicate() if now is None else v.predicate() & (F.col("observed_at") > F.lit(now - timedelta(milliseconds=v.lookback_ms)))
+    ids = F.array_compact(F.array(*(F.when(meets(v), F.lit(v.id)) for v in viewers)))
     return entries.withColumn("viewer_id", F.explode(ids))
 
 

@@ -12,7 +12,8 @@ SPAN = (
     "struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:string,startTimeUnixNano:string,endTimeUnixNano:string,"
     f"status:struct<code:string,message:string>,attributes:{ATTRS},events:array<struct<name:string,timeUnixNano:string,attributes:{ATTRS}>>>"
 )
-POINTS = f"struct<dataPoints:array<struct<asDouble:string,asInt:string,sum:string,attributes:{ATTRS}>>>"
+#: A quoted double is no number, so doubles are read as such; a whole number counts quoted or not.
+POINTS = f"struct<dataPoints:array<struct<asDouble:double,asInt:string,sum:double,attributes:{ATTRS}>>>"
 KINDS = ("sum", "gauge", "histogram", "summary", "exponentialHistogram")
 METRIC = "struct<name:string," + ",".join(f"{k}:{POINTS}" for k in KINDS) + ">"
 RECORD = f"struct<severityText:string,severityNumber:string,body:string,attributes:{ATTRS}>"
@@ -21,4 +22,6 @@ BODIES = {
     "metrics": f"struct<resourceMetrics:array<struct<resource:{RESOURCE},scopeMetrics:array<struct<metrics:array<{METRIC}>>>>>>",
     "logs": f"struct<resourceLogs:array<struct<resource:{RESOURCE},scopeLogs:array<struct<logRecords:array<{RECORD}>>>>>>",
 }
+#: Metrics as previews show them, any scalar as it stands.
+SHOWN_METRICS = BODIES["metrics"].replace("asDouble:double", "asDouble:string").replace("sum:double", "sum:string")
 RAW_ENTRY = "entry_id bigint, stream_ms bigint, stream_seq bigint, signal string, observed_at timestamp, service_name string, payload binary"

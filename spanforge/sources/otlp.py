@@ -237,8 +237,18 @@ def decode_bodies(raw: DataFrame) -> DataFrame:
     return raw.where(is_json).withColumn("body", text).unionByName(raw.where(~is_json).mapInArrow(run, f"{fields}, body string"))
 
 
-def _parsed(entries: DataFrame, signal: str) -> DataFrame:
-    """Entries of a signal with ``p``, their parsed body: each is parsed once."""
+def parse(entries: DataFrame) -> DataFrame:
+    """Adds ``parsed``: the body by its signal.  What reads it later does not parse again."""
+    by_signal = (F.when(F.col("signal") == s, F.from_json("body", shape, {"mode": "PERMISSIVE"})).alias(s) for s, shape in BODIES.items())
+    return entries.withColumn("parsed", F.struct(*by_signal))
+
+
+def _parsed(entries: DataFrame, signal: str, shape: str | None = None) -> DataFrame:
+    """Entries of a signal with ``p``, their parsed body: each is parsed once; ``shape``: other types than the tables'."""
+    if shape is not None:
+        return entries.where(F.col("signal") == signal).withColumn("p", F.from_json("body", shape, {"mode": "PERMISSIVE"}))
+    if "parsed" in entries.columns:
+        return entries.where(F.col("signal") == signal).withColumn("p", F.col(f"parsed.{signal}"))
     return entries.where(F.col("signal") == signal).withColumn("p", F.from_json("body", BODIES[signal], {"mode": "PERMISSIVE"}))
 
 
@@ -266,8 +276,10 @@ def spans(bodies: DataFrame) -> DataFrame:
 
 
 def point_value(point: Column) -> Column:
-    """asDouble, asInt, then sum of a data point."""
-    return F.coalesce(point["asDouble"].try_cast("double"), point["asInt"].try_cast("double"), point["sum"].try_cast("double"))
+    """asDouble, asInt, then sum of a data point, of JSON numbers; asInt may also be a whole number in quotes."""
+    number = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    whole = F.when(point["asInt"].rlike(r"^[+-]?[0-9]+$"), point["asInt"].try_cast("bigint").cast("double"))
+    return F.coalesce(number(point["asDouble"]), whole, number(point["sum"]))
 
 
 def metric_value(metric: Column) -> Column:
@@ -313,6 +325,9 @@ _OUTER = {"traces": "resourceSpans", "metrics": "resourceMetrics", "logs": "reso
 
 def name_services(bodies: DataFrame) -> DataFrame:
     """``service_name`` of new entries from their bodies; only the resource blocks are parsed."""
+    if "parsed" in bodies.columns:
+        found = F.coalesce(*(F.when(F.col("signal") == s, service_name(F.col(f"parsed.{s}"), o)) for s, o in _OUTER.items()))
+        return bodies.withColumn("service_name", F.coalesce("service_name", found))
     shape = "struct<" + ",".join(f"{o}:array<struct<resource:{RESOURCE}>>" for o in _OUTER.values()) + ">"
     parsed = bodies.withColumn("_p", F.from_json("body", shape, {"mode": "PERMISSIVE"}))
     found = F.coalesce(*(F.when(F.col("signal") == s, service_name(F.col("_p"), o)) for s, o in _OUTER.items()))

@@ -1,10 +1,13 @@
 """Continuous viewers over landed entries.
 
-``ViewerRuntime`` takes each micro-batch once, decodes it once, appends the decoded rows to a table and works out
-the viewers anew over their look-back in that table: windows are short against history, and this is exact for
-partly expired buckets, which retraction of single rows would have to imitate.  Checkpoints hold the position, so
-a restart goes on where it stopped.  ``rollup_stream`` and ``stateful_buckets`` are the native forms for what needs
-no retraction and for what keeps its own state.
+``ViewerRuntime`` takes each micro-batch once, decodes it once and writes under the batch's number the decoded rows,
+rollups, attribute index and error groups, so a batch that comes again overwrites itself.  Viewers are worked out anew over
+their look-back: one pass over the days that the longest look-back needs deals the entries to all viewers
+(``viewers.fan_out``), which is exact for partly expired buckets.  A change of a viewer is worked out at once, from the
+viewer's live entries.  Results are kept as snapshots by viewer and revision next to the entries; after a restart a
+snapshot counts only if its viewer still has the revision.  Checkpoints hold the position, so a restart goes on where
+it stopped.  ``rollup_stream`` and ``stateful_buckets`` are the native forms for what needs no retraction and for what
+keeps its own state.
 """
 
 from __future__ import annotations
@@ -12,22 +15,25 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.core import bucket_start
 from ..operators import insight, viewers
 from ..operators.viewers import Aggregation, Viewer
 from ..sources import landing, otlp
 
 
+SNAPSHOT = "viewer_id string, revision int, taken_ms bigint, kind string, rows array<string>"
+
+
 class ViewerRuntime:
-    """Keeps entries in ``root``/entries and the viewers' last results in memory."""
+    """Keeps entries in ``root``/entries, side tables next to them, and the viewers' last results in memory and as snapshots."""
 
     def __init__(self, spark: SparkSession, root: str, clock: Callable[[], datetime] | None = None, alerts: list | None = None, on_alert: Callable | None = None):
         self.spark, self.root = spark, root.rstrip("/")
@@ -38,72 +44,156 @@ class ViewerRuntime:
         self.alerts, self.on_alert = list(alerts or ()), on_alert
         self.alert_status: dict[str, str] = {}
         self._last_run: dict[str, float] = {}
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._saved = self._load()
 
     # definitions
 
     def add(self, viewer: Viewer) -> None:
+        """Takes a viewer up, with its snapshot if there is one of the same revision."""
         self.viewers[viewer.id] = viewer
         self.status[viewer.id] = {"type": "ok"}
+        saved = self._saved.get(viewer.id)
+        if saved is not None and saved.revision == viewer.revision and viewer.id not in self.results:
+            self.results[viewer.id] = self._rows(saved)
 
     def update(self, viewer: Viewer) -> str:
-        """What the change asks for: ``metadata``, ``recompute`` or ``rebuild``; results follow at the next batch."""
+        """Takes a change up and works it out: ``rebuild`` (other entries are met), ``recompute`` (another aggregation) or ``metadata``."""
         old = self.viewers.get(viewer.id)
-        self.add(viewer)
-        if old is None:
-            return "rebuild"
         matcher = lambda v: (v.signal_mask, v.lookback_ms, v.query, v.filters, v.any_filter)
-        if matcher(old) != matcher(viewer):
-            return "rebuild"
-        return "recompute" if old.aggregation != viewer.aggregation else "metadata"
+        if old is None or matcher(old) != matcher(viewer):
+            action = "rebuild"
+        else:
+            action = "recompute" if old.aggregation != viewer.aggregation else "metadata"
+        if action != "metadata":
+            self.results.pop(viewer.id, None)
+        self.viewers[viewer.id] = viewer
+        self.status[viewer.id] = {"type": "ok"}
+        if action != "metadata" and self._has(self.table()):
+            now = self.clock()
+            self._work_out(viewer, viewers.matching(viewer, self._recent([viewer], now), now))
+        if viewer.id in self.results:
+            self._snapshot()
+        return action
 
     def remove(self, viewer_id: str) -> None:
         for kept in (self.viewers, self.results, self.status):
             kept.pop(viewer_id, None)
 
+    # snapshots
+
+    def _has(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
+    def _load(self) -> dict:
+        """The newest snapshot of each viewer."""
+        if not self._has(f"{self.root}/snapshots"):
+            return {}
+        names = sorted((f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.root}/snapshots")) if f.getPath().getName().startswith("at=")), key=lambda n: int(n[3:]))
+        for name in reversed(names):
+            if self._has(f"{self.root}/snapshots/{name}/_SUCCESS"):
+                return {r.viewer_id: r for r in self.spark.read.schema(SNAPSHOT).parquet(f"{self.root}/snapshots/{name}").collect()}
+        return {}
+
+    def _rows(self, saved) -> list:
+        texts = self.spark.createDataFrame([(i, t) for i, t in enumerate(saved.rows)], "i int, t string").orderBy("i")
+        return [r.x for r in texts.select(F.from_json("t", saved.kind).alias("x")).collect()]
+
+    def _snapshot(self) -> None:
+        """Writes the results of all viewers with their revisions; the one before is kept until the next is whole."""
+        ms = int(self.clock().timestamp() * 1000)
+        rows = []
+        for v in self.viewers.values():
+            if v.id in self.results and v.id in self._kinds:
+                kind = self._kinds[v.id]
+                texts = [r[0] for r in self.spark.createDataFrame(self.results[v.id], kind).select(F.to_json(F.struct("*"))).collect()] if self.results[v.id] else []
+                rows.append((v.id, v.revision, ms, kind.simpleString(), texts))
+        folder, path = self._path(f"{self.root}/snapshots"), self._path
+        old = [f.getPath() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        number = 1 + max([0, *(int(p.getName()[3:]) for p in old if p.getName().startswith("at="))])
+        self.spark.createDataFrame(rows, SNAPSHOT).coalesce(1).write.parquet(f"{self.root}/snapshots/at={number}")
+        for p in sorted(old, key=lambda p: p.getName()):
+            if p.getName().startswith("at=") and int(p.getName()[3:]) < number - 1:
+                self._fs.delete(path(f"{self.root}/snapshots/{p.getName()}"), True)
+        self._saved = {r[0]: Row(**dict(zip(("viewer_id", "revision", "taken_ms", "kind", "rows"), r))) for r in rows}
+
+    @property
+    def _kinds(self) -> dict:
+        return self.__dict__.setdefault("_kinds_of", {k: T._parse_datatype_string(s.kind) for k, s in self._saved.items()})
+
     # work
 
     def table(self) -> str:
         return f"{self.root}/entries"
 
     def start(self, stream: DataFrame, available_now: bool = False, interval: str = "1 second") -> StreamingQuery:
-        """Runs ``stream`` of raw entries; each batch is appended under its own folder, so a repeat overwrites it."""
+        """Runs ``stream`` of raw entries; each batch is written under its own number, so a repeat overwrites it."""
         writer = stream.writeStream.foreachBatch(self._batch).option("checkpointLocation", f"{self.root}/checkpoint")
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
     def _batch(self, batch: DataFrame, number: int) -> None:
-        decoded = otlp.entries(otlp.decode_bodies(batch)).withColumn("day", F.to_date("observed_at"))
-        decoded.write.mode("overwrite").partitionBy(*landing.PARTITIONS).parquet(f"{self.table()}/batch={number}")
+        bodies = otlp.parse(otlp.decode_bodies(batch)).persist()
+        try:
+            side_tables(bodies, self.root, number)
+            decoded = otlp.entries(bodies).withColumn("day", F.to_date("observed_at"))
+            decoded.write.mode("overwrite").partitionBy(*landing.PARTITIONS).parquet(f"{self.table()}/batch={number}")
+        finally:
+            bodies.unpersist()
         self.refresh(self.clock())
 
     def entries(self) -> DataFrame:
         return self.spark.read.option("basePath", self.table()).parquet(f"{self.table()}/batch=*").drop("batch")
 
+    def _recent(self, of: list[Viewer], now: datetime) -> DataFrame:
+        """Entries of the days that the longest look-back needs; a day's name depends on the time zone."""
+        first = (now - timedelta(milliseconds=max([0, *(v.lookback_ms for v in of)]), days=1)).date()
+        return self.entries().where(F.col("day") >= F.lit(first))
+
+    def _work_out(self, v: Viewer, live: DataFrame) -> None:
+        try:
+            out = viewers.aggregate(v.aggregation, live) if v.aggregation else viewers.newest(live)
+            self.results[v.id] = out.collect()
+            self._kinds[v.id] = out.schema
+            self.status[v.id] = {"type": "ok"}
+        except Exception as e:
+            self.status[v.id] = {"type": "degraded", "reason": str(e)[:200]}
+
     def refresh(self, now: datetime) -> None:
-        """Works out all viewers, and the alerts that are due, as of ``now``."""
-        rows = self.entries()
-        for v in self.viewers.values():
+        """Works out all viewers, and the alerts that are due, as of ``now``, from one pass over the recent entries."""
+        known = list(self.viewers.values())
+        rows = self._recent(known, now)
+        columns = rows.columns
+        dealt, counts = viewers.fan_out(known, rows, now).persist() if known else None, {}
+        try:
             try:
-                found = viewers.matching(v, rows, now)
-                out = viewers.aggregate(v.aggregation, found) if v.aggregation else viewers.newest(found)
-                self.results[v.id] = out.collect()
-                self.status[v.id] = {"type": "ok"}
-            except Exception as e:
-                self.status[v.id] = {"type": "degraded", "reason": str(e)[:200]}
-        self._evaluate(rows, now)
+                counts = {r.viewer_id: r["count"] for r in dealt.groupBy("viewer_id").count().collect()} if known else {}
+                live = lambda v: dealt.where(F.col("viewer_id") == v.id).select(columns)
+            except Exception:  # one viewer's condition fails: each on its own, so the others go on
+                live = lambda v: viewers.matching(v, rows, now)
+                counts = None
+            for v in known:
+                self._work_out(v, live(v))
+        finally:
+            if dealt is not None:
+                dealt.unpersist()
+        self._evaluate(rows, now, counts)
+        self._snapshot()
 
     def panel(self, viewer_id: str, services: str | None = None, query: str | None = None) -> DataFrame | None:
         """A viewer's live entries under a dashboard's filter; None for a viewer that is not there."""
         v = self.viewers.get(viewer_id)
-        return None if v is None else viewers.dashboard_filter(viewers.matching(v, self.entries(), self.clock()), services, query)
+        now = self.clock()
+        return None if v is None else viewers.dashboard_filter(viewers.matching(v, self._recent([v], now), now), services, query)
 
-    def _evaluate(self, rows: DataFrame, now: datetime) -> None:
+    def _evaluate(self, rows: DataFrame, now: datetime, counts: dict | None) -> None:
         ms = now.timestamp() * 1000
         due = [a for a in self.alerts if ms - self._last_run.get(a.id, -1e18) >= a.interval_ms]
         if not due:
             return
-        live = [v for v in self.viewers.values() if any(a.viewer_id == v.id for a in due)]
-        counts = {v.id: viewers.matching(v, rows, now).count() for v in live}
-        frame = self.spark.createDataFrame(list(counts.items()), "viewer_id string, count long")
+        live = [v for v in self.viewers.values() if any(a.viewer_id == v.id for a in due) and self.status[v.id]["type"] == "ok"]
+        found = {v.id: counts.get(v.id, 0) if counts is not None else viewers.matching(v, rows, now).count() for v in live}
+        frame = self.spark.createDataFrame(list(found.items()), "viewer_id string, count long")
         for r in insight.evaluate_alerts(frame, due).collect():
             self._last_run[r.alert_id] = ms
             self.alert_status[r.alert_id] = r.status
@@ -124,7 +214,8 @@ def stateful_buckets(rows: DataFrame, agg: Aggregation, lookback_ms: int) -> Dat
     """Buckets of a stream of (observed_at, group_key, value) with retraction: each key holds the values still live.
 
     A key's state is bounded by its rows inside the look-back; what is older than the newest row by more than that
-    is taken back, and the buckets that it leaves are worked out again.
+    is taken back, and the buckets that it leaves are worked out again: those left empty are given once more, as 0
+    (count, rate, sum) or NaN.
     """
 
     def step(key: tuple, frames, state: GroupState):
@@ -132,26 +223,24 @@ def stateful_buckets(rows: DataFrame, agg: Aggregation, lookback_ms: int) -> Dat
         fresh = pd.concat([f[["ms", "v"]] for f in frames])
         live = pd.concat([live, fresh]).astype({"ms": "int64", "v": "float64"})
         live = live[live.ms > live.ms.max() - lookback_ms]
+        before = set() if not state.exists else {int(m) - int(m) % agg.bucket_ms for m, _ in json.loads(state.get[0])}
         state.update((json.dumps(live.values.tolist()),))
         grouped = live.assign(b=live.ms - live.ms % agg.bucket_ms).groupby("b").v
         rank = lambda p: grouped.apply(lambda v: sorted(v)[-int(-len(v) * p // 1) - 1])
         made = {"count": grouped.count, "rate": lambda: grouped.count() / (agg.bucket_ms / 1000), "sum": grouped.sum, "avg": grouped.mean}.get(agg.fn) or (lambda: rank(int(agg.fn[1:]) / 100))
         out = made()
+        # A bucket that all its values have left is taken back: nothing counted, no value.
+        gone = sorted(before - set(out.index.astype("int64")))
+        out = pd.concat([out.astype("float64"), pd.Series([0.0 if agg.fn in ("count", "rate", "sum") else float("nan")] * len(gone), index=pd.Index(gone, dtype="float64"), dtype="float64")])
         yield pd.DataFrame({"group_key": key[0], "bucket_start_ms": out.index.astype("int64"), "value": out.to_numpy("float64")})
 
     flat = rows.select("group_key", F.unix_millis("observed_at").alias("ms"), F.col("value").cast("double").alias("v"))
     return flat.groupBy("group_key").applyInPandasWithState(step, "group_key string, bucket_start_ms long, value double", "live string", "update", GroupStateTimeout.NoTimeout)
 
 
-def side_tables(bodies: DataFrame, root: str) -> None:
-    """Rollups, attribute index and error groups of a batch, each appended to its table; readers sum or merge them."""
-    decoded = otlp.entries(bodies)
-    insight.rollup(decoded).write.mode("append").parquet(os.path.join(root, "rollups"))
-    insight.attribute_index(*otlp.indexable_attributes(bodies)).write.mode("append").parquet(os.path.join(root, "attributes"))
+def side_tables(bodies: DataFrame, root: str, number: int) -> None:
+    """Rollups, attribute index and error groups of a batch, under its number: a repeat overwrites, readers add up or fold."""
     errors = insight.span_errors(otlp.spans(bodies)).unionByName(insight.log_errors(otlp.log_records(bodies)))
-    insight.error_groups(errors).write.mode("append").parquet(os.path.join(root, "errors"))
-
-
-def bucketed(entries: DataFrame, width_ms: int) -> DataFrame:
-    """Epoch-aligned tumbling buckets of any size."""
-    return entries.withColumn("bucket_start_ms", bucket_start(F.unix_millis("observed_at"), width_ms))
+    made = {"rollups": insight.rollup(otlp.entries(bodies)), "attributes": insight.attribute_index(*otlp.indexable_attributes(bodies)), "errors": insight.error_groups(errors)}
+    for name, df in made.items():
+        df.write.mode("overwrite").parquet(os.path.join(root, name, f"batch={number}"))

@@ -3,6 +3,7 @@ import json
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import T0, attrs, log_body, metric_body, span, trace_body
 
 from spanforge.catalog import Catalog, CatalogError
@@ -30,7 +31,10 @@ def test_queries(engine):
     r = engine.query("SELECT service_name, count(*) AS n FROM traces GROUP BY service_name", now=T0)
     assert r.rows == [("web", 2.0)] and r.scanned == 4
     assert engine.query("SELECT count(*) FROM traces", 60_000, T0).rows == [(1.0,)]
-    assert [x.service_name for x in engine.services().collect()] == ["web"]
+    assert engine.services(T0).count() == 0  # services are those of live viewers
+    seen = engine.catalog.create_viewer("seen", ["logs"], 300_000)
+    assert [x.service_name for x in engine.services(T0).collect()] == ["web"] and engine.services(T0 + timedelta(days=1)).count() == 0
+    engine.catalog.rows["viewer"].pop(seen["id"])
     assert [x.key for x in engine.attribute_keys().collect()] == ["db.statement"] and engine.attribute_values("db.statement", "select 1").count() == 1
     assert [x.trace_id for x in engine.trace_search(only_errors=True).collect()] == ["t1"] and engine.trace("t2").count() == 1
     assert [x.span_id for x in engine.waterfall("t1").orderBy("position").collect()][0] == "r"
@@ -63,3 +67,62 @@ def test_viewers(engine):
     s = c.create_slo("s", m["id"], 99.0, 300_000, {}, {"query": "cpu"})
     assert engine.budget(s["id"], T0).first().current_pct == 100.0
     assert engine.preview({"signal_mask": 4, "lookback_ms": 300_000, "definition_json": {}}, T0)["rows"].first().preview == "service=web | severity=ERROR | body=x | otlp_json"
+
+
+def requests(spark, *bodies):
+    return spark.createDataFrame([("logs", "application/json", None, json.dumps(b).encode()) for b in bodies], "signal string, content_type string, content_encoding string, body binary")
+
+
+def record(text):
+    return log_body({"severityText": "ERROR", "body": text}, **{"service.name": "s"})
+
+
+def ids(engine):
+    return sorted((x.stream_ms, x.stream_seq) for x in engine.entries().collect())
+
+
+def test_two_batches_of_one_millisecond(spark, tmp_path):
+    """Ids go on growing over calls, also with a clock that stands or goes back, so a cursor loses nothing."""
+    from spanforge.operators import viewers
+
+    e = Engine(spark, str(tmp_path), Catalog())
+    e.ingest(requests(spark, record("a"), record("b")), T0)
+    first = ids(e)
+    e.ingest(requests(spark, record("c")), T0)
+    e.ingest(requests(spark, record("d")), T0 - timedelta(seconds=1))
+    assert len(set(ids(e))) == 4
+    left = viewers.read_since(e.entries(), "logs", first[-1], 10).collect()
+    assert [x.payload_text for x in left] == ["ERROR c", "ERROR d"]
+
+
+def test_a_batch_counts_once_and_only_whole(spark, tmp_path, monkeypatch):
+    e = Engine(spark, str(tmp_path), Catalog())
+    e.ingest(requests(spark, record("a")), T0, key="1")
+    e.ingest(requests(spark, record("a")), T0, key="1")
+    assert e.entries().count() == 1 and e.error_groups(T0).first()["count"] == 1
+    whole = e._tables
+    monkeypatch.setattr(e, "_tables", lambda bodies: {k: v for k, v in whole(bodies).items() if k == "entries"} | {"spans": None})
+    with pytest.raises(AttributeError):
+        e.ingest(requests(spark, record("b")), T0, key="2")
+    assert e.entries().count() == 1  # what the failure left does not count
+    monkeypatch.undo()
+    e.ingest(requests(spark, record("c")), T0)
+    e.ingest(requests(spark, record("b")), T0, key="2")
+    assert sorted(x.payload_text for x in e.entries().collect()) == ["ERROR a", "ERROR b", "ERROR c"]
+    assert e.error_groups(T0).agg({"count": "sum"}).first()[0] == 3
+
+
+def test_retention(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), Catalog(), retention=3)
+    for n in range(5):
+        e.ingest(requests(spark, record(f"n {n}")), T0 + timedelta(seconds=n // 2))
+    assert sorted(x.payload_text for x in e.entries().collect()) == ["ERROR n 2", "ERROR n 3", "ERROR n 4"] and e.table("records").count() == 3
+    assert Engine(spark, str(tmp_path), Catalog()).entries().count() == 5
+
+
+def test_days_are_pruned(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), Catalog())
+    body = trace_body(("web", [span("t1", a={"db.statement": "x"})]))
+    e.ingest(requests(spark, record("a")).union(requests(spark, body).withColumn("signal", F.lit("traces"))), T0)
+    for df in (e.service_map(T0)[0], e.slow_queries(T0), e._recent("entries", T0, 1000)):
+        assert "day" in df._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]

@@ -143,3 +143,14 @@ def test_landing(spark, tmp_path):
     ids = spark.createDataFrame([("12-3",), ("x",), ("1-",)], "t string").select(*landing.parse_stream_id(F.col("t"))).collect()
     assert [tuple(r) for r in ids] == [(12, 3), (None, None), (None, None)]
     assert json.dumps(1) == "1"
+
+
+def test_value_of_a_point_by_its_shape(spark):
+    """Numbers are numbers; a quoted whole number counts for asInt, a quoted double for nothing."""
+    shapes = [({"asDouble": 1.5}, 1.5), ({"asDouble": "1.5"}, None), ({"asInt": 7}, 7.0), ({"asInt": "7"}, 7.0), ({"asInt": "7.5"}, None), ({"asInt": 7.5}, None), ({"sum": 2}, 2.0), ({"sum": "2"}, None), ({"asDouble": "x", "asInt": "3"}, 3.0), ({"asDouble": True, "sum": 4.5}, 4.5), ({"asDouble": "NaN"}, None)]
+    bodies = otlp.decode_bodies(raw(spark, *(("metrics", n, "s", metric_body(({}, [("m", "gauge", [p])]))) for n, (p, _) in enumerate(shapes))))
+    got = {r.stream_ms: r.metrics[0].value for r in otlp.entries(bodies).collect()}
+    points = {r.ord.ms: r.value for r in otlp.metric_points(bodies).collect()}
+    assert [got[k] for k in sorted(got, reverse=True)] == [w for _, w in shapes] == [points[k] for k in sorted(points, reverse=True)]
+    same = otlp.entries(otlp.parse(bodies)).select("entry_id", "metrics")
+    assert sorted(same.collect()) == sorted(otlp.entries(bodies).select("entry_id", "metrics").collect())

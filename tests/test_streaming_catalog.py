@@ -55,6 +55,34 @@ def test_runtime_equals_batch(spark, tmp_path):
     assert "cpu" not in rt.results
 
 
+def test_snapshots_by_revision(spark, tmp_path):
+    """After a restart a viewer has its results again if it is the same revision; a change is worked out at once."""
+    land, root = str(tmp_path / "land"), str(tmp_path / "rt")
+    raw(spark, *(("logs", 1000 * n, f"s{n % 3}", log_body({"severityText": "INFO", "body": f"n {n}"})) for n in range(6))).write.parquet(land)
+    agg = {"fn": "count", "bucket_ms": 60_000, "group_by": ["service_name"]}
+
+    def made(id, revision, **body):
+        return viewers.compile_viewer({"id": id, "signal_mask": 4, "lookback_ms": 60_000, "revision": revision, "definition_json": body})
+
+    rt = runtime.ViewerRuntime(spark, root, lambda: T0)
+    rt.add(made("rows", 3))
+    rt.add(made("sums", 1, aggregation=agg))
+    drain(rt.start(landing.stream(spark, land), available_now=True))
+    assert len(rt.results["rows"]) == 6 and rt.results["sums"]
+
+    again = runtime.ViewerRuntime(spark, root, lambda: T0)
+    again.add(made("rows", 3))
+    again.add(made("sums", 2, aggregation=agg))
+    assert [r.payload_text for r in again.results["rows"]] == [r.payload_text for r in rt.results["rows"]] and again.results["rows"][0].observed_at == rt.results["rows"][0].observed_at
+    assert "sums" not in again.results  # another revision
+    assert again.update(made("rows", 4, query="n 1")) == "rebuild" and [r.payload_text for r in again.results["rows"]] == ["INFO n 1"]
+    assert again.update(made("sums", 3, aggregation=agg | {"fn": "rate"})) == "recompute" and {r.value for r in again.results["sums"]} == {2 / 60}
+    assert again.update(made("rows", 5, query="n 1")) == "metadata"
+    last = runtime.ViewerRuntime(spark, root, lambda: T0)
+    last.add(made("rows", 5, query="n 1"))
+    assert [r.payload_text for r in last.results["rows"]] == ["INFO n 1"]
+
+
 def test_degraded_viewer(spark, tmp_path):
     land = str(tmp_path / "land")
     raw(spark, ("logs", 1, "s", {})).write.parquet(land)
@@ -89,10 +117,8 @@ def test_stateful_equals_recompute(spark, tmp_path, fn):
     seen = {}
 
     def keep(df, _):
-        for key in {r.group_key for r in df.select("group_key").collect()}:
-            seen[key] = {}
-        for r in df.collect():
-            seen[r.group_key][r.bucket_start_ms] = r.value
+        for r in df.collect():  # an update sink: only what comes changes
+            seen.setdefault(r.group_key, {})[r.bucket_start_ms] = r.value
 
     query = runtime.stateful_buckets(stream, agg, 12_000).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     drain(query)
@@ -106,16 +132,18 @@ def test_stateful_equals_recompute(spark, tmp_path, fn):
         for m, x in live:
             want.setdefault(m - m % 5_000, []).append(x)
         value = {"sum": sum, "count": len, "avg": lambda v: sum(v) / len(v), "rate": lambda v: len(v) / 5, "p95": lambda v: sorted(v)[math.ceil(0.95 * len(v)) - 1]}[fn]
-        assert seen[key] == {b: float(value(v)) for b, v in want.items()}
+        empty = [x for b, x in seen[key].items() if b not in want]
+        assert all(x == 0 if fn in ("count", "rate", "sum") else math.isnan(x) for x in empty)
+        assert {b: x for b, x in seen[key].items() if b in want} == {b: float(value(v)) for b, v in want.items()}
 
 
 def test_side_tables(spark, tmp_path):
     b = otlp.decode_bodies(raw(spark, ("logs", 5, "s", log_body({"severityText": "ERROR", "body": "x"}, region="eu")), ("traces", 4, "s", trace_body(("s", [span(a={"k": "v"})])))))
     for _ in range(2):
-        runtime.side_tables(b, str(tmp_path))
+        runtime.side_tables(b, str(tmp_path), 7)  # a batch that comes again counts once
     read = lambda n: spark.read.parquet(str(tmp_path / n))
-    assert read("errors").agg(F.sum("count")).first()[0] == 2 and read("attributes").select("key").distinct().count() == 2
-    assert insight.rollup_range(read("rollups"), "logs", "1h", int(T0.timestamp() * 1000) - 10, int(T0.timestamp() * 1000)).agg(F.sum("count")).first()[0] == 2
+    assert insight.fold_error_groups(read("errors").drop("batch")).agg(F.sum("count")).first()[0] == 1 and read("attributes").select("key").distinct().count() == 2
+    assert insight.rollup_range(read("rollups"), "logs", "1h", int(T0.timestamp() * 1000) - 10, int(T0.timestamp() * 1000)).agg(F.sum("count")).first()[0] == 1
 
 
 # --- catalog ---
