@@ -1,14 +1,15 @@
 """Exact top-k search by integer inner product with a pivot table.
 
 Vectors become integers, floor(scale * x).  With one more coordinate, sqrt(M - |x|^2), all candidates have the
-squared norm M, so that a query's distance to a candidate falls as their inner product rises.  Distances of every
-candidate to many pivots are computed once; |d(q, p) - d(x, p)| at the best pivot bounds d(q, x) from below.  The
+squared norm M (per block), so that a query's distance to a candidate falls as their inner product rises.  Distances of every
+candidate to many pivots are computed once, when its block is packed; |d(q, p) - d(x, p)| at the best pivot bounds d(q, x) from below.  The
 query set is dealt in blocks against blocks of candidates; in each pair of blocks the candidates are evaluated in
 the order of their bounds until the next bound is beyond the query's k-th score, which starts from an exact lower
 bound on that score made by each query against one block.  The results of the blocks are merged per query.
 
-All scores are exact: integers below 2**53 in float64, else Python integers.  Bounds are widened by more than the
-rounding error, so rounding never drops a candidate.
+All scores are exact: in double precision where they stay below 2**52, else in 64-bit integers.  Bounds are widened by
+more than the rounding error, so rounding never drops a candidate.  Scores must fit a long: if the largest
+squared norm of the integer vectors reaches 2**63, the search is refused with a ValueError before it begins.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part; vectors of another
 length than the query's are no candidates for it; rows of a query's id are its own and no candidates of it, other repeated rows are candidates each; of equal scores the smaller
@@ -25,72 +26,74 @@ from pyspark.sql import functions as F
 from .common import lean, partitions, read
 
 PIVOTS = 24
-BLOCK = 4096
+BLOCK = 1024
 QUERY_BLOCK = 1024
+#: Rows from which pivots and first bounds come.
+FIRST = 4096
+#: Scores below it are exact in double precision.
+EXACT = 2.0**52
 STEP = 64
 
 
-def _pairs_of(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, tau: np.ndarray, pivots: np.ndarray, k: int):
-    """(query index, candidate index, score) of each query's best k of a block, at least."""
-    peak = float(max(np.abs(x).max(initial=0), np.abs(q).max(initial=0)))
-    if peak * peak * x.shape[1] >= 2**52:
-        out = []
-        for i in range(len(q)):
-            score = [sum(int(a) * int(b) for a, b in zip(q[i], row)) for row in x]
-            best = sorted((j for j in range(len(x)) if ids[j] != q_ids[i]), key=lambda j: (-score[j], ids[j]))[:k]
-            out += [(i, j, score[j]) for j in best]
-        return out
-    norms = (x * x).sum(1)
-    top = max(norms.max(), (pivots * pivots).sum(1).max())
-    lift, p_lift = np.sqrt(top - norms), np.sqrt(top - (pivots * pivots).sum(1))
+def _table(x: np.ndarray, pivots: np.ndarray) -> tuple[float, np.ndarray]:
+    """(M, distances of the block's lifted vectors to the lifted pivots, a row a pivot)."""
+    norms, p_norms = (x * x).sum(1), (pivots * pivots).sum(1)
+    top = float(max(norms.max(), p_norms.max()))
+    lift = np.sqrt(top - norms)[:, None] * np.sqrt(top - p_norms)
+    return top, np.sqrt(np.maximum(2 * top - 2 * (x @ pivots.T + lift), 0)).T.astype(np.float32)
+
+
+def _pairs_of(ids: np.ndarray, x: np.ndarray, top: float, table: np.ndarray, q_ids: np.ndarray, q: np.ndarray, tau: np.ndarray, pivots: np.ndarray, k: int):
+    """((query index, candidate index, score) of each query's best k of a block, at least; how many scores were worked out)."""
+    exact = np.abs(x).max() * np.abs(q).max() * x.shape[1] < EXACT
+    xs, qs = (x, q) if exact else (x.astype(np.int64), q.astype(np.int64))
     q_norm = (q * q).sum(1)
-    p_norm = np.full(len(pivots), top)
-    dx = np.sqrt(np.maximum(2 * top - 2 * (x @ pivots.T + lift[:, None] * p_lift), 0))
-    dq = np.sqrt(np.maximum(q_norm[:, None] + p_norm - 2 * (q @ pivots.T), 0))
-    out = []
-    dx32 = dx.T.astype(np.float32)
+    dq = np.sqrt(np.maximum(q_norm[:, None] + top - 2 * (q @ pivots.T), 0)).astype(np.float32)
+    out, seen = [], 0
     slack = 1e-3 * (1 + np.sqrt(2 * top))
     for i in range(len(q)):
         bound = np.zeros(len(x), np.float32)
         for p in range(len(pivots)):
-            np.maximum(bound, np.abs(dx32[p] - np.float32(dq[i, p])), out=bound)
+            np.maximum(bound, np.abs(table[p] - dq[i, p]), out=bound)
         # |q - x|^2 = |q|^2 + top - 2 * score, so a score of s at least lies within this distance.
-        reach = lambda s: np.sqrt(max(q_norm[i] + top - 2 * s, 0)) + slack  # noqa: B023, E731
+        reach = lambda s: np.sqrt(max(q_norm[i] + top - 2 * float(s), 0)) * (1 + 1e-9) + slack  # noqa: B023, E731
         least = tau[i]
         live = np.flatnonzero(bound <= reach(least)) if np.isfinite(least) else np.arange(len(x))
         live = live[np.argsort(bound[live], kind="stable")]
-        best: list[tuple[float, int, int]] = []
+        best: list[tuple[int, int, int]] = []
         at, step = 0, STEP
         while at < len(live) and (not np.isfinite(least) or bound[live[at]] <= reach(least)):
             part = live[at : at + step]
-            score = x[part] @ q[i]
+            seen += len(part)
+            score = xs[part] @ qs[i]
             ok = (ids[part] != q_ids[i]) & (score >= least)
-            best += [(-s, c, j) for s, c, j in zip(score[ok].tolist(), ids[part[ok]].tolist(), part[ok].tolist())]
+            best += [(-int(s), c, j) for s, c, j in zip(score[ok].tolist(), ids[part[ok]].tolist(), part[ok].tolist())]
             best = sorted(best)[:k]
             if len(best) == k:
                 least = max(least, -best[-1][0])
             at, step = at + step, step * 2
-        out += [(i, j, int(-s)) for s, _, j in best]
-    return out
-
-
-def _pack(df: DataFrame, block: int, name: str, ordered: int) -> DataFrame:
-    """One row a block of vectors: its number, ids and components in binary columns."""
-
-    def run(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, block):
-                part = batch.slice(a, block)
-                dims = np.asarray(part.column(2))
-                for d in np.unique(dims):
-                    at = pa.array(np.flatnonzero(dims == d))
-                    rows = part.take(at)
-                    ids = np.asarray(rows.column(0)).astype(np.int64)
-                    x = np.asarray(rows.column(1).flatten()).astype(np.float64)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(d)], pa.int32()), pa.array([ids.tobytes()]), pa.array([x.tobytes()])], ["dim", f"{name}_ids", f"{name}_x"])
-
-    packed = df.mapInArrow(lean(run), f"dim int, {name}_ids binary, {name}_x binary")
-    return packed
+        out += [(i, j, -s) for s, _, j in best]
+    return out, seen
+
+
+def _blocks(batches, block: int):
+    """(length, ids, vectors) of up to ``block`` rows of vectors of one length, over the batches of a task."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        dims = np.asarray(batch.column(2))
+        for d in np.unique(dims).tolist():
+            rows = batch.take(pa.array(np.flatnonzero(dims == d)))
+            held.setdefault(d, []).append((np.asarray(rows.column(0)).astype(np.int64), np.asarray(rows.column(1).flatten()).astype(np.float64).reshape(-1, d)))
+            if sum(len(i) for i, _ in held[d]) >= block:
+                ids, x = (np.concatenate(c) for c in zip(*held.pop(d)))
+                for a in range(0, len(ids) - block + 1, block):
+                    yield d, ids[a : a + block], x[a : a + block]
+                a = len(ids) // block * block
+                if a < len(ids):
+                    held[d] = [(ids[a:], x[a:])]
+    for d, parts in held.items():
+        ids, x = (np.concatenate(c) for c in zip(*parts))
+        yield d, ids, x
 
 
 def _floats(raw: bytes, dim: int) -> np.ndarray:
@@ -103,46 +106,54 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, block:
     whole = F.transform("embedding", lambda v: F.floor(v.cast("double") * scale).cast("double"))
     finite = ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
     clean = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite).select("vec_id", whole.alias("x"), F.size("embedding").alias("dim"))
-    cands = _pack(clean, block, "c", 0)
-    queries = _pack(clean.where(is_query).repartition(max(1, partitions(spark) // 8), F.xxhash64("vec_id")), QUERY_BLOCK, "q", 1)
+    # No score, nor any part of its sum, is above the largest squared norm.
+    largest = clean.agg(F.max(F.aggregate("x", F.lit(0.0), lambda n, c: n + c * c))).first()[0]
+    if largest is not None and largest >= 2**63 * (1 - 1e-9):
+        raise ValueError("a score may leave 64 bits: components are too large for this scale")
     # Pivots and the first bounds: one bounded block of candidates of each length, however large the table is.
     first: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for row in clean.limit(block).collect():
+    for row in clean.limit(FIRST).collect():
         first.setdefault(row.dim, ([], []))
         first[row.dim][0].append(row.vec_id)
         first[row.dim][1].append(row.x)
     first = {d: (np.array(i, np.int64), np.array(x, np.float64)) for d, (i, x) in first.items()}
+    # A length that the first rows lack has the origin for a pivot: no bound but the norms.
     chosen = {d: _far_apart(x, pivots) for d, (_, x) in first.items()}
     shared = spark.sparkContext.broadcast((first, chosen))
+    pivots_of = lambda centres, d: centres[d] if d in centres else np.zeros((1, d))
 
-    def bounds(batches):
+    def candidates(batches):
+        _, centres = shared.value
+        for d, ids, x in _blocks(batches, block):
+            top, table = _table(x, pivots_of(centres, d))
+            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([ids.tobytes()]), pa.array([x.tobytes()]), pa.array([top]), pa.array([table.tobytes()])], ["dim", "c_ids", "c_x", "c_top", "c_table"])
+
+    def queries_of(batches):
         known, _ = shared.value
-        for batch in batches:
-            for dim, raw_ids, raw_x in zip(*(c.to_pylist() for c in batch.columns)):
-                q, q_ids = _floats(raw_x, dim), np.frombuffer(raw_ids, np.int64)
-                tau = np.full(len(q), -np.inf)
-                if dim in known and len(known[dim][0]) > k:
-                    ids, x = known[dim]
-                    score = q @ x.T
-                    score[q_ids[:, None] == ids[None, :]] = -np.inf
-                    tau = np.partition(score, -k, axis=1)[:, -k]
-                    tau = np.where(np.abs(tau) < 2**52, tau, -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([raw_ids]), pa.array([raw_x]), pa.array([tau.tobytes()])], ["dim", "q_ids", "q_x", "q_tau"])
-
-    queries = queries.mapInArrow(lean(bounds), "dim int, q_ids binary, q_x binary, q_tau binary")
+        for d, q_ids, q in _blocks(batches, QUERY_BLOCK):
+            tau = np.full(len(q), -np.inf)
+            if d in known and len(known[d][0]) > k and np.abs(known[d][1]).max() * np.abs(q).max() * d < EXACT:
+                ids, x = known[d]
+                score = q @ x.T
+                score[q_ids[:, None] == ids[None, :]] = -np.inf
+                tau = np.partition(score, -k, axis=1)[:, -k]
+            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([q_ids.tobytes()]), pa.array([q.tobytes()]), pa.array([tau.tobytes()])], ["dim", "q_ids", "q_x", "q_tau"])
+
+    cands = clean.mapInArrow(lean(candidates), "dim int, c_ids binary, c_x binary, c_top double, c_table binary")
+    queries = clean.where(is_query).repartition(max(1, partitions(spark) // 8), F.xxhash64("vec_id")).mapInArrow(lean(queries_of), "dim int, q_ids binary, q_x binary, q_tau binary")
 
     def search(batches):
         _, centres = shared.value
         for batch in batches:
-            for dim, c_ids, c_x, q_ids, q_x, tau in zip(*(batch.column(n).to_pylist() for n in ("dim", "c_ids", "c_x", "q_ids", "q_x", "q_tau"))):
+            for d, c_ids, c_x, top, table, q_ids, q_x, tau in zip(*(batch.column(n).to_pylist() for n in ("dim", "c_ids", "c_x", "c_top", "c_table", "q_ids", "q_x", "q_tau"))):
                 ids, qi = np.frombuffer(c_ids, np.int64), np.frombuffer(q_ids, np.int64)
-                x = _floats(c_x, dim)
-                got = _pairs_of(ids, x, qi, _floats(q_x, dim), np.frombuffer(tau, np.float64), centres.get(dim, x[:pivots]), k)
+                got, _ = _pairs_of(ids, _floats(c_x, d), top, np.frombuffer(table, np.float32).reshape(-1, len(ids)), qi, _floats(q_x, d), np.frombuffer(tau, np.float64), pivots_of(centres, d), k)
                 yield pa.RecordBatch.from_arrays([pa.array(qi[[g[0] for g in got]] if got else [], pa.int64()), pa.array(ids[[g[1] for g in got]] if got else [], pa.int64()), pa.array([g[2] for g in got], pa.int64())], ["query_id", "vec_id", "score"])
 
-    # Blocks meet in a join on the vectors' length and a salt: each row of a side holds a whole block.
+    # Every block of queries meets every block of candidates; blocks of candidates are dealt evenly over the tasks.
     salts = max(1, partitions(spark))
-    pairs = cands.withColumn("salt", (F.abs(F.xxhash64("c_ids")) % salts).cast("int")).join(queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["dim", "salt"])
+    dealt = cands.withColumn("salt", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(salts)).cast("int")).repartition(salts, "dim", "salt")
+    pairs = dealt.join(queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["dim", "salt"])
     found = pairs.mapInArrow(lean(search), "query_id long, vec_id long, score long")
     # Ranks up to k only: Spark keeps k rows a query and task before the exchange.
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

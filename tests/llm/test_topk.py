@@ -32,3 +32,33 @@ def test_large_components(spark):
     rows = [(i, [float(i * 3 - 20) * 1e5, 7.5]) for i in range(30)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(tuple(x) for x in top_k(df, F.col("vec_id") % 10 == 0).collect()) == brute(rows, lambda i: i % 10 == 0, 5)
+
+
+def test_scores_near_64_bits(spark):
+    import pytest
+
+    r = random.Random(6)
+    rows = [(i, [r.uniform(-1, 1) * 3e6 for _ in range(4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(x) for x in top_k(df, F.col("vec_id") % 10 == 0, block=16).collect()) == brute(rows, lambda i: i % 10 == 0, 5)
+    far = spark.createDataFrame([(1, [1e17, 2.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        top_k(far, F.col("vec_id") > 0)
+
+
+def test_pivots_leave_most_candidates_out():
+    import numpy as np
+
+    from spanforge.llm import topk
+
+    r = np.random.default_rng(3)
+    centres = r.normal(0, 80, (40, 16))
+    x = np.floor(centres[r.integers(0, 40, 4000)] + r.normal(0, 4, (4000, 16)))
+    pivots = topk._far_apart(x, 24)
+    top, table = topk._table(x, pivots)
+    got, seen = topk._pairs_of(np.arange(4000), x, top, table, np.arange(50), x[:50], np.full(50, -np.inf), pivots, 5)
+    assert seen < 0.5 * 50 * 4000
+    for i in range(50):
+        score = x @ x[i]
+        score[i] = -np.inf
+        assert sorted(s for q, _, s in got if q == i) == sorted(np.sort(score)[-5:].astype(int).tolist())
