@@ -1,7 +1,8 @@
 """Benchmark decontamination with a generalised suffix automaton of the items' words.
 
-The items' word sequences go into one suffix automaton (the benchmark is read in blocks of a stated size, one
-automaton a block, so what is broadcast is bounded).  Document words stream through it with the longest matching
+The items' word sequences go into one suffix automaton (the benchmark is read in blocks of ``BLOCK_WORDS`` words, one
+automaton a block, held in flat arrays of about 100 bytes a word, so what is broadcast is bounded; an item is never
+split).  Document words stream through it with the longest matching
 length; each word inside an occurrence of a window (``window`` consecutive item words, or a whole shorter item) is
 hit.  Only stretches whose words and neighbouring pairs all occur in the items are fed to the automaton: no match
 of two words or more can lie elsewhere, so nothing is lost, and the vectorised look-ups pass over most of the text.
@@ -14,6 +15,9 @@ the documents are carried through, and those of the names of output columns are
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +27,7 @@ from pyspark.sql import types as T
 from .common import WORD_ALNUM, batch_chunks, lean, read, words
 
 WINDOW = 10
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 200_000
 
 
 class SuffixAutomaton:
@@ -44,11 +48,31 @@ class SuffixAutomaton:
             last = 0
             for x in c:
                 last = self._extend(last, x)
-        #: state -> window length -> numbers of the items that have it
-        self.ends: list[dict[int, set[int]]] = [{} for _ in self.next]
-        for (name, _), c in zip(items, codes):
-            for m, state in self._windows(c):
-                self.ends[state].setdefault(m, set()).update([number[name]] if name is not None else [])
+        self._freeze()
+        #: (state, window length, number of the item that has it); -1 for an item without a name
+        found = {(state, m, -1 if name is None else number[name]) for (name, _), c in zip(items, codes) for m, state in self._windows(c)}
+        rows = np.array(sorted(found), np.int64).reshape(-1, 3)
+        self.end_state, at = (array("q", x.tolist()) for x in np.unique(rows[:, 0], return_index=True))
+        self.end_first, self.end_length, self.end_item = (array("i", x) for x in ([*at, len(rows)], rows[:, 1].tolist(), rows[:, 2].tolist()))
+        # From each state the nearest one on its way of suffix links, itself included, in which a window ends.
+        self.hop = array("i", [0]) * len(self.link)
+        ending = set(self.end_state)
+        for state in np.argsort(np.array(self.length), kind="stable").tolist():
+            self.hop[state] = state if state in ending else self.hop[self.link[state]] if state else 0
+
+    def _freeze(self) -> None:
+        """The transitions as sorted keys (state, word) and their targets."""
+        keys = np.array([s * self.base + x for s, out in enumerate(self.next) for x in out], np.int64)
+        order = np.argsort(keys)
+        self.keys = array("q", keys[order].tolist())
+        self.targets = array("i", np.array([t for out in self.next for t in out.values()], np.int64)[order].tolist())
+        self.link, self.length = array("i", self.link), array("i", self.length)
+        del self.next
+
+    def _target(self, state: int, x: int) -> int:
+        key = state * self.base + x
+        at = bisect_left(self.keys, key)
+        return self.targets[at] if at < len(self.keys) and self.keys[at] == key else -1
 
     def _extend(self, last: int, x: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -90,22 +114,23 @@ class SuffixAutomaton:
                 yield m, state
 
     def step(self, state: int, length: int, x: int) -> tuple[int, int]:
-        while state and x not in self.next[state]:
+        while (to := self._target(state, x)) < 0 and state:
             state = self.link[state]
             length = self.length[state]
-        return (self.next[state][x], length + 1) if x in self.next[state] else (0, 0)
+        return (to, length + 1) if to >= 0 else (0, 0)
 
     def stream(self, codes: list[int]):
-        """(place, window length, item numbers) of each window that ends at a place of the word sequence."""
+        """(place, window length, item number) of each window that ends at a place of the word sequence."""
         state = length = 0
         for i, x in enumerate(codes):
             state, length = self.step(state, length, x)
-            s = state
+            s = self.hop[state]
             while s:
-                for m, found in self.ends[s].items():
-                    if m <= length:
-                        yield i, m, found
-                s = self.link[s]
+                at = bisect_left(self.end_state, s)
+                for j in range(self.end_first[at], self.end_first[at + 1]):
+                    if self.end_length[j] <= length:
+                        yield i, self.end_length[j], self.end_item[j]
+                s = self.hop[self.link[s]]
 
     def match(self, text: np.ndarray, hashes: np.ndarray):
         """(hit words, {text: item numbers}) of the words of a chunk of texts."""
@@ -126,9 +151,10 @@ class SuffixAutomaton:
         end = np.flatnonzero(known & ~follows) + 1
         for a, b in zip(begin.tolist(), end.tolist()):
             if b - a >= self.shortest:
-                for i, m, items in self.stream(at[a:b].tolist()):
+                for i, m, item in self.stream(at[a:b].tolist()):
                     hit[a + i - m + 1 : a + i + 1] = True
-                    found.setdefault(int(text[a]), set()).update(items)
+                    if item >= 0:
+                        found.setdefault(int(text[a]), set()).add(item)
         return hit, found
 
 

@@ -47,3 +47,24 @@ def test_remove(spark):
     d = spark.createDataFrame([(1, f"Été, {item.title()}! rest is kept, and more words here of the text than of the item"), (2, item), (3, "clean"), (4, None)], "doc_id long, text string")
     rows = {x.doc_id: x.text for x in dc.remove_hits(dc.decontaminate(d, spark.createDataFrame([(1, item)], "item_id long, text string"))).collect()}
     assert rows == {1: "Été, ! rest is kept, and more words here of the text than of the item", 3: "clean", 4: None}
+
+
+def test_automaton_is_small():
+    """What a worker loads for a block is bounded: about a hundred bytes a word."""
+    import pickle
+
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    n = 20_000
+    items = [(str(i), r.integers(0, 3000, 40).astype(np.uint64)) for i in range(n // 40)]
+    assert len(pickle.dumps(dc.SuffixAutomaton(items))) < 120 * n
+
+
+def test_long_text_and_repeated_items(spark):
+    r = random.Random(8)
+    item = " ".join(f"w{r.randrange(10**6)}" for _ in range(15))
+    d = spark.createDataFrame([(1, "filler " * 100_000 + item + " filler" * 1000)], "doc_id long, text string")
+    b = spark.createDataFrame([("b", item), ("a", item), ("a", item), ("c", "not there at all, this one")], "item_id string, text string")
+    (row,) = dc.decontaminate(d, b).collect()
+    assert (row.n_words, row.n_hit, row["items"]) == (101_015, 15, ["a", "b"])
