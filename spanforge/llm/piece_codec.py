@@ -6,8 +6,10 @@ merged together: one flat numpy array holds the symbols of all of them; each rou
 every word by a segmented minimum, merges that pair's leftmost non-overlapping places at once, and compacts the
 array; words without a pair left drop out.  Where a merge makes a pair that ranks as well or better, later places
 might have to wait for it: such a word merges only its leftmost place in that round, which keeps the result that
-of the sequential algorithm.  Words of over ``LONG_WORD`` symbols, for which rounds would be quadratic, take an
-exact priority-queue merge.
+of the sequential algorithm.  Words of over ``LONG_WORD`` symbols go through the same rounds one by one, over linked
+symbols: a round then costs as much as the places of its rank, not as the word.
+
+A worker keeps the ids of words met before, of ``CACHE_WORD`` characters at most and ``CACHE_BYTES`` in all.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; any code point without a piece
 becomes its UTF-8 bytes; repeated rows repeat their result; an empty table gives an empty result; other columns
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from itertools import chain
 
@@ -31,7 +34,10 @@ from .common import CHUNK_BYTES, batch_chunks, chunks, gather_spans, lean, list_
 
 SPACE = "▁"
 LONG_WORD = 4096
-CACHE_WORDS = 300_000
+CACHE_WORD = 64
+CACHE_BYTES = 64 << 20
+#: What Python keeps for a word besides its characters, about.
+WORD_BYTES = 160
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -146,32 +152,60 @@ def _pairs(model: PieceModel, left: np.ndarray, right: np.ndarray):
         key, at = key[go], (at[go] + 1) & (len(slots) - 1)
 
 
-def merge_by_queue(model: PieceModel, symbols: list[int]) -> list[int]:
-    """The sequential algorithm on one word: best rank first, leftmost at ties."""
-    sym, n = list(symbols), len(symbols)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    table = getattr(model, "_table", None)
-    if table is None:
-        table = model._table = dict(zip(model.pair_keys.tolist(), zip(model.pair_ranks.tolist(), model.pair_symbols.tolist())))
-    queue: list = []
-
-    def offer(i: int, j: int) -> None:
-        if 0 <= i and j < n and (found := table.get(sym[i] * model.base + sym[j])):
-            queue.append((found[0], i, j, sym[i], sym[j], found[1])) if not queue else heapq.heappush(queue, (found[0], i, j, sym[i], sym[j], found[1]))
-
-    for i in range(n - 1):
-        offer(i, i + 1)
-    while queue:
-        _, i, j, a, b, m = heapq.heappop(queue)
-        if sym[i] != a or sym[j] != b or after[i] != j:
+def merge_long(model: PieceModel, sym: np.ndarray) -> np.ndarray:
+    """Merge rounds on one long word: as in ``merge_words``, but a round looks only at the places of the least pair rank.
+
+    Symbols stay where they are, linked to their neighbours; the places of every rank wait in a list of arrays, and a
+    merge adds the places of the pairs that it makes.
+    """
+    n = len(sym)
+    sym, alive = np.append(sym, -1), np.append(np.ones(n, bool), False)
+    nxt, prv = np.arange(1, n + 2), np.arange(-1, n)
+    waiting: dict[int, list] = {}
+    ranks: list[int] = []
+
+    def wait(places: np.ndarray) -> None:
+        places = places[(places >= 0) & (nxt[places] < n)]
+        if not len(places):
+            return
+        rank, _ = _pairs(model, sym[places], sym[nxt[places]])
+        places, rank = places[rank < NO_RANK], rank[rank < NO_RANK]
+        order = np.argsort(rank, kind="stable")
+        places, rank = places[order], rank[order]
+        cuts = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]])) if len(rank) else []
+        for r, part in zip(rank[cuts].tolist() if len(rank) else [], np.split(places, cuts[1:]) if len(rank) else []):
+            if r not in waiting:
+                waiting[r] = []
+                heapq.heappush(ranks, r)
+            waiting[r].append(part)
+
+    wait(np.arange(n))
+    while ranks:
+        r = heapq.heappop(ranks)
+        places = np.unique(np.concatenate(waiting.pop(r)))
+        places = places[alive[places] & (nxt[places] < n)]
+        rank, made = _pairs(model, sym[places], sym[nxt[places]])
+        places, made = places[rank == r], made[rank == r]
+        if not len(places):
             continue
-        sym[i], sym[j] = m, -1
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        offer(before[i], i)
-        offer(i, after[i])
-    return [s for s in sym if s >= 0]
+        run = np.concatenate([[True], nxt[places[:-1]] != places[1:]])
+        nth = np.arange(len(places)) - np.flatnonzero(run)[np.cumsum(run) - 1]
+        chosen, now = places[nth % 2 == 0], made[nth % 2 == 0]
+        behind = nxt[nxt[chosen]]
+        # Pairs that a merge makes with its neighbours as they are at that moment: all places to the left done.
+        joined = np.concatenate([[False], behind[:-1] == chosen[1:]])
+        left = np.where(joined, np.concatenate([[0], now[:-1]]), sym[np.maximum(prv[chosen], 0)])
+        bad = (prv[chosen] >= 0) & (_pairs(model, left, now)[0] <= r) | (behind < n) & (_pairs(model, now, sym[np.minimum(behind, n)])[0] <= r)
+        if bad.any() and len(places) > 1:
+            wait(places[1:])
+            chosen, now, behind = chosen[:1], now[:1], behind[:1]
+        gone = nxt[chosen]
+        alive[gone] = False
+        sym[chosen] = now
+        nxt[chosen] = behind
+        prv[behind] = chosen
+        wait(np.unique(np.concatenate([prv[chosen], chosen])))
+    return sym[:n][alive[:n]]
 
 
 def merge_words(model: PieceModel, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -186,8 +220,8 @@ def merge_words(model: PieceModel, words: list[str]) -> tuple[np.ndarray, np.nda
     done_sym, done_word = [], []
     starts = np.concatenate([[0], np.cumsum(lengths)])
     for w in np.flatnonzero(lengths > LONG_WORD):
-        got = merge_by_queue(model, sym[starts[w] : starts[w + 1]].tolist())
-        done_sym.append(np.array(got, np.int64))
+        got = merge_long(model, sym[starts[w] : starts[w + 1]])
+        done_sym.append(got)
         done_word.append(np.full(len(got), w))
     if done_sym:
         keep = lengths[word] <= LONG_WORD
@@ -257,11 +291,12 @@ class Encoder:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets by text)."""
-        if len(self.known) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.clear()
         split = [self.pattern.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         fresh = list(set().union(*split).difference(self.known)) if split else []
@@ -273,14 +308,27 @@ class Encoder:
             self.start = np.concatenate([self.start, at[:-1] + len(self.flat)])
             self.length = np.concatenate([self.length, np.diff(at)])
             self.flat = np.concatenate([self.flat, flat])
+            self.held += sum(map(len, fresh)) + WORD_BYTES * len(fresh) + 4 * len(flat)
         counts = np.fromiter(map(len, split), np.int64, len(split))
         get = self.known.__getitem__
         index = np.fromiter(map(get, chain.from_iterable(split)), np.int64, int(counts.sum()))
         sizes = self.length[index]
         ids = self.flat[gather_spans(self.start[index], sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])
+        if fresh and len(fresh[-1]) > CACHE_WORD:
+            self._forget(fresh, at)
         return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
 
+    def _forget(self, fresh: list[str], at: np.ndarray) -> None:
+        """Drops the long ones of the words merged last, which are sorted by length."""
+        short = bisect_right(fresh, CACHE_WORD, key=len)
+        for w in fresh[short:]:
+            del self.known[w]
+        kept = len(self.flat) - int(at[-1] - at[short])
+        self.held -= sum(map(len, fresh[short:])) + WORD_BYTES * (len(fresh) - short) + 4 * (len(self.flat) - kept)
+        n = len(self.start) - (len(fresh) - short)
+        self.flat, self.start, self.length = self.flat[:kept].copy(), self.start[:n], self.length[:n]
+
 
 class Decoder:
     """Decodes ids; bytes that are no UTF-8 become the replacement character, one each."""

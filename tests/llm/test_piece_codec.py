@@ -37,8 +37,9 @@ def test_any_text(t):
         check([t])
 
 
-def test_long_word_by_queue():
+def test_long_words():
     r = random.Random(5)
+    check(["".join(r.choice("abthein") for _ in range(3 * pc.LONG_WORD)), "".join(r.choice(["th", "the", "ing", "hethe", "了", "aaa"]) for _ in range(pc.LONG_WORD)), "ab" * pc.LONG_WORD])
     check(["".join(r.choice("abthein ") for _ in range(3 * pc.LONG_WORD)), "x" * (pc.LONG_WORD + 9), " " * (pc.LONG_WORD + 50) + "b"])
 
 
@@ -47,3 +48,45 @@ def test_frames(spark):
     rows = pc.decode(pc.encode(docs, PATH), PATH).collect()
     assert sorted((r.doc_id or 0, r.ids, r.decoded) for r in rows) == sorted([(1, SP.encode("a b"), "a b")] * 2 + [(2, [], ""), (0, [], ""), (3, SP.encode("z" * 20000), "z" * 20000)])
     assert pc.decode(pc.encode(docs.limit(0), PATH), PATH).count() == 0
+
+
+def test_long_rounds_on_short_words():
+    """The linked rounds give what the library gives on any word."""
+    r = random.Random(6)
+    parts = ["th", "e", "t", "h", "ing", "in", "g", "an", "n", "é", "ß", "了", ".", "!!", "aa"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(2, 60))) for _ in range(300)]
+    old = pc.LONG_WORD
+    pc.LONG_WORD = 1
+    try:
+        check(texts)
+    finally:
+        pc.LONG_WORD = old
+
+
+def test_cache_is_bounded_in_bytes():
+    e = pc.Encoder(MODEL)
+    r = random.Random(7)
+    long = ["".join(r.choice("abcdefgh") for _ in range(1000)) for _ in range(200)]
+    for t in long:
+        flat, _ = e([t + " and a few more"])
+        assert flat.tolist() == SP.encode(t + " and a few more")
+    assert len(e.known) <= 5 and len(e.flat) == sum(e.length) and e.held < 5000
+    assert e(["and a few"])[0].tolist() == SP.encode("and a few")
+
+
+def test_the_query_against_the_library(spark, tmp_path):
+    import hashlib
+
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    rows = [(1, "a b th", "k"), (1, "a b th", "k"), (2, None, None), (None, "", "z"), (3, "z" * 20000, "q"), (4, "x\ny  \U0001f600", "q")]
+    spark.createDataFrame(rows, "doc_id long, text string, ids string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, t, _ in rows:
+        ids = SP.encode(t or "")
+        want.append((i or 0, len(ids), digest(",".join(map(str, ids)).encode()), digest(SP.decode(ids).encode())))
+    got = pc.op2_sentencepiece(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(want)
+    clash = spark.createDataFrame(rows, "doc_id long, text string, decoded string")
+    out = pc.encode_decode(clash, PATH)
+    assert out.columns == ["doc_id", "ids", "decoded"] and sorted(r.decoded for r in out.collect()) == sorted(SP.decode(SP.encode(t or "")) for _, t, _ in rows)
+    assert pc.encode_decode(clash.limit(0), PATH).count() == 0
