@@ -18,8 +18,8 @@ bytes, so suffixes are held by equality classes instead of lexicographic ranks:
 4. phrase suffixes: in bands that are still open each suffix of ``length`` bytes gets its 128-bit class.
 
 Exchanges carry fixed-size rows aggregated before the shuffle; a passage that a third of all texts hold is one row
-of the dictionary a task.  Texts are only joined with their own few spans.  Classes are 128 bits wide, from
-independent polynomial hashes, and are taken as equal strings.
+of the dictionary a task.  Texts are only joined with their own few spans.  Classes of all steps are 128 bits wide,
+from two independent polynomial hashes, and are taken as equal strings.
 
 Defined results: a null or empty text has no bytes; texts of under ``length`` bytes lose nothing; repeated rows
 repeat each other's strings and so lose all if they are long enough; rows without an id take part; an empty table
@@ -40,6 +40,8 @@ LENGTH = 200
 GRAM = 8
 BAND = 20
 _ONE, _TWO = RollingHash(101), RollingHash(202)
+#: Columns of classes: 128 bits each, from two independent hashes.
+FOLLOW, PHRASE = ["follow", "follow2"], ["phrase", "phrase2"]
 _GRAM_MIX = np.uint64(0x9E3779B97F4A7C15)
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
@@ -91,15 +93,16 @@ def _parse(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for a, b, data, offsets in batch_chunks(batch):
                 text, at, lo, hi = triggers(data, offsets, length)
-                one = _ONE.prefix(data)
-                follow = _ONE.spans(one, at, at + after)
-                phrase = mix64(_ONE.spans(one, lo, hi + length) ^ ((at - lo) * 512 + hi - lo).astype(np.uint64))
+                keys = []
+                for h in (_ONE, _TWO):
+                    prefix = h.prefix(data)
+                    keys.append((h.spans(prefix, at, at + after), mix64(h.spans(prefix, lo, hi + length) ^ ((at - lo) * 512 + hi - lo).astype(np.uint64))))
                 place = (at - offsets[text]) << 16 | (at - lo) << 8 | (hi - lo)
                 part = batch.slice(a, b - a)
                 rows = pa.array(text)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(place), pa.array(signed(follow)), pa.array(signed(phrase))], ["doc_id", "hash", "place", "follow", "phrase"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(place), *(pa.array(signed(k)) for pair in zip(*keys) for k in pair)], ["doc_id", "hash", "place", *FOLLOW, *PHRASE])
 
-    return docs.select("doc_id", "hash", "text").mapInArrow(lean(run), "doc_id long, hash long, place long, follow long, phrase long")
+    return docs.select("doc_id", "hash", "text").mapInArrow(lean(run), "doc_id long, hash long, place long, follow long, follow2 long, phrase long, phrase2 long")
 
 
 def _opened(batch: pa.RecordBatch):
@@ -127,17 +130,19 @@ def _bands(texts: DataFrame, length: int, band: int) -> DataFrame:
                 t, rows = at[source], row[source]
                 first = np.maximum(lo[source], t - (number + 1) * band + 1)
                 last = np.minimum(lo[source] + count[source] - 1, t - number * band)
-                one = _ONE.prefix(data)
-                core = mix64(_ONE.spans(one, t - number * band, t - (number + 1) * band + 1 + length) + number.astype(np.uint64))
-                phrase = mix64(_ONE.spans(one, first, last + length) ^ ((t - first) * 512 + last - first).astype(np.uint64))
+                keys = []
+                for h in (_ONE, _TWO):
+                    prefix = h.prefix(data)
+                    core = mix64(h.spans(prefix, t - number * band, t - (number + 1) * band + 1 + length) + number.astype(np.uint64))
+                    keys.append((core, mix64(h.spans(prefix, first, last + length) ^ ((t - first) * 512 + last - first).astype(np.uint64))))
                 place = (t - offsets[rows]) << 16 | (t - first) << 8 | (last - first)
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0).take(take), own.column(1).take(take), pa.array(place), pa.array(signed(core)), pa.array(signed(phrase)), pa.array(weight[source])],
-                    ["doc_id", "hash", "place", "follow", "phrase", "weight"],
+                    [own.column(0).take(take), own.column(1).take(take), pa.array(place), *(pa.array(signed(k)) for pair in zip(*keys) for k in pair), pa.array(weight[source])],
+                    ["doc_id", "hash", "place", *FOLLOW, *PHRASE, "weight"],
                 )
 
-    return texts.select("doc_id", "hash", "text", "phrases").mapInArrow(lean(run), "doc_id long, hash long, place long, follow long, phrase long, weight long")
+    return texts.select("doc_id", "hash", "text", "phrases").mapInArrow(lean(run), "doc_id long, hash long, place long, follow long, follow2 long, phrase long, phrase2 long, weight long")
 
 
 def _suffixes(texts: DataFrame, length: int) -> DataFrame:
@@ -163,12 +168,14 @@ def _refine(parse: DataFrame, length: int, name: str) -> tuple[DataFrame, DataFr
 
     Rows of weight over 1 stand for phrases whose places are known to be repeated already.
     """
-    shared = parse.groupBy("follow").agg(F.sum("weight").alias("n"), F.min("phrase").alias("lo"), F.max("phrase").alias("hi")).where("n > 1")
+    ends = (f(c).alias(f"{f.__name__}_{c}") for c in PHRASE for f in (F.min, F.max))
+    shared = parse.groupBy(*FOLLOW).agg(F.sum("weight").alias("n"), *ends).where("n > 1")
     # A table of its own: a join with an aggregate in the same stage cannot split a hot key's rows.
-    shared = materialize(shared.select("follow", (F.col("lo") != F.col("hi")).alias("several")), f"{name}-follow")
-    alive = materialize(parse.join(shared, "follow"), f"{name}-shared")
+    differs = (F.col("min_phrase") != F.col("max_phrase")) | (F.col("min_phrase2") != F.col("max_phrase2"))
+    shared = materialize(shared.select(*FOLLOW, differs.alias("several")), f"{name}-follow")
+    alive = materialize(parse.join(shared, FOLLOW), f"{name}-shared")
     discard(parse)
-    several, key = alive.where("several"), ["follow", "phrase"]
+    several, key = alive.where("several"), [*FOLLOW, *PHRASE]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "hash", "place")).alias("first")
     dictionary = materialize(several.groupBy(*key).agg(F.sum("weight").alias("n"), first), f"{name}-dictionary")
     # Every open phrase gets its mark, repeated or not, and the marks are written once for all that read them.
