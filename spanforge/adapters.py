@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +55,81 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _pairs(**values) -> Column:
+    """Attributes as request bodies have them; those that are null are left out."""
+    made = (F.when(v.isNotNull(), F.struct(F.lit(k.replace("__", ".")).alias("key"), F.struct(v.alias("stringValue")).alias("value"))) for k, v in values.items())
+    return F.array_compact(F.array(*made))
+
+
+def _field(number: int, raw: bytes) -> bytes:
+    """A length-delimited field of a protobuf message; the lengths here need two bytes at most."""
+    size = len(raw)
+    return bytes([number << 3 | 2]) + (bytes([size]) if size < 128 else bytes([size & 127 | 128, size >> 7])) + raw
+
+
+def log_message(service: str | None, text: str | None, number: int | None, body: str, k: str) -> bytes:
+    """A request with one log record as a protobuf message."""
+    pair = lambda key, value: _field(1, key.encode()) + _field(2, _field(1, value.encode()))
+    resource = _field(1, _field(1, pair("service.name", service))) if service is not None else b""
+    record = (bytes([2 << 3, number]) if number is not None else b"") + (_field(3, text.encode()) if text is not None else b"") + _field(5, _field(1, body.encode())) + _field(6, pair("k", k))
+    return _field(1, resource + _field(2, _field(2, record)))
+
+
+def raw_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``entries`` as landed requests, to be decoded: JSON bodies, and protobuf ones for logs of even ids.
+
+    A trace request has one span, of which every seventh ``k`` carries an exception; times are numbers or strings.
+    A metric request has a gauge and a sum.  The service is only in the body.
+    """
+    e = entries(spark, sf_dir)
+    even, k = F.col("entry_id") % 2 == 0, F.col("k").cast("string")
+    start = F.unix_micros("observed_at") * 1000
+    event = F.struct(F.lit("exception").alias("name"), _pairs(exception__type=F.concat(F.lit("Error"), (F.col("k") % 3).cast("string")), exception__message=F.concat(F.lit("failed at "), k)).alias("attributes"))
+    span = lambda at: F.struct(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("traceId"), F.concat(F.lit("s"), F.col("entry_id").cast("string")).alias("spanId"), F.col("event_type").alias("name"),
+        at.alias("startTimeUnixNano"), (start + F.floor(F.col("value") * 1000) * 1000).cast("string").alias("endTimeUnixNano"), F.struct((F.col("k") % 3).alias("code")).alias("status"),
+        _pairs(k=k).alias("attributes"), F.when(F.col("k") % 7 == 0, F.array(event)).otherwise(F.array().cast("array<struct<name:string,attributes:array<struct<key:string,value:struct<stringValue:string>>>>>")).alias("events"),
+    )
+    resource = lambda attributes: F.struct(attributes.alias("attributes")).alias("resource")
+    own = resource(_pairs(service__name=F.col("service_name")))
+    body = lambda outer, middle, inner, r, x: F.to_json(F.struct(F.array(F.struct(r, F.array(F.struct(F.array(x).alias(inner))).alias(middle))).alias(outer)))
+    traces = F.when(even, body("resourceSpans", "scopeSpans", "spans", own, span(start))).otherwise(body("resourceSpans", "scopeSpans", "spans", own, span(start.cast("string"))))
+    point = lambda on, value, number: F.when(F.lit(on), F.struct(F.array(F.struct(value.alias("asDouble"), number.alias("asInt"))).alias("dataPoints")))
+    no_value, no_number = F.lit(None).cast("double"), F.lit(None).cast("string")
+    # Fields that are null are left out of the text.
+    metric = lambda name, gauge: F.struct(name.alias("name"), point(gauge, F.col("value"), no_number).alias("gauge"), point(not gauge, no_value, k).alias("sum"))
+    measured = [metric(F.col("payload_text"), True), metric(F.lit("metric.k"), False)]
+    held = resource(_pairs(service__name=F.col("service_name"), k8s__pod__name=F.concat(F.lit("pod-"), (F.col("k") % 8).cast("string")), host__name=F.when(F.col("k") % 5 != 0, F.concat(F.lit("host-"), (F.col("k") % 5).cast("string")))))
+    scope = F.array(F.struct(F.array(measured[0]).alias("metrics")), F.struct(F.array(measured[1]).alias("metrics")))
+    metrics = F.to_json(F.struct(F.array(F.struct(held, scope.alias("scopeMetrics"))).alias("resourceMetrics")))
+    text, number, said = log_parts()
+    record = F.struct(text.alias("severityText"), number.alias("severityNumber"), F.struct(said.alias("stringValue")).alias("body"), _pairs(k=k).alias("attributes"))
+    logs = body("resourceLogs", "scopeLogs", "logRecords", own, record)
+    ids = ["entry_id", "stream_ms", "stream_seq", "signal", "observed_at"]
+    made = F.when(F.col("signal") == "traces", traces).when(F.col("signal") == "metrics", metrics).otherwise(logs)
+    none = F.lit(None).cast("string").alias("service_name")
+    binary = (F.col("signal") == "logs") & even
+    as_json = e.where(~binary).select(*ids, none, made.cast("binary").alias("payload"))
+
+    def run(batches):
+        for batch in batches:
+            out = [log_message(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(5, 10)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.nulls(batch.num_rows, pa.string()), pa.array(out, pa.binary())], RAW_NAMES)
+
+    parts = e.where(binary).select(*ids, "service_name", text.alias("text"), number.cast("int").alias("number"), said.alias("said"), k.alias("k"))
+    return as_json.union(parts.mapInArrow(run, as_json.schema))
+
+
+RAW_NAMES = ["entry_id", "stream_ms", "stream_seq", "signal", "observed_at", "service_name", "payload"]
+
+
+def log_parts() -> tuple[Column, Column, Column]:
+    """Severity as text for even ``k``, as a number for the others; and the message."""
+    even = F.col("k") % 2 == 0
+    said = F.concat(F.lit("code "), F.chr(97 + F.col("entry_id") % 7), F.lit(" user "), F.col("user_id").cast("string"), F.lit(" failed k="), F.col("k").cast("string"))
+    return F.when(even, "ERROR"), F.when(~even, 17), said
+
+
 def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One metric a request: entry_id, ord, observed_at, entry_service_name, resource_attrs, metric_name, kind, value."""
     return entries(spark, sf_dir).where("signal = 'metrics'").select(
@@ -69,16 +145,15 @@ def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    even = F.col("k") % 2 == 0
-    body = F.concat(F.lit("code "), F.chr(97 + F.col("entry_id") % 7), F.lit(" user "), F.col("user_id").cast("string"), F.lit(" failed k="), F.col("k").cast("string"))
+    text, number, body = log_parts()
     return entries(spark, sf_dir).where("signal = 'logs'").select(
         "entry_id",
         F.struct(F.col("stream_ms").alias("ms"), F.col("stream_seq").alias("seq"), F.lit(0).alias("rs"), F.lit(0).alias("ss"), F.lit(0).alias("i")).alias("ord"),
         "observed_at",
         F.col("service_name").alias("entry_service_name"),
         F.col("service_name").alias("resource_service_name"),
-        F.when(even, "ERROR").alias("severity_text"),
-        F.when(~even, 17).alias("severity_number"),
+        text.alias("severity_text"),
+        number.alias("severity_number"),
         body.alias("body"),
         text_attrs(k=F.col("k").cast("string")).alias("attrs"),
     )

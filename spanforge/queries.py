@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from . import adapters as a
 from .operators import insight as i
+from .operators import preview
 from .operators import traces as t
 from .operators import viewers as v
 from .oracle import ENTRIES, NOW_MS, SPANS, SUMMARIES
 from .plans import dialect
+from .sources import landing, otlp
 
 DAY = 86_400_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,12 +136,13 @@ for _name, _body, _mask, _ms, _where in (
     query(_IDS.format(ms=_ms, where=_where), _name)(_ids(_body, _mask, _ms))
 
 
-def _buckets(agg: v.Aggregation, mask: int = 2):
-    def run(spark, sf_dir):
-        rows = v.aggregate(agg, v.matching(_viewer({}, mask), a.entries(spark, sf_dir), a.NOW))
-        return _rounded(rows.select("bucket_start_ms", F.array_join("group_keys", "|").alias("keys"), "value"))
+def _buckets_of(agg: v.Aggregation, entries: DataFrame, mask: int = 2) -> DataFrame:
+    rows = v.aggregate(agg, v.matching(_viewer({}, mask), entries, a.NOW))
+    return _rounded(rows.select("bucket_start_ms", F.array_join("group_keys", "|").alias("keys"), "value"))
 
-    return run
+
+def _buckets(agg: v.Aggregation, mask: int = 2):
+    return lambda spark, sf_dir: _buckets_of(agg, a.entries(spark, sf_dir), mask)
 
 
 _BUCKET = "WITH {e} SELECT CAST(ms - ms % {w} AS BIGINT) AS bucket_start_ms, {keys} AS keys, {value} AS value FROM entries WHERE signal = {signal} AND ms > {now} - {back} {more} GROUP BY ALL"
@@ -408,6 +411,127 @@ def c_timeseries(spark, sf_dir):
     return i.timeseries(v.aggregate(agg, v.matching(_viewer({}, 1), a.entries(spark, sf_dir), a.NOW)))
 
 
+# --- decoding: requests as they come, to tables ---
+
+
+def _bodies(spark, sf_dir) -> DataFrame:
+    return otlp.name_services(otlp.parse(otlp.decode_bodies(a.raw_entries(spark, sf_dir))))
+
+
+_SAID = "'code ' || chr(CAST(97 + entry_id % 7 AS INTEGER)) || ' user ' || user_id || ' failed k=' || k"
+_NS = "CAST(floor(value * 1000) AS BIGINT) * 1000"
+
+
+@query(f"""WITH {ENTRIES} SELECT entry_id, signal, service_name, CASE WHEN signal = 'traces' THEN round({_NS} / 1e6, 6) END AS duration_ms,
+  CASE signal WHEN 'traces' THEN event_type WHEN 'metrics' THEN payload_text || ' metric.k' ELSE CASE WHEN k % 2 = 0 THEN 'ERROR ' ELSE '' END || {_SAID} END AS payload_text FROM entries""")
+def o_entries(spark, sf_dir):
+    return otlp.entries(_bodies(spark, sf_dir)).select("entry_id", "signal", "service_name", F.round("duration_ms", 6).alias("duration_ms"), "payload_text")
+
+
+@query(f"""WITH {ENTRIES} SELECT entry_id, service_name, 'u' || user_id AS trace_id, 's' || entry_id AS span_id, event_type AS name, CAST(epoch_us(observed_at) * 1000 AS VARCHAR) AS start_ns,
+  CAST(epoch_us(observed_at) * 1000 + {_NS} AS VARCHAR) AS end_ns, k % 3 AS status_code FROM entries WHERE signal = 'traces'""")
+def o_spans(spark, sf_dir):
+    s = otlp.spans(_bodies(spark, sf_dir))
+    return s.select("entry_id", F.col("resource_service_name").alias("service_name"), "trace_id", "span_id", "name", *(F.col(c).cast("string").alias(c) for c in ("start_ns", "end_ns")), "status_code")
+
+
+@query(f"WITH {ENTRIES}, m AS (SELECT * FROM entries WHERE signal = 'metrics') SELECT entry_id, payload_text AS metric_name, 'gauge' AS kind, value FROM m UNION ALL SELECT entry_id, 'metric.k', 'sum', CAST(k AS DOUBLE) FROM m")
+def o_points(spark, sf_dir):
+    return otlp.metric_points(_bodies(spark, sf_dir)).select("entry_id", "metric_name", "kind", "value")
+
+
+@query(f"WITH {ENTRIES} SELECT entry_id, service_name, CASE WHEN k % 2 = 0 THEN 'ERROR' END AS severity_text, CASE WHEN k % 2 = 1 THEN 17 END AS severity_number, {_SAID} AS body FROM entries WHERE signal = 'logs'")
+def o_records(spark, sf_dir):
+    return otlp.log_records(_bodies(spark, sf_dir)).select("entry_id", F.col("resource_service_name").alias("service_name"), "severity_text", "severity_number", "body")
+
+
+@query(f"""WITH {ENTRIES} SELECT DISTINCT key, value, signal, entry_id FROM (SELECT 'k8s.pod.name' AS key, pod AS value, signal, entry_id FROM entries UNION ALL SELECT 'host.name', host, signal, entry_id FROM entries
+  UNION ALL SELECT 'k', CAST(k AS VARCHAR), signal, entry_id FROM entries WHERE signal <> 'metrics') WHERE value IS NOT NULL""")
+def o_attributes(spark, sf_dir):
+    return i.attribute_index(*otlp.indexable_attributes(_bodies(spark, sf_dir))).select("key", "value", "signal", "entry_id")
+
+
+@query(f"""WITH {ENTRIES} SELECT 'Error' || (k % 3) || ': failed at ' || k AS signature, service_name, entry_id, substr(sha256('error<num>' || chr(0) || 'failed at <num>'), 1, 16) AS fingerprint
+  FROM entries WHERE signal = 'traces' AND k % 7 = 0""")
+def o_exceptions(spark, sf_dir):
+    return i.span_errors(otlp.spans(_bodies(spark, sf_dir))).select("signature", "service_name", F.col("ord.seq").alias("entry_id"), "fingerprint")
+
+
+@query(f"WITH {ENTRIES} SELECT DISTINCT signal, service_name FROM entries WHERE service_name IS NOT NULL")
+def o_services(spark, sf_dir):
+    return _bodies(spark, sf_dir).where("service_name is not null").select("signal", "service_name").distinct()
+
+
+@query(f"WITH {ENTRIES} SELECT CAST(ms - ms % {DAY} AS BIGINT) AS bucket_start_ms, coalesce(pod, 'unknown') AS keys, CAST(sum(k) AS DOUBLE) AS value FROM entries WHERE signal = 'metrics' GROUP BY ALL")
+def o_bucket_named(spark, sf_dir):
+    rows = v.aggregate(v.Aggregation("sum", DAY, ("k8s.pod.name",), "metric.k"), otlp.entries(_bodies(spark, sf_dir)).where("signal = 'metrics'"))
+    return _rounded(rows.select("bucket_start_ms", F.array_join("group_keys", "|").alias("keys"), "value"))
+
+
+@query(_bucket_sql("round(sum(value), 6)", width=DAY))
+def o_bucket_unnamed(spark, sf_dir):
+    return _buckets_of(v.Aggregation("sum", DAY), otlp.entries(_bodies(spark, sf_dir)))
+
+
+@query(f"""WITH {ENTRIES} SELECT ms, signal, CASE WHEN service_name IS NOT NULL THEN 'service=' || service_name || ' | ' ELSE '' END || CASE signal WHEN 'traces' THEN 'span=' || event_type
+    ELSE CASE WHEN k % 2 = 0 THEN 'severity=ERROR | ' ELSE '' END || 'body=' || {_SAID} END || ' | otlp_json' AS preview, CAST(NULL AS VARCHAR) AS metric_name
+  FROM entries WHERE signal <> 'metrics' ORDER BY ms DESC, seq DESC LIMIT 50""")
+def o_preview(spark, sf_dir):
+    p = preview.preview(_bodies(spark, sf_dir).where("signal <> 'metrics'"))
+    return p.select(F.unix_millis("observed_at").alias("ms"), "signal", "preview", "metric_name")
+
+
+@query(f"""WITH {ENTRIES}, m AS (SELECT * FROM entries WHERE signal = 'metrics') SELECT entry_id, service_name, payload_text AS metric_name, value AS metric_value FROM m WHERE payload_text LIKE '%k%'
+  UNION ALL SELECT entry_id, service_name, 'metric.k', CAST(k AS DOUBLE) FROM m""")
+def o_metric_rows(spark, sf_dir):
+    return preview.metric_rows(_bodies(spark, sf_dir), "K").select("entry_id", "service_name", "metric_name", "metric_value")
+
+
+@query(f"WITH {ENTRIES} SELECT entry_id, 'metric.k' AS metric_name, CAST(k AS DOUBLE) AS metric_value FROM entries WHERE signal = 'metrics'")
+def o_first_metric(spark, sf_dir):
+    return preview.first_metric(_bodies(spark, sf_dir), "ric.k")
+
+
+_TYPES = ("application/json", "application/json; charset=utf-8", "application/x-protobuf", "text/plain", "Application/JSON")
+_CODINGS = (None, "identity", "gzip", "zstd", "br")
+
+
+@query(f"""WITH {ENTRIES} SELECT CASE WHEN entry_id % 5 >= 3 OR entry_id % 7 % 5 = 4 THEN 415 WHEN entry_id % 7 % 5 IN (2, 3) THEN 400 ELSE 200 END AS status, count(*) AS n FROM entries GROUP BY ALL""")
+def o_status(spark, sf_dir):
+    """What a server answers to content types and codings; bodies are plain, so a compressed one is bad."""
+    at = lambda values, n: F.get(F.array(*map(F.lit, values)), n.cast("int"))
+    r = a.raw_entries(spark, sf_dir).select("signal", at(_TYPES, F.col("entry_id") % 5).alias("content_type"), at(_CODINGS, F.col("entry_id") % 7 % 5).alias("content_encoding"), F.col("payload").alias("body"))
+    return otlp.normalize(r).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {ENTRIES}, r AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY ms DESC, seq DESC) AS n FROM entries) SELECT entry_id, signal FROM r WHERE n <= 1000")
+def s_retained(spark, sf_dir):
+    e = a.entries(spark, sf_dir)
+    return e.where(landing.above(landing.floors(e, 1000), F.col("signal"), F.col("stream_ms"), F.col("stream_seq"))).select("entry_id", "signal")
+
+
+@query(f"WITH {ENTRIES} SELECT entry_id, ms || '-' || seq AS id, ms AS parsed_ms, seq AS parsed_seq FROM entries WHERE signal = 'logs'")
+def s_stream_ids(spark, sf_dir):
+    e = a.entries(spark, sf_dir).where("signal = 'logs'").select("entry_id", landing.stream_id(F.col("stream_ms"), F.col("stream_seq")).alias("id"))
+    ms, seq = landing.parse_stream_id(F.col("id"))
+    return e.select("entry_id", "id", ms.alias("parsed_ms"), seq.alias("parsed_seq"))
+
+
+@query(f"WITH {ENTRIES} SELECT viewer_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'all' AS viewer_id FROM entries WHERE ms > {NOW_MS} - {DAY} UNION ALL SELECT 'logs' FROM entries WHERE signal = 'logs' AND ms > {NOW_MS} - {DAY}) GROUP BY viewer_id")
+def v_fan_out_live(spark, sf_dir):
+    """Each viewer within its own look-back, in one pass."""
+    return v.fan_out(_FAN[:2], a.entries(spark, sf_dir), a.NOW).groupBy("viewer_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_LOGS} SELECT fingerprint, count(*) AS count, epoch_us(min(observed_at)) // 1000 AS first_ms, epoch_us(max(observed_at)) // 1000 AS last_ms FROM occurrences GROUP BY fingerprint")
+def e_folded(spark, sf_dir):
+    """Groups kept by batch, here by the id's last digit, folded to one."""
+    found = i.log_errors(a.log_records(spark, sf_dir))
+    parts = [i.error_groups(found.where(F.col("ord.seq") % 3 == n)) for n in range(3)]
+    g = i.fold_error_groups(parts[0].union(parts[1]).union(parts[2]))
+    return g.select("fingerprint", "count", F.unix_millis("first_seen").alias("first_ms"), F.unix_millis("last_seen").alias("last_ms"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Services with most log entries of the last month, in the dialect."""
     recent = v.within_lookback(a.entries(spark, sf_dir), int(timedelta(days=30).total_seconds() * 1000), a.NOW)
