@@ -8,6 +8,7 @@ temporaries of one task stay small however long the texts are; one text is never
 from __future__ import annotations
 
 import ctypes
+import threading
 import uuid
 
 import numpy as np
@@ -22,14 +23,17 @@ _MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; a default only where it is unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a default in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         path = "/tmp/checkpoints/spanforge"
     return path.rstrip("/")
 
 
 #: Drops a job's shuffle files as soon as its table is written (they would else wait for the driver's collector).
+_WRITING = threading.Lock()
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -38,12 +42,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     bound_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    was = spark.conf.get(_CLEANUP, None)
-    try:
-        spark.conf.set(_CLEANUP, "true")
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
+    with _WRITING:  # the setting is the session's, so one thread at a time
+        was = spark.conf.get(_CLEANUP, None)
+        try:
+            spark.conf.set(_CLEANUP, "true")
+            df.write.parquet(path)
+        finally:
+            spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

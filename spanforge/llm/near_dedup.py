@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_WHITE, batch_chunks, lean, list_array, materialize, mix64, random_table, read, shingle_hashes, signed, words
+from .common import WORD_WHITE, batch_chunks, discard, lean, list_array, materialize, mix64, random_table, read, shingle_hashes, signed, words
 from .components import components
 
 BANDS, ROWS = 40, 5
@@ -136,10 +136,12 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
     banded = vertices.select("v", "n", F.explode("keys").alias("key"))
     # A table of its own: a join with an aggregate in the same stage cannot split a hot key's rows.
     shared = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "keys")
-    members = materialize(banded.join(shared, "key"), "members")
-    degree = members.groupBy("v").agg(F.sum("size").alias("degree"))
-    members = materialize(members.join(degree, "v").withColumn("label", F.col("v")).withColumn("own", F.col("n")), "members")
-    wanted = vertices.join(degree.select("v"), "v", "left_semi")
+    paired = materialize(banded.join(shared, "key"), "members")
+    degree = paired.groupBy("v").agg(F.sum("size").alias("degree"))
+    members = materialize(paired.join(degree, "v").withColumn("label", F.col("v")).withColumn("own", F.col("n")), "members")
+    for done in (paired, shared):
+        discard(done)
+    wanted = vertices.join(members.select("v").distinct(), "v", "left_semi")
     sets = materialize(_full_sets(docs.where(F.col("doc_id").isNotNull()), wanted.where("doc.id is not null"), k).unionByName(_full_sets_without_id(docs, wanted, k)), "sets")
     links = labels = None
     possible = lambda x, y: f"{den} * least({x}own, {y}own) >= {num} * ({x}n + {y}n - least({x}own, {y}own))"
@@ -176,6 +178,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
                 members = _relabel(members, labels)
         if turn == stars - 1:
             members = _with_own(members, sets, num, den)
+    discard(sets)
     named = vertices.select("v", F.struct(F.col("doc.id").isNull().alias("no"), "doc").alias("f"))
     if labels is not None:
         named = named.join(labels, "v", "left").select("v", "f", F.coalesce("label", "v").alias("label"))
@@ -187,11 +190,13 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
 
 
 def keep_first(docs: DataFrame, num: int = 80, den: int = 100, **options) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component its first row by id and text, once."""
+    """The rows of ``docs`` without near copies: of each component its first row by id and text, once; of rows without words all."""
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    wordless, docs = docs.where(~worded), docs.where(worded)
     found = near_duplicates(docs, num, den, **options)
     first = found.where(F.col("kept") & F.col("text_hash").eqNullSafe(F.col("first_hash"))).select(F.col("doc_id").alias("__id__"), F.col("text_hash").alias("__hash__")).distinct()
     hashed = docs.withColumn("__own__", F.xxhash64("text")).dropDuplicates(["doc_id", "__own__"])
-    return hashed.join(first, hashed.doc_id.eqNullSafe(first["__id__"]) & (hashed["__own__"] == first["__hash__"]), "left_semi").drop("__own__")
+    return hashed.join(first, hashed.doc_id.eqNullSafe(first["__id__"]) & (hashed["__own__"] == first["__hash__"]), "left_semi").drop("__own__").unionByName(wordless)
 
 
 def _full_sets_without_id(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
