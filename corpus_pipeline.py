@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import decontaminate, near_dedup, piece_codec, quality, substring_dedup
-from spanforge.llm.common import bound_batches, materialize
+from spanforge.llm.common import bound_batches, discard, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents of a lower score go.
@@ -75,9 +75,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, f"pipeline-{i}")
+            if before is not None:
+                discard(before)  # what a stage has read is written again, so its input is of no more use
+            before = docs
     return docs
