@@ -80,7 +80,7 @@ def hash_key(key: str) -> str:
 
 
 def new_key() -> str:
-    return "lt_" + secrets.token_hex(32)
+    return "key_" + secrets.token_hex(32)
 
 
 def bearer(header: str | None) -> str | None:

@@ -21,10 +21,6 @@ def wall_micros(ts: Column) -> Column:
     return F.unix_micros(F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
 
 
-def epoch_ms(ts: Column) -> Column:
-    return F.unix_millis(ts)
-
-
 def bucket_start(value: Column, width: int | Column) -> Column:
     """Start of the bucket that holds ``value``; floors below zero too."""
     w = F.lit(width) if isinstance(width, int) else width
@@ -90,12 +86,6 @@ def percentile(p: float, value: str) -> Column:
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
 
 
-def compact(text: Column, width: int = 160) -> Column:
-    """One line of at most ``width`` characters."""
-    line = squeeze(text)
-    return F.when(F.char_length(line) > width, F.concat(F.substring(line, 1, width - 1), F.lit("…"))).otherwise(line)
-
-
 # --- attributes: arrays of (key, value); keys may repeat ---
 
 

@@ -198,7 +198,7 @@ def test_alerts_incidents_keys(spark):
             k.move_incident(i["id"], bad, T0)
     assert k.authorized(None)
     key = k.create_key("k")
-    assert key.startswith("lt_") and len(key) == 67 and k.authorized(f"Bearer {key}") and not k.authorized(key) and not k.authorized("Bearer x")
+    assert key.startswith("key_") and len(key) == 68 and k.authorized(f"Bearer {key}") and not k.authorized(key) and not k.authorized("Bearer x")
     s = k.create_slo("s", v["id"], 90.0, 60_000, {}, {"query": "ok"})
     e = otlp.entries(otlp.decode_bodies(raw(spark, ("logs", 5, "ok", {}), ("logs", 4, "no", {}))))
     assert k.slo_budget(s["id"], e, T0).first().current_pct == 50.0
