@@ -123,6 +123,19 @@ class AttentionMil:
     def score(self, x: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.forward(x, owner, n)[-1], -40, 40)))
 
+    def gradients(self, x: np.ndarray, owner: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss of some documents, by weight."""
+        w, n = self.w, len(y)
+        h, t, s, alpha, z, logit = self.forward(x, owner, n)
+        g = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y) / n
+        xs = (x - self.mean) / self.scale
+        gz = g[:, None] * w["c"]
+        ga = (gz[owner] * h).sum(1)
+        ge = alpha * (ga - np.bincount(owner, alpha * ga, n)[owner])
+        gt, gs = ge[:, None] * w["a"] * s * (1 - t * t), ge[:, None] * w["a"] * t * s * (1 - s)
+        gh = (alpha[:, None] * gz[owner] + gt @ w["V"].T + gs @ w["U"].T) * (1 - h * h)
+        return {"W": xs.T @ gh, "b": gh.sum(0), "V": h.T @ gt, "U": h.T @ gs, "a": ((t * s) * ge[:, None]).sum(0), "c": z.T @ g, "d": np.array([g.sum()])}
+
     def fit(self, x: np.ndarray, owner: np.ndarray, y: np.ndarray, epochs: int = 40, batch: int = 128, rate: float = 4e-3, decay: float = 1e-5, seed: int = 5):
         self.mean = x.mean(0)
         self.scale = x.std(0) + 1e-3
@@ -136,15 +149,7 @@ class AttentionMil:
                 size = bounds[pick + 1] - bounds[pick]
                 rows = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in pick])
                 own, xb = np.repeat(np.arange(len(pick)), size), x[rows]
-                h, t, s, alpha, z, logit = self.forward(xb, own, len(pick))
-                g = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y[pick]) / len(pick)
-                xs = (xb - self.mean) / self.scale
-                gz = g[:, None] * w["c"]
-                ga = (gz[own] * h).sum(1)
-                ge = alpha * (ga - np.bincount(own, alpha * ga, len(pick))[own])
-                gt, gs = ge[:, None] * w["a"] * s * (1 - t * t), ge[:, None] * w["a"] * t * s * (1 - s)
-                gh = (alpha[:, None] * gz[own] + gt @ w["V"].T + gs @ w["U"].T) * (1 - h * h)
-                grad = {"W": xs.T @ gh, "b": gh.sum(0), "V": h.T @ gt, "U": h.T @ gs, "a": ((t * s) * ge[:, None]).sum(0), "c": z.T @ g, "d": np.array([g.sum()])}
+                grad = self.gradients(xb, own, y[pick])
                 step += 1
                 lr = rate * (0.5 * (1 + np.cos(np.pi * epoch / epochs)))
                 for k, p in w.items():

@@ -118,3 +118,66 @@ def test_passages_cover_all_words():
     x, owner = quality.passages(*chunk(texts))
     assert np.bincount(owner).tolist() == [1, 1, 4, 1, 1]
     assert np.isclose(x[:, quality.N_CLASSES].sum() * quality.PASSAGE, 204)
+
+
+def small_model(n_in=7):
+    model = quality.AttentionMil(n_in, hidden=5, gate=4, seed=3)
+    r = np.random.default_rng(11)
+    model.mean, model.scale = r.normal(0, 0.3, n_in), 0.5 + r.random(n_in)
+    sizes = [1, 4, 2, 7]
+    return model, r.normal(0, 1, (sum(sizes), n_in)), np.repeat(np.arange(4), sizes), np.array([1.0, 0.0, 1.0, 0.0])
+
+
+def plain_score(model, bag):
+    """Gated attention over one document's passages, one by one."""
+    import math
+
+    w = model.w
+    hidden = [[math.tanh(sum((v - m) / s * k for v, m, s, k in zip(x, model.mean, model.scale, w["W"][:, j])) + w["b"][j]) for j in range(w["W"].shape[1])] for x in bag]
+    dot = lambda h, m, j: sum(a * b for a, b in zip(h, m[:, j]))
+    gate = [math.exp(sum(w["a"][j] * math.tanh(dot(h, w["V"], j)) / (1 + math.exp(-dot(h, w["U"], j))) for j in range(len(w["a"])))) for h in hidden]
+    z = [sum(g * h[j] for g, h in zip(gate, hidden)) / sum(gate) for j in range(len(hidden[0]))]
+    return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, w["c"])) + w["d"][0])))
+
+
+def test_attention_against_plain_loops():
+    model, x, owner, y = small_model()
+    got = model.score(x, owner, 4)
+    assert np.allclose(got, [plain_score(model, x[owner == i]) for i in range(4)], atol=1e-12)
+
+
+def test_gradients_against_differences():
+    model, x, owner, y = small_model()
+
+    def loss():
+        p = model.score(x, owner, 4)
+        return -float((y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    for name, grad in model.gradients(x, owner, y).items():
+        w = model.w[name]
+        for at in np.ndindex(w.shape):
+            was = w[at]
+            w[at] = was + 1e-6
+            up = loss()
+            w[at] = was - 1e-6
+            down = loss()
+            w[at] = was
+            assert abs((up - down) / 2e-6 - grad[at]) < 1e-7, (name, at)
+
+
+def test_features_against_plain_counts():
+    texts = ["One two two, THREE! ok\n 12", "", "a " * 70 + "End.", "\u00e9t\u00e9 caf\u00e9"]
+    x, owner = quality.passages(*chunk(texts))
+    n = quality.N_CLASSES
+    for i, t in enumerate(texts):
+        words = t.encode().split()
+        bags = [words[j : j + quality.PASSAGE] for j in range(0, len(words), quality.PASSAGE)] or [[]]
+        assert (owner == i).sum() == len(bags)
+        for row, bag in zip(x[owner == i], bags):
+            if not bag:
+                assert not row.any()
+                continue
+            low = [w.lower() for w in bag]
+            assert np.isclose(row[n], len(bag) / quality.PASSAGE) and np.isclose(row[n + 1] * 8, np.mean([len(w) for w in bag]), atol=1e-5)
+            assert np.isclose(row[n + 3], len(set(low)) / len(low)) and np.isclose(row[n + 5], max(map(low.count, low)) / len(low))
+            assert np.isclose(row[n + 4], sum(a == b for a, b in zip(low, low[1:])) / len(low)) and np.isclose(row[:n].sum(), 1, atol=1e-5)
