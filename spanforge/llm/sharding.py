@@ -29,8 +29,10 @@ def shard(docs: DataFrame, shards: int = 40, ranges: int | None = None) -> DataF
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     order = ["doc_id", "text_crc32", "size"]
+    # Equal rows are told apart by where they were read, so that a row that repeats a billion times is split too.
+    tied = sized.withColumn("tie", F.monotonically_increasing_id())
     # Ids of partitions are only stable once written: later plans may coalesce them differently.
-    ranged = materialize(sized.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()), "shard-ranges")
+    ranged = materialize(tied.repartitionByRange(ranges, *order, "tie").withColumn("part", F.spark_partition_id()), "shard-ranges")
     totals = ranged.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     all_parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -40,8 +42,8 @@ def shard(docs: DataFrame, shards: int = 40, ranges: int | None = None) -> DataF
         F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"),
         F.sum("bytes").over(all_parts).alias("all_bytes"),
     )
-    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    row = Window.partitionBy("part").orderBy(*order)
+    inside = Window.partitionBy("part").orderBy(*order, "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    row = Window.partitionBy("part").orderBy(*order, "tie")
     # One row a range, and the number of ranges is a setting: a bounded broadcast.
     placed = (
         ranged.withColumn("upto", F.sum("size").over(inside))

@@ -22,3 +22,10 @@ def test_few_rows(spark):
     one = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert [(r.slot, 0 <= r.shard < 40) for r in shard(one).collect()] == [(0, True)]
     assert shard(one.limit(0)).count() == 0
+
+
+def test_one_row_repeated(spark):
+    """A row that repeats is split over ranges and shards, and each of its copies has a slot of its own."""
+    df = spark.createDataFrame([(7, "same")] * 400, "doc_id long, text string").repartition(8)
+    rows = shard(df, 4, ranges=8).collect()
+    assert sorted((x.shard, x.slot) for x in rows) == [(s, n) for s in range(4) for n in range(100)]
