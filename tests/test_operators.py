@@ -237,3 +237,21 @@ def test_waterfall_query_covers_all_traces(spark):
     got = QUERIES["t_waterfall"](spark, "/root/testdata/sf0.001")
     spans = adapters.spans(spark, "/root/testdata/sf0.001").select("trace_id", "span_id")
     assert got.select("trace_id", "span_id").exceptAll(spans).count() == spans.exceptAll(got.select("trace_id", "span_id")).count() == 0
+
+
+def test_patterns_for_the_engine(spark):
+    from spanforge.operators import viewers
+
+    assert viewers.engine_pattern(r"(?P<n>x+)(?<m>y)\(?P<z>(?<=a)") == r"(x+)(y)\(?P<z>(?<=a)"
+    v = viewers.compile_viewer({"id": "v", "signal_mask": 7, "lookback_ms": 1000, "definition_json": {"filters": [{"field": "payload", "op": "regex", "value": "(?P<n>x+)y"}]}})
+    df = spark.createDataFrame([("logs", "XXY"), ("logs", "y")], "signal string, payload_text string")
+    assert [r.payload_text for r in df.where(v.predicate()).collect()] == ["XXY"]
+    for bad in ("(", "x{2,1}", "(?=x)"):
+        with pytest.raises(viewers.ViewerError):
+            viewers.compile_viewer({"id": "v", "signal_mask": 7, "lookback_ms": 1000, "definition_json": {"filters": [{"field": "payload", "op": "regex", "value": bad}]}})
+
+
+def test_attribute_of_a_request():
+    from spanforge.operators import traces
+
+    assert [traces.parse_attribute(x) for x in ("k", " k = v ", "k=", "k= ", "a=b=c")] == [("k", None), ("k", "v"), ("k", None), ("k", None), ("a", "b=c")]
