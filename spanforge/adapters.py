@@ -22,8 +22,12 @@ NOW_MS = int(NOW.timestamp() * 1000)
 
 def text_attrs(**pairs) -> F.Column:
     """Attributes that hold strings, without those that are null."""
-    made = [F.struct(F.lit(k.replace("__", ".")).alias("key"), F.struct(v.alias("stringValue"), *(F.lit(None).cast("string").alias(n) for n in ("boolValue", "intValue", "doubleValue", "bytesValue", "arrayValue", "kvlistValue"))).alias("value")) for k, v in pairs.items()]
-    return F.filter(F.array(*made), lambda a: a["value"]["stringValue"].isNotNull())
+    return F.filter(F.array(*(_text_attr(k, v) for k, v in pairs.items())), lambda a: a["value"]["stringValue"].isNotNull())
+
+
+def _text_attr(key: str, value: Column) -> Column:
+    others = (F.lit(None).cast("string").alias(n) for n in ("boolValue", "intValue", "doubleValue", "bytesValue", "arrayValue", "kvlistValue"))
+    return F.struct(F.lit(key.replace("__", ".")).alias("key"), F.struct(value.alias("stringValue"), *others).alias("value"))
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +173,7 @@ def spans(spark: SparkSession, sf_dir: str, calls_only: bool = False) -> DataFra
     ``calls_only``: the children alone, which are the spans with a database statement.
     """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    nano = lambda micros: (micros.cast("decimal(20,0)") * 1000).cast("decimal(20,0)")
+    nano = lambda micros: (micros * 1000).cast("decimal(20,0)")
     o = read("orders").join(read("customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"), "left")
     base = o.select("o_orderkey", wall_micros(F.col("o_orderdate")).alias("at"), "c_mktsegment", "o_orderpriority")
     no_attrs = F.array().cast(ATTRS)
@@ -207,7 +211,9 @@ def spans(spark: SparkSession, sf_dir: str, calls_only: bool = False) -> DataFra
     statement = F.concat(F.lit("SELECT * FROM part_"), "l_returnflag", F.lit(" WHERE p_partkey = "), F.col("l_partkey").cast("string"), F.lit(" AND qty > "), quantity.cast("string"))
     peer = F.when(orphan, F.concat(F.lit("peer-"), (F.col("l_suppkey") % 3).cast("string")))
     system = F.when(F.col("l_linestatus") == "F", "postgresql").otherwise("mysql")
-    child_attrs = text_attrs(db__statement=statement, db__system=system, peer__service=peer)
+    # Only the peer may be missing, so no filter has to run over each row's attributes.
+    known = (_text_attr("db.statement", statement), _text_attr("db.system", system))
+    child_attrs = F.when(peer.isNotNull(), F.array(*known, _text_attr("peer.service", peer))).otherwise(F.array(*known))
     child = made(key, F.concat(F.lit("l"), place), F.when(orphan, missing).otherwise(F.concat(F.lit("o"), key.cast("string"))), supplier, F.lit("query part"), at, quantity * 10, F.when(F.col("l_returnflag") == "R", 2).otherwise(0), child_attrs, 1, F.col("seq"))
     deeper = made(key, F.concat(F.lit("g"), place), F.concat(F.lit("l"), place), F.when(F.col("l_tax") > 0.04, supplier).otherwise(F.lit("cache")), F.lit("lookup"), at + 1000, quantity, F.lit(0), no_attrs, 2, F.col("seq"))
     if calls_only:
