@@ -86,7 +86,7 @@ def engine_pattern(pattern: str) -> str:
     return re.sub(r"(?<!\\)((?:\\\\)*)\(\?P?<(?![=!])[^>]*>", r"\1(", pattern)
 
 
-def _check_pattern(pattern: str) -> None:
+def check_pattern(pattern: str) -> None:
     """By the engine that will run it where a session is there, else by the one at hand."""
     from pyspark.errors import PySparkException
     from pyspark.sql import SparkSession
@@ -150,7 +150,7 @@ def compile_viewer(definition: dict) -> Viewer:
             # Patterns are linear-time ones: no look-around, no back references.
             if re.search(r"\(\?(?:[=!]|<[=!])|\\[1-9]", text["value"]):
                 raise ViewerError("InvalidFilterRegex", text["value"])
-            _check_pattern(text["value"])
+            check_pattern(text["value"])
         filters.append((text["field"], text["op"], text["value"]))
     mode = body.get("filter_mode", "and")
     if mode not in ("and", "or"):

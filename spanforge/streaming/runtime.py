@@ -159,9 +159,20 @@ class ViewerRuntime:
         except Exception as e:
             self.status[v.id] = {"type": "degraded", "reason": str(e)[:200]}
 
+    def _sound(self, v: Viewer) -> bool:
+        """Whether the viewer's patterns can run at all; if not it is degraded, and the others go on without it."""
+        try:
+            for _, op, value in v.filters:
+                if op == "regex":
+                    viewers.check_pattern(value)
+        except viewers.ViewerError as e:
+            self.status[v.id] = {"type": "degraded", "reason": str(e)[:200]}
+            return False
+        return True
+
     def refresh(self, now: datetime) -> None:
         """Works out all viewers, and the alerts that are due, as of ``now``, from one pass over the recent entries."""
-        known = list(self.viewers.values())
+        known = [v for v in self.viewers.values() if self._sound(v)]
         rows = self._recent(known, now)
         columns = rows.columns
         dealt, counts = viewers.fan_out(known, rows, now).persist() if known else None, {}
@@ -215,7 +226,7 @@ def stateful_buckets(rows: DataFrame, agg: Aggregation, lookback_ms: int) -> Dat
 
     A key's state is bounded by its rows inside the look-back; what is older than the newest row by more than that
     is taken back, and the buckets that it leaves are worked out again: those left empty are given once more, as 0
-    (count, rate, sum) or NaN.
+    (count, rate, sum) or null.
     """
 
     def step(key: tuple, frames, state: GroupState):
