@@ -5,7 +5,8 @@ squared norm M (per block), so that a query's distance to a candidate falls as t
 candidate to many pivots are computed once, when its block is packed; |d(q, p) - d(x, p)| at the best pivot bounds d(q, x) from below.  The
 query set is dealt in blocks against blocks of candidates; in each pair of blocks the candidates are evaluated in
 the order of their bounds until the next bound is beyond the query's k-th score, which starts from an exact lower
-bound on that score made by each query against one block.  The results of the blocks are merged per query.
+bound on that score made by each query against one block.  The driver holds that block alone, 4 MB at most whatever the
+vectors' length; longer vectors come in blocks of fewer rows.  The results of the blocks are merged per query.
 
 All scores are exact: in double precision where they stay below 2**52, else in 64-bit integers.  Bounds are widened by
 more than the rounding error, so rounding never drops a candidate.  Scores must fit a long: if the largest
@@ -28,8 +29,11 @@ from .common import lean, partitions, read
 PIVOTS = 24
 BLOCK = 1024
 QUERY_BLOCK = 1024
-#: Rows from which pivots and first bounds come.
+#: Rows from which pivots and first bounds come, and how many components they may hold together.
 FIRST = 4096
+FIRST_VALUES = 1 << 19
+#: Components of a block, which has one row at least.
+BLOCK_VALUES = 1 << 20
 #: Scores below it are exact in double precision.
 EXACT = 2.0**52
 STEP = 64
@@ -84,11 +88,12 @@ def _blocks(batches, block: int):
         for d in np.unique(dims).tolist():
             rows = batch.take(pa.array(np.flatnonzero(dims == d)))
             held.setdefault(d, []).append((np.asarray(rows.column(0)).astype(np.int64), np.asarray(rows.column(1).flatten()).astype(np.float64).reshape(-1, d)))
-            if sum(len(i) for i, _ in held[d]) >= block:
+            n = max(1, min(block, BLOCK_VALUES // d))
+            if sum(len(i) for i, _ in held[d]) >= n:
                 ids, x = (np.concatenate(c) for c in zip(*held.pop(d)))
-                for a in range(0, len(ids) - block + 1, block):
-                    yield d, ids[a : a + block], x[a : a + block]
-                a = len(ids) // block * block
+                for a in range(0, len(ids) - n + 1, n):
+                    yield d, ids[a : a + n], x[a : a + n]
+                a = len(ids) // n * n
                 if a < len(ids):
                     held[d] = [(ids[a:], x[a:])]
     for d, parts in held.items():
@@ -100,6 +105,27 @@ def _floats(raw: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(raw, np.float64).reshape(-1, dim)
 
 
+def _first(clean: DataFrame, mean: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) by length of up to ``FIRST`` rows, ``FIRST_VALUES`` components in all; ``mean``: the vectors' mean length."""
+    # Rows of up to one and a half times the mean length, so that a few very long ones do not use the room up.
+    longest = int(1.5 * mean) if mean != int(mean) else int(mean)
+    n = min(FIRST, FIRST_VALUES // max(1, longest))
+    if not n:
+        return {}
+
+    def pack(batches):
+        for batch in batches:
+            at, flat = np.concatenate([[0], np.cumsum(np.asarray(batch.column(2)))]), np.asarray(batch.column(1).flatten()).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([flat[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["vec_id", "dim", "x"])
+
+    out: dict[int, tuple[list, list]] = {}
+    for row in clean.where(F.col("dim") <= longest).mapInArrow(lean(pack), "vec_id long, dim int, x binary").limit(n).collect():
+        ids, parts = out.setdefault(row.dim, ([], []))
+        ids.append(row.vec_id)
+        parts.append(bytes(row.x))
+    return {d: (np.array(i, np.int64), _floats(b"".join(x), d)) for d, (i, x) in out.items()}
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of each query; ``is_query``: a condition on vec_id."""
     spark = vectors.sparkSession
@@ -107,16 +133,11 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, block:
     finite = ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
     clean = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite).select("vec_id", whole.alias("x"), F.size("embedding").alias("dim"))
     # No score, nor any part of its sum, is above the largest squared norm.
-    largest = clean.agg(F.max(F.aggregate("x", F.lit(0.0), lambda n, c: n + c * c))).first()[0]
+    largest, mean = clean.agg(F.max(F.aggregate("x", F.lit(0.0), lambda n, c: n + c * c)), F.avg("dim")).first()
     if largest is not None and largest >= 2**63 * (1 - 1e-9):
         raise ValueError("a score may leave 64 bits: components are too large for this scale")
     # Pivots and the first bounds: one bounded block of candidates of each length, however large the table is.
-    first: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for row in clean.limit(FIRST).collect():
-        first.setdefault(row.dim, ([], []))
-        first[row.dim][0].append(row.vec_id)
-        first[row.dim][1].append(row.x)
-    first = {d: (np.array(i, np.int64), np.array(x, np.float64)) for d, (i, x) in first.items()}
+    first = _first(clean, mean or 0.0)
     # A length that the first rows lack has the origin for a pivot: no bound but the norms.
     chosen = {d: _far_apart(x, pivots) for d, (_, x) in first.items()}
     shared = spark.sparkContext.broadcast((first, chosen))

@@ -62,3 +62,23 @@ def test_pivots_leave_most_candidates_out():
         score = x @ x[i]
         score[i] = -np.inf
         assert sorted(s for q, _, s in got if q == i) == sorted(np.sort(score)[-5:].astype(int).tolist())
+
+
+def test_long_vectors_leave_the_driver_small(spark, monkeypatch):
+    """400 vectors of 20,000 components, 64 MB; the driver holds and sends a few of them."""
+    import numpy as np
+
+    held = []
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: held.append(value) or broadcast(self, value))
+    rows = spark.range(0, 400, numPartitions=4).select(F.col("id").alias("vec_id"), F.expr("transform(sequence(0, 19999), j -> double(pmod(xxhash64(id, j), 512)) / 256 - 1)").alias("embedding"))
+    rows = rows.union(spark.createDataFrame([(1000, [0.5] * 8), (1001, [0.25] * 8)], rows.schema))
+    got = top_k(rows, F.col("vec_id") % 100 == 0).collect()
+    x = {r.vec_id: np.floor(256 * np.array(r.embedding)) for r in rows.where("vec_id < 400").collect()}
+    want = [(1000, 1, 1001, 8 * 128 * 64)]
+    for q in (0, 100, 200, 300):
+        best = sorted((-int(x[q] @ v), i) for i, v in x.items() if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    first, _ = held[0]
+    assert 0 < sum(v.nbytes for _, v in first.values()) <= 8 << 19
