@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fuzzy_passages, html_extract, near_dedup, piece_codec, quality, sharding, substring_dedup, topk, toxicity
+from . import decontaminate, fuzzy_passages, html_extract, importance, near_dedup, piece_codec, quality, sharding, substring_dedup, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_extraction": html_extract.op8_html_extraction,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_quality": quality.op10_quality,
+    "op11_importance": importance.op11_importance,
 }
 ORACLES = {
     "op4_near_dedup": near_dedup.OP4_SQL,
@@ -22,4 +23,5 @@ ORACLES = {
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op7_sharding": sharding.OP7_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
+    "op11_importance": importance.OP11_SQL,
 }
