@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fuzzy_passages, html_extract, importance, near_dedup, piece_codec, quality, sharding, substring_dedup, topk, toxicity
+from . import decontaminate, fuzzy_passages, html_extract, importance, near_dedup, piece_codec, quality, sharding, substring_dedup, topk, toxicity, vector_codes
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_quality": quality.op10_quality,
     "op11_importance": importance.op11_importance,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 ORACLES = {
     "op4_near_dedup": near_dedup.OP4_SQL,
@@ -24,4 +25,5 @@ ORACLES = {
     "op7_sharding": sharding.OP7_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
     "op11_importance": importance.OP11_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }
