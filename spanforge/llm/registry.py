@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fuzzy_passages, html_extract, importance, near_dedup, piece_codec, quality, sharding, substring_dedup, topk, toxicity, vector_codes
+from . import decontaminate, fuzzy_passages, html_extract, importance, near_dedup, piece_codec, quality, sharding, simhash, substring_dedup, topk, toxicity, vector_codes
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_quality": quality.op10_quality,
     "op11_importance": importance.op11_importance,
+    "op12_simhash": simhash.op12_simhash,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 ORACLES = {
