@@ -26,5 +26,6 @@ ORACLES = {
     "op7_sharding": sharding.OP7_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
     "op11_importance": importance.OP11_SQL,
+    "op12_simhash": simhash.OP12_SQL,
     "op13_vector_codes": vector_codes.OP13_SQL,
 }

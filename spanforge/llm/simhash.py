@@ -324,3 +324,48 @@ def simhash_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE,
 
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def _sql() -> str:
+    """The hash in 128-bit integers modulo 2**64; ``let`` binds a value that is needed twice."""
+    p1, p2, p3, p4, p5 = (f"{x}::UHUGEINT" for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))  # fixed values of XXH64
+    mod = lambda x: f"(({x}) % 18446744073709551616::UHUGEINT)"
+    let = lambda name, value, body: f"list_transform([{value}], lambda {name}: {body})[1]"
+    rot = lambda name, x, r: let(name, f"({x}) * {1 << r}::UHUGEINT", f"{name} % 18446744073709551616::UHUGEINT + {name} // 18446744073709551616::UHUGEINT")
+    step = lambda name, acc, x: mod(f"{rot(name, mod(f'{acc} + ({x}) * {p2}'), 31)} * {p1}")
+    shift = lambda x, r: let("z", x, f"xor(z, z // {1 << r}::UHUGEINT)")
+    number = lambda at, n: f"CAST('0x' || {' || '.join(f'substr(h, {at} + {2 * i}, 2)' for i in reversed(range(n)))} AS UBIGINT)::UHUGEINT"
+    lane = lambda i: f"list_reduce(list_transform(range(0, n // 32), lambda i: {number(f'i * 64 + {16 * i - 15}', 8)}), lambda a, x: {step('y', 'a', 'x')}, v{i})"
+    merge = mod(" + ".join(rot("y", f"lanes[{i}]", r) for i, r in ((1, 1), (2, 7), (3, 12), (4, 18))))
+    wide = f"list_reduce(lanes, lambda a, x: {mod(f'xor(a, ' + step('y', '0::UHUGEINT', 'x') + f') * {p1} + {p4}')}, {merge})"
+    eight = f"list_reduce(list_transform(range(n // 32 * 4, n // 8), lambda i: {number('i * 16 + 1', 8)}), lambda a, x: {mod(rot('w', 'xor(a, ' + step('y', '0::UHUGEINT', 'x') + ')', 27) + f' * {p1} + {p4}')}, g)"
+    four = f"CASE WHEN n % 8 >= 4 THEN {mod(rot('w', f'xor(g, ' + mod(number('n // 8 * 16 + 1', 4) + f' * {p1}') + ')', 23) + f' * {p2} + {p3}')} ELSE g END"
+    ones = f"list_reduce(list_transform(range(n // 4 * 4, n), lambda i: {number('i * 2 + 1', 1)}), lambda a, x: {mod(rot('w', 'xor(a, ' + mod(f'x * {p5}') + ')', 11) + f' * {p1}')}, g)"
+    last = shift(mod(f"{shift(mod(f'{shift('g', 33)} * {p2}'), 29)} * {p3}"), 32)
+    bits = ", ".join(f"sum((x >> {b}) & 1::UBIGINT) AS b{b}" for b in range(64))
+    print_ = " + ".join(f"CASE WHEN 2 * b{b} > n THEN {1 << b}::UHUGEINT ELSE 0::UHUGEINT END" for b in range(64))
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM d
+), h0 AS (SELECT g AS s, hex(encode(g)) AS h FROM (SELECT DISTINCT g FROM s)
+), h1 AS (SELECT s, h, len(h) // 2 AS n, {(11400714785074694791 + 14029467366897019727 + SEED) % 2**64}::UHUGEINT AS v1, {(14029467366897019727 + SEED) % 2**64}::UHUGEINT AS v2, {SEED}::UHUGEINT AS v3, {(SEED - 11400714785074694791) % 2**64}::UHUGEINT AS v4 FROM h0
+), h2 AS (SELECT s, h, n, CASE WHEN n >= 32 THEN [{", ".join(lane(i) for i in (1, 2, 3, 4))}] END AS lanes FROM h1
+), h3 AS (SELECT s, h, n, {mod(f"CASE WHEN n >= 32 THEN {wide} ELSE {(2870177450012600261 + SEED) % 2**64}::UHUGEINT END + n::UHUGEINT")} AS g FROM h2
+), h4 AS (SELECT s, h, n, {eight} AS g FROM h3
+), h5 AS (SELECT s, h, n, {four} AS g FROM h4
+), h6 AS (SELECT s, {ones} AS g FROM h5
+), h7 AS (SELECT s, CAST({last} AS UBIGINT) AS x FROM h6
+), c AS (SELECT r, count(*) AS n, {bits} FROM s JOIN h7 ON h7.s = s.g GROUP BY r
+), f AS (SELECT r, CAST({print_} AS UBIGINT) AS f FROM c
+), p AS (SELECT d.r, d.doc_id, coalesce(f.f, 0::UBIGINT) AS f FROM d LEFT JOIN f USING (r)
+), q AS (SELECT DISTINCT f FROM p
+), e AS (SELECT a.f AS a, b.f AS b FROM q a JOIN q b ON bit_count(xor(a.f, b.f)) <= 3
+), t AS (SELECT f, f AS o FROM q UNION SELECT t.f, e.b FROM t JOIN e ON e.a = t.o
+), m AS (SELECT t.f, min(p.doc_id) AS component_id FROM t JOIN p ON p.f = t.o GROUP BY t.f)
+SELECT doc_id, format('{{:016x}}', f) AS fingerprint, component_id FROM p JOIN m USING (f)
+"""
+
+
+OP12_SQL = _sql()
