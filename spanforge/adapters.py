@@ -32,7 +32,16 @@ def _text_attr(key: str, value: Column) -> Column:
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entry_id, stream_ms, stream_seq, signal, observed_at, service_name, duration_ms, payload_text."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return entries_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def entry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as a stream; a stream takes folders or patterns, and the table may be one file."""
+    path = f"{sf_dir}/events.parquet"
+    return entries_of(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*"))
+
+
+def entries_of(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     user, micros = F.col("user_id") % 10, wall_micros(F.col("ts"))
     signal = F.when(F.col("event_type") == "error", "logs").when(F.col("event_type").isin("click", "purchase"), "metrics").otherwise("traces")

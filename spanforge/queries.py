@@ -16,6 +16,7 @@ from .operators import viewers as v
 from .oracle import ENTRIES, NOW_MS, SPANS, SUMMARIES
 from .plans import dialect
 from .sources import landing, otlp
+from .streaming import live
 
 DAY = 86_400_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,6 +194,24 @@ def v_fan_out(spark, sf_dir):
     return v.fan_out(_FAN, a.entries(spark, sf_dir)).groupBy("viewer_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- streams: the state that is left once the newest entry has taken back what its look-back leaves out ---
+
+
+def _live(fn: str):
+    def made(spark, sf_dir):
+        rows = a.entry_stream(spark, sf_dir).where("signal = 'metrics'").select("observed_at", F.coalesce("service_name", F.lit("unknown")).alias("group_key"), "value")
+        left = live.run_through(live.live_buckets(rows, v.Aggregation(fn, DAY), 10 * DAY), live.scratch(spark, "live"))
+        return left.select("group_key", "bucket_start_ms", "n", F.round("value", 6).alias("value"))
+
+    return made
+
+
+for _fn, _sql in (("sum", "round(sum(value), 6)"), ("p95", "quantile_disc(value, 0.95)")):
+    query(f"""WITH {ENTRIES}, m AS (SELECT * FROM entries WHERE signal = 'metrics')
+SELECT coalesce(service_name, 'unknown') AS group_key, CAST(ms - ms % {DAY} AS BIGINT) AS bucket_start_ms, count(*) AS n, round({_sql}, 6) AS value FROM m
+WHERE ms > (SELECT max(ms) FROM m) - {10 * DAY} GROUP BY ALL""", f"w_live_{_fn}")(_live(_fn))
+
+
 # --- traces ---
 
 

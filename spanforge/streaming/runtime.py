@@ -6,8 +6,8 @@ their look-back: one pass over the days that the longest look-back needs deals t
 (``viewers.fan_out``), which is exact for partly expired buckets.  A change of a viewer is worked out at once, from the
 viewer's live entries.  Results are kept as snapshots by viewer and revision next to the entries; after a restart a
 snapshot counts only if its viewer still has the revision.  Checkpoints hold the position, so a restart goes on where
-it stopped.  ``rollup_stream`` and ``stateful_buckets`` are the native forms for what needs no retraction and for what
-keeps its own state.
+it stopped.  ``rollup_stream`` is the native form for what needs no retraction, ``live.live_buckets`` the one for what
+takes its entries back by the clock.
 """
 
 from __future__ import annotations
@@ -17,15 +17,13 @@ import os
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
-import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import insight, viewers
-from ..operators.viewers import Aggregation, Viewer
+from ..operators.viewers import Viewer
 from ..sources import landing, otlp
 
 
@@ -221,34 +219,6 @@ def rollup_stream(entries: DataFrame, resolution: str = "1m", late: str = "10 mi
     return out.select("signal", F.unix_seconds("w.start").alias("bucket_start_seconds"), "service", "count")
 
 
-def stateful_buckets(rows: DataFrame, agg: Aggregation, lookback_ms: int) -> DataFrame:
-    """Buckets of a stream of (observed_at, group_key, value) with retraction: each key holds the values still live.
-
-    A key's state is bounded by its rows inside the look-back; what is older than the newest row by more than that
-    is taken back, and the buckets that it leaves are worked out again: those left empty are given once more, as 0
-    (count, rate, sum) or null.
-    """
-
-    def step(key: tuple, frames, state: GroupState):
-        live = pd.DataFrame(json.loads(state.get[0]), columns=["ms", "v"]) if state.exists else pd.DataFrame({"ms": [], "v": []})
-        fresh = pd.concat([f[["ms", "v"]] for f in frames])
-        live = pd.concat([live, fresh]).astype({"ms": "int64", "v": "float64"})
-        live = live[live.ms > live.ms.max() - lookback_ms]
-        before = set() if not state.exists else {int(m) - int(m) % agg.bucket_ms for m, _ in json.loads(state.get[0])}
-        state.update((json.dumps(live.values.tolist()),))
-        grouped = live.assign(b=live.ms - live.ms % agg.bucket_ms).groupby("b").v
-        rank = lambda p: grouped.apply(lambda v: sorted(v)[-int(-len(v) * p // 1) - 1])
-        made = {"count": grouped.count, "rate": lambda: grouped.count() / (agg.bucket_ms / 1000), "sum": grouped.sum, "avg": grouped.mean}.get(agg.fn) or (lambda: rank(int(agg.fn[1:]) / 100))
-        out = made()
-        # A bucket that all its values have left is taken back: nothing counted, no value.
-        gone = sorted(before - set(out.index.astype("int64")))
-        out = pd.concat([out.astype("float64"), pd.Series([0.0 if agg.fn in ("count", "rate", "sum") else float("nan")] * len(gone), index=pd.Index(gone, dtype="float64"), dtype="float64")])
-        yield pd.DataFrame({"group_key": key[0], "bucket_start_ms": out.index.astype("int64"), "value": out.to_numpy("float64")})
-
-    flat = rows.select("group_key", F.unix_millis("observed_at").alias("ms"), F.col("value").cast("double").alias("v"))
-    return flat.groupBy("group_key").applyInPandasWithState(step, "group_key string, bucket_start_ms long, value double", "live string", "update", GroupStateTimeout.NoTimeout)
-
-
 def side_tables(bodies: DataFrame, root: str, number: int) -> None:
     """Rollups, attribute index and error groups of a batch, under its number: a repeat overwrites, readers add up or fold."""
     errors = insight.span_errors(otlp.spans(bodies)).unionByName(insight.log_errors(otlp.log_records(bodies)))

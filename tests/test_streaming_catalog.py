@@ -12,6 +12,7 @@ from spanforge import catalog as c
 from spanforge.operators import insight, viewers
 from spanforge.operators.viewers import Aggregation
 from spanforge.sources import landing, otlp
+from spanforge.streaming import live as live_state
 from spanforge.streaming import runtime
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -120,7 +121,7 @@ def test_stateful_equals_recompute(spark, tmp_path, fn):
         for r in df.collect():  # an update sink: only what comes changes
             seen.setdefault(r.group_key, {})[r.bucket_start_ms] = r.value
 
-    query = runtime.stateful_buckets(stream, agg, 12_000).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query = live_state.live_buckets(stream, agg, 12_000).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     drain(query)
     import math
 
