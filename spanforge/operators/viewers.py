@@ -216,8 +216,8 @@ def _key(name: str, owner: Column | None) -> Column:
     return F.coalesce(own, rest, F.lit(UNKNOWN))
 
 
-def inputs(agg: Aggregation, entries: DataFrame) -> DataFrame:
-    """(bucket_start_ms, group_keys, value) that entries put into the aggregation.
+def inputs(agg: Aggregation, entries: DataFrame, *more) -> DataFrame:
+    """(bucket_start_ms, group_keys, value) that entries put into the aggregation, behind ``more`` columns of theirs.
 
     Without a metric name an entry gives one, with its first value; with one each metric of the name gives one, and
     an entry without any still gives one that has no value.
@@ -226,11 +226,11 @@ def inputs(agg: Aggregation, entries: DataFrame) -> DataFrame:
     if agg.metric_name is None:
         keys = F.array(*(_key(k, None) for k in agg.group_by)) if agg.group_by else F.array().cast("array<string>")
         value = F.when(F.col("signal") == "metrics", F.get(F.filter("metrics", lambda m: m["value"].isNotNull()), F.lit(0))["value"])
-        return entries.select(bucket, keys.alias("group_keys"), value.alias("value"))
+        return entries.select(*more, bucket, keys.alias("group_keys"), value.alias("value"))
     named = F.filter("metrics", lambda m: m["name"] == agg.metric_name)
     one = entries.withColumn("_m", F.explode_outer(F.when(F.col("signal") == "metrics", named)))
     keys = F.array(*(_key(k, F.col("_m.rs")) for k in agg.group_by)) if agg.group_by else F.array().cast("array<string>")
-    return one.select(bucket, keys.alias("group_keys"), F.col("_m.value").alias("value"))
+    return one.select(*more, bucket, keys.alias("group_keys"), F.col("_m.value").alias("value"))
 
 
 def aggregate(agg: Aggregation, entries: DataFrame) -> DataFrame:

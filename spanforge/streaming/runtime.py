@@ -1,60 +1,76 @@
 """Continuous viewers over landed entries.
 
 ``ViewerRuntime`` takes each micro-batch once, decodes it once and writes under the batch's number the decoded rows,
-rollups, attribute index and error groups, so a batch that comes again overwrites itself.  Viewers are worked out anew over
-their look-back: one pass over the days that the longest look-back needs deals the entries to all viewers
-(``viewers.fan_out``), which is exact for partly expired buckets.  A change of a viewer is worked out at once, from the
-viewer's live entries.  Results are kept as snapshots by viewer and revision next to the entries; after a restart a
-snapshot counts only if its viewer still has the revision.  Checkpoints hold the position, so a restart goes on where
-it stopped.  ``rollup_stream`` is the native form for what needs no retraction, ``live.live_buckets`` the one for what
-takes its entries back by the clock.
+rollups, attribute index and error groups, so a batch that comes again overwrites itself.  Viewers' results are kept by
+deltas (``deltas.Deltas``): a tick reads the batches that came and the contributions that left, for all viewers in
+one pass, and its manifest holds the viewers' cursors, from which a restart goes on.  A change of a viewer is worked out
+at once, from that viewer's look-back.  Results stay in tables; ``results`` fetches a viewer's when it is asked for
+them.  ``rollup_stream`` is the native form for what needs no retraction, ``live.live_buckets`` the one for what takes
+its entries back by the clock inside Spark's own state.
 """
 
 from __future__ import annotations
 
-import json
 import os
-from collections.abc import Callable
-from datetime import datetime, timedelta, timezone
+from collections.abc import Callable, Iterator, Mapping
+from datetime import date, datetime, timedelta, timezone
+from functools import cached_property
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import insight, viewers
 from ..operators.viewers import Viewer
+from ..schema import RAW_ENTRY
 from ..sources import landing, otlp
+from .deltas import Deltas
 
 
-SNAPSHOT = "viewer_id string, revision int, taken_ms bigint, kind string, rows array<string>"
+class Results(Mapping):
+    """Rows of the viewers that have been worked out, by id; each is read from its tables when asked for."""
+
+    def __init__(self, runtime: ViewerRuntime):
+        self._runtime = runtime
+
+    def frame(self, viewer_id: str) -> DataFrame:
+        v = self._runtime.viewers[viewer_id]
+        if not self._runtime.live.knows(v):
+            raise KeyError(viewer_id)
+        return self._runtime.live.results(v)
+
+    def __getitem__(self, viewer_id: str) -> list:
+        return self.frame(viewer_id).collect()
+
+    def __iter__(self) -> Iterator[str]:
+        return (i for i, v in self._runtime.viewers.items() if self._runtime.live.knows(v))
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self)
 
 
 class ViewerRuntime:
-    """Keeps entries in ``root``/entries, side tables next to them, and the viewers' last results in memory and as snapshots."""
+    """Keeps entries in ``root``/entries, side tables next to them, and the viewers' state in ``root``/live."""
 
     def __init__(self, spark: SparkSession, root: str, clock: Callable[[], datetime] | None = None, alerts: list | None = None, on_alert: Callable | None = None):
         self.spark, self.root = spark, root.rstrip("/")
         self.clock = clock or (lambda: datetime.now(timezone.utc))
         self.viewers: dict[str, Viewer] = {}
-        self.results: dict[str, list] = {}
         self.status: dict[str, dict] = {}
         self.alerts, self.on_alert = list(alerts or ()), on_alert
         self.alert_status: dict[str, str] = {}
         self._last_run: dict[str, float] = {}
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._saved = self._load()
+        self.live = Deltas(spark, f"{self.root}/live", self._of_batches)
+        self.results = Results(self)
 
     # definitions
 
     def add(self, viewer: Viewer) -> None:
-        """Takes a viewer up, with its snapshot if there is one of the same revision."""
+        """Takes a viewer up; what is held of the same revision counts, and the next tick goes on after its cursor."""
         self.viewers[viewer.id] = viewer
         self.status[viewer.id] = {"type": "ok"}
-        saved = self._saved.get(viewer.id)
-        if saved is not None and saved.revision == viewer.revision and viewer.id not in self.results:
-            self.results[viewer.id] = self._rows(saved)
 
     def update(self, viewer: Viewer) -> str:
         """Takes a change up and works it out: ``rebuild`` (other entries are met), ``recompute`` (another aggregation) or ``metadata``."""
@@ -64,61 +80,18 @@ class ViewerRuntime:
             action = "rebuild"
         else:
             action = "recompute" if old.aggregation != viewer.aggregation else "metadata"
-        if action != "metadata":
-            self.results.pop(viewer.id, None)
         self.viewers[viewer.id] = viewer
         self.status[viewer.id] = {"type": "ok"}
-        if action != "metadata" and self._has(self.table()):
-            now = self.clock()
-            self._work_out(viewer, viewers.matching(viewer, self._recent([viewer], now), now))
-        if viewer.id in self.results:
-            self._snapshot()
+        if action == "metadata":
+            self.live.rename(viewer)
+        else:
+            self._advance(self.clock())
         return action
 
     def remove(self, viewer_id: str) -> None:
-        for kept in (self.viewers, self.results, self.status):
+        for kept in (self.viewers, self.status):
             kept.pop(viewer_id, None)
-
-    # snapshots
-
-    def _has(self, path: str) -> bool:
-        return self._fs.exists(self._path(path))
-
-    def _load(self) -> dict:
-        """The newest snapshot of each viewer."""
-        if not self._has(f"{self.root}/snapshots"):
-            return {}
-        names = sorted((f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.root}/snapshots")) if f.getPath().getName().startswith("at=")), key=lambda n: int(n[3:]))
-        for name in reversed(names):
-            if self._has(f"{self.root}/snapshots/{name}/_SUCCESS"):
-                return {r.viewer_id: r for r in self.spark.read.schema(SNAPSHOT).parquet(f"{self.root}/snapshots/{name}").collect()}
-        return {}
-
-    def _rows(self, saved) -> list:
-        texts = self.spark.createDataFrame([(i, t) for i, t in enumerate(saved.rows)], "i int, t string").orderBy("i")
-        return [r.x for r in texts.select(F.from_json("t", saved.kind).alias("x")).collect()]
-
-    def _snapshot(self) -> None:
-        """Writes the results of all viewers with their revisions; the one before is kept until the next is whole."""
-        ms = int(self.clock().timestamp() * 1000)
-        rows = []
-        for v in self.viewers.values():
-            if v.id in self.results and v.id in self._kinds:
-                kind = self._kinds[v.id]
-                texts = [r[0] for r in self.spark.createDataFrame(self.results[v.id], kind).select(F.to_json(F.struct("*"))).collect()] if self.results[v.id] else []
-                rows.append((v.id, v.revision, ms, kind.simpleString(), texts))
-        folder, path = self._path(f"{self.root}/snapshots"), self._path
-        old = [f.getPath() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
-        number = 1 + max([0, *(int(p.getName()[3:]) for p in old if p.getName().startswith("at="))])
-        self.spark.createDataFrame(rows, SNAPSHOT).coalesce(1).write.parquet(f"{self.root}/snapshots/at={number}")
-        for p in sorted(old, key=lambda p: p.getName()):
-            if p.getName().startswith("at=") and int(p.getName()[3:]) < number - 1:
-                self._fs.delete(path(f"{self.root}/snapshots/{p.getName()}"), True)
-        self._saved = {r[0]: Row(**dict(zip(("viewer_id", "revision", "taken_ms", "kind", "rows"), r))) for r in rows}
-
-    @property
-    def _kinds(self) -> dict:
-        return self.__dict__.setdefault("_kinds_of", {k: T._parse_datatype_string(s.kind) for k, s in self._saved.items()})
+        self.live.forget(viewer_id)
 
     # work
 
@@ -140,23 +113,33 @@ class ViewerRuntime:
             bodies.unpersist()
         self.refresh(self.clock())
 
+    def landed(self) -> list[int]:
+        """Numbers of the batches whose entries are written."""
+        path = self._path(self.table())
+        names = [f.getPath().getName() for f in self._fs.listStatus(path)] if self._fs.exists(path) else []
+        return sorted(int(n[6:]) for n in names if n.startswith("batch=") and self._fs.exists(self._path(f"{self.table()}/{n}/_SUCCESS")))
+
+    @cached_property
+    def _schema(self):
+        none = otlp.parse(self.spark.createDataFrame([], f"{RAW_ENTRY}, body string"))
+        return otlp.entries(none).withColumn("day", F.to_date("observed_at")).withColumn("batch", F.lit(0)).schema
+
+    def _of_batches(self, numbers: list[int], first_day: date | None = None) -> DataFrame:
+        """Entries of the batches, days before ``first_day`` left out."""
+        paths = [f"{self.table()}/batch={n}" for n in numbers if self._fs.exists(self._path(f"{self.table()}/batch={n}"))]
+        if not paths:
+            return self.spark.createDataFrame([], self._schema)
+        rows = self.spark.read.schema(self._schema).option("basePath", self.table()).parquet(*paths)
+        return rows if first_day is None else rows.where(F.col("day") >= F.lit(first_day))
+
     def entries(self) -> DataFrame:
-        return self.spark.read.option("basePath", self.table()).parquet(f"{self.table()}/batch=*").drop("batch")
+        return self._of_batches(self.landed()).drop("batch")
 
     def _recent(self, of: list[Viewer], now: datetime) -> DataFrame:
         """Entries of the days that the longest look-back needs; a day's name depends on the time zone."""
         first = (now - timedelta(milliseconds=max([0, *(v.lookback_ms for v in of)]), days=1)).date()
         return self.entries().where(F.col("day") >= F.lit(first))
 
-    def _work_out(self, v: Viewer, live: DataFrame) -> None:
-        try:
-            out = viewers.aggregate(v.aggregation, live) if v.aggregation else viewers.newest(live)
-            self.results[v.id] = out.collect()
-            self._kinds[v.id] = out.schema
-            self.status[v.id] = {"type": "ok"}
-        except Exception as e:
-            self.status[v.id] = {"type": "degraded", "reason": str(e)[:200]}
-
     def _sound(self, v: Viewer) -> bool:
         """Whether the viewer's patterns can run at all; if not it is degraded, and the others go on without it."""
         try:
@@ -168,26 +151,34 @@ class ViewerRuntime:
             return False
         return True
 
-    def refresh(self, now: datetime) -> None:
-        """Works out all viewers, and the alerts that are due, as of ``now``, from one pass over the recent entries."""
+    def _advance(self, now: datetime) -> None:
+        """A tick; a viewer whose condition cannot run is degraded and keeps what it had, and the others go on."""
         known = [v for v in self.viewers.values() if self._sound(v)]
-        rows = self._recent(known, now)
-        columns = rows.columns
-        dealt, counts = viewers.fan_out(known, rows, now).persist() if known else None, {}
         try:
-            try:
-                counts = {r.viewer_id: r["count"] for r in dealt.groupBy("viewer_id").count().collect()} if known else {}
-                live = lambda v: dealt.where(F.col("viewer_id") == v.id).select(columns)
-            except Exception:  # one viewer's condition fails: each on its own, so the others go on
-                live = lambda v: viewers.matching(v, rows, now)
-                counts = None
-            for v in known:
-                self._work_out(v, live(v))
-        finally:
-            if dealt is not None:
-                dealt.unpersist()
-        self._evaluate(rows, now, counts)
-        self._snapshot()
+            self._tick(known, now)
+        except Exception:
+            good = [v for v in known if self._runs(v)]
+            if len(good) == len(known):
+                raise
+            self._tick(good, now)
+
+    def _tick(self, known: list[Viewer], now: datetime) -> None:
+        self.live.advance(known, self.landed(), now)
+        for v in known:
+            self.status[v.id] = {"type": "ok"}
+
+    def _runs(self, v: Viewer) -> bool:
+        try:
+            viewers.fan_out([v], self._of_batches(self.landed()[-1:])).limit(1).count()
+        except Exception as e:
+            self.status[v.id] = {"type": "degraded", "reason": str(e)[:200]}
+            return False
+        return True
+
+    def refresh(self, now: datetime) -> None:
+        """Brings all viewers to the landed batches and to ``now``, then the alerts that are due."""
+        self._advance(now)
+        self._evaluate(now)
 
     def panel(self, viewer_id: str, services: str | None = None, query: str | None = None) -> DataFrame | None:
         """A viewer's live entries under a dashboard's filter; None for a viewer that is not there."""
@@ -195,14 +186,13 @@ class ViewerRuntime:
         now = self.clock()
         return None if v is None else viewers.dashboard_filter(viewers.matching(v, self._recent([v], now), now), services, query)
 
-    def _evaluate(self, rows: DataFrame, now: datetime, counts: dict | None) -> None:
+    def _evaluate(self, now: datetime) -> None:
         ms = now.timestamp() * 1000
         due = [a for a in self.alerts if ms - self._last_run.get(a.id, -1e18) >= a.interval_ms]
         if not due:
             return
-        live = [v for v in self.viewers.values() if any(a.viewer_id == v.id for a in due) and self.status[v.id]["type"] == "ok"]
-        found = {v.id: counts.get(v.id, 0) if counts is not None else viewers.matching(v, rows, now).count() for v in live}
-        frame = self.spark.createDataFrame(list(found.items()), "viewer_id string, count long")
+        watched = [(v.id,) for v in self.viewers.values() if any(a.viewer_id == v.id for a in due) and self.status[v.id]["type"] == "ok"]
+        frame = self.spark.createDataFrame(watched, "viewer_id string").join(self.live.counts(), "viewer_id", "left").select("viewer_id", F.coalesce("count", F.lit(0)).alias("count"))
         for r in insight.evaluate_alerts(frame, due).collect():
             self._last_run[r.alert_id] = ms
             self.alert_status[r.alert_id] = r.status
