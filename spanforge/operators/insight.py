@@ -9,7 +9,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import attribute_text, bucket_start, duration_ns, fingerprint, normalize_statement, percentile, sanitize_service, signature
+from ..functions.core import attribute_text, bucket_start, duration_ns, fingerprint, normalize_statement, sanitize_service, signature
+from .selection import at_ranks
 from .viewers import within_lookback
 
 ERROR_SEVERITY = 17
@@ -83,7 +84,9 @@ def db_spans(spans: DataFrame) -> DataFrame:
 def slow_queries(calls: DataFrame, min_p95_ms: int = 100) -> DataFrame:
     """statement, db_system, count, p50_ms, p95_ms, p99_ms, max_ms of statements whose p95 is that slow."""
     ms = calls.withColumn("ms", F.floor(F.col("duration_ns") / 1000000).cast("long"))
-    out = ms.groupBy("statement", "db_system").agg(F.count(F.lit(1)).alias("count"), *(percentile(p / 100, "ms").cast("long").alias(f"p{p}_ms") for p in (50, 95, 99)), F.max("ms").alias("max_ms"))
+    ranks = {f"p{p}_ms": p / 100 for p in (50, 95, 99)}
+    found = at_ranks(ms.select("statement", "db_system", "ms"), ["statement", "db_system"], "ms", ranks, most="max_ms")
+    out = found.select("statement", "db_system", F.col("n").alias("count"), *(F.col(c).cast("long").alias(c) for c in (*ranks, "max_ms")))
     return out.where(F.col("p95_ms") >= min_p95_ms).orderBy(F.desc("p95_ms"), F.desc("count"), "statement", "db_system")
 
 

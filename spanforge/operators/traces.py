@@ -9,7 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import attribute_json, attribute_scalar, attribute_text, duration_ns, has_attribute, percentile
+from ..functions.core import attribute_json, attribute_scalar, attribute_text, duration_ns, has_attribute
+from .selection import at_ranks
 
 ERROR = 2
 PEER_KEYS = ("peer.service", "server.address", "net.peer.name")
@@ -171,7 +172,8 @@ def service_nodes(spans: DataFrame, now: datetime | None = None, lookback_ms: in
     """service, span_count, error_count, p95_ms."""
     ms = F.when(F.col("end_ns") >= F.col("start_ns"), (F.col("end_ns") - F.col("start_ns")) / 1e6).otherwise(F.lit(0.0)).cast("double")
     rows = _owned(spans, now, lookback_ms).select(F.col("resource_service_name").alias("service"), "status_code", ms.alias("ms"))
-    return rows.groupBy("service").agg(F.count(F.lit(1)).alias("span_count"), F.count_if(F.col("status_code") == ERROR).alias("error_count"), percentile(0.95, "ms").alias("p95_ms")).orderBy("service")
+    found = at_ranks(rows, ["service"], "ms", {"p95_ms": 0.95}, {"error_count": F.count_if(F.col("status_code") == ERROR)})
+    return found.select("service", F.col("n").alias("span_count"), "error_count", "p95_ms").orderBy("service")
 
 
 def service_edges(spans: DataFrame, now: datetime | None = None, lookback_ms: int = 0) -> DataFrame:

@@ -16,8 +16,9 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import attribute_text, bucket_start, percentile
+from ..functions.core import attribute_text, bucket_start
 from ..schema import RESOURCES
+from .selection import at_ranks
 
 SIGNAL_BITS = {"traces": 1, "metrics": 2, "logs": 4}
 FIELDS = {"service_name": "service_name", "payload": "payload_text"}
@@ -235,14 +236,14 @@ def inputs(agg: Aggregation, entries: DataFrame, *more) -> DataFrame:
 
 def aggregate(agg: Aggregation, entries: DataFrame) -> DataFrame:
     """bucket_start_ms, group_keys, value; buckets without inputs are left out."""
-    rows = inputs(agg, entries)
+    rows, by = inputs(agg, entries), ["bucket_start_ms", "group_keys"]
+    if agg.fn[0] == "p":
+        return at_ranks(rows, by, "value", {"p": int(agg.fn[1:]) / 100}).select(*by, F.col("p").alias("value")).orderBy(*by)
     n = F.count(F.lit(1)).cast("double")
-    made = {
-        "count": lambda: n, "rate": lambda: n / (agg.bucket_ms / 1000), "sum": lambda: F.sum("value"), "avg": lambda: F.avg("value"),
-    }.get(agg.fn) or (lambda: percentile(int(agg.fn[1:]) / 100, "value"))
+    made = {"count": n, "rate": n / (agg.bucket_ms / 1000), "sum": F.sum("value"), "avg": F.avg("value")}[agg.fn]
     if agg.fn not in ("count", "rate"):
         rows = rows.where("value is not null")
-    return rows.groupBy("bucket_start_ms", "group_keys").agg(made().alias("value")).orderBy("bucket_start_ms", "group_keys")
+    return rows.groupBy(*by).agg(made.alias("value")).orderBy(*by)
 
 
 def newest(entries: DataFrame, n: int = 50) -> DataFrame:
