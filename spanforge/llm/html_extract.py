@@ -3,13 +3,16 @@
 Tokens of a page are its tags, each with its path, and its blocks of text, each with the path that holds it.  The
 occurrence vector of a token over the pages of a host is held as a linear sketch, the sum over pages of
 count * random(page) modulo 2**64, so vectors are aggregated without being built, and tokens with equal sums are one
-class.  A class is valid if half of the host's pages that have any token hold it; the tags of valid classes are the
+class.  Pages of equal html on a host are one page here, however often it repeats.  A class is valid if half of the
+host's pages that have any token hold it; the tags of valid classes are the
 template, nested by their paths, and so is a block of text that is in a class with template tags, once on each page
-that has them.  All other text lies in the slots between template tokens.
+that has them.  All other text lies in the slots between template tokens.  Inside the content root a block is template
+only if it is in the root's own class, so it stands on every page that has the root: a story that some pages share is
+their text.
 
 The content root is the template's ``article`` or ``main`` (all of them that nest in no other), else the deepest
 template element reached by going down as long as one child holds ``DOMINANT`` of the slots' text; its slots are the article.  A page's text is
-what lies in these slots, without boilerplate elements (menus, headers and footers of the page, sidebars, notices,
+what lies in these slots (the whole of them, where all is template text), without boilerplate elements (menus, headers and footers of the page, sidebars, notices,
 adverts, forms, scripts, styles, reader comments) and without template text, inside the root as well as outside.
 
 An element is boilerplate by its tag or role, or by a class or id whose words name it as such (``site-footer``,
@@ -21,7 +24,7 @@ than the tokens that half of a host's pages have.  Templates are broadcast if th
 else pages are joined with their host's template over salts.
 
 Defined results: null or empty html gives the empty text; pages without a usable host share the host '';
-pages of hosts with fewer than ``SUPPORT`` pages (the method needs a support) use their own ``article`` or ``main``, else all that is no boilerplate, and so do
+pages of hosts with fewer than ``SUPPORT`` pages of different html (the method needs a support) use their own ``article`` or ``main``, else all that is no boilerplate, and so do
 pages without their host's content root; a page whose whole text lies in elements that are boilerplate by class only
 keeps it; unclosed and stray tags, comments and scripts are tolerated; repeated rows repeat their result; an empty
 table gives an empty result; other columns are ignored.
@@ -39,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_chunks, lean, materialize, read
+from .common import batch_chunks, discard, lean, materialize, read
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S | re.I
@@ -182,15 +185,17 @@ def main_text(page: str, roots: set[str], constants: set[int]) -> str:
         found = [(named, named, chain) for _, named, chain in found]
     kept = [(text, chain) for text, _, chain in found if text and not (constants and text_key(chain[-1][1] if chain else "", text) in constants)]
     if roots and not roots.isdisjoint(opened):
-        return "\n\n".join(text for text, chain in kept if any(c[1] in roots for c in chain))
+        inside = lambda chain: any(c[1] in roots for c in chain)
+        slots = [text for text, chain in kept if inside(chain)] or [text for text, _, chain in found if text and inside(chain)]
+        return "\n\n".join(slots)
     own = [text for text, chain in kept if any(c[0] in ("article", "main") for c in chain)]
     if own or any(re.match("(article|main)(?![a-z])", path.rsplit(">", 1)[-1]) for path in opened):
         return "\n\n".join(own)
     return "\n\n".join(text for text, _ in kept)
 
 
-def _tokens(pages: DataFrame) -> DataFrame:
-    """(host, path, constant, weight, count, hits, chars) summed over the pages of a batch.
+def _tokens(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, path, constant, weight, count, hits, chars) summed over the pages of a batch, a page that repeats in equal shares.
 
     Path '' counts the pages that have any token; ``constant``: key of a block of text, 0 for a tag; ``chars``: text
     in the block, or below the tag.
@@ -199,8 +204,8 @@ def _tokens(pages: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for a, b, _, _ in batch_chunks(batch, "html"):
-                out: dict[tuple[str, str, int], list[int]] = {}
-                for host, page_hash, page in zip(*(batch.column(i).slice(a, b - a).to_pylist() for i in range(3))):
+                out: dict[tuple[str, str, int], list] = {}
+                for host, page_hash, page, copies in zip(*(batch.column(i).slice(a, b - a).to_pylist() for i in range(4))):
                     opened: list[str] = []
                     counts: dict[tuple[str, int], list[int]] = {}
                     for text, _, chain in blocks(page or "", opened):
@@ -218,21 +223,26 @@ def _tokens(pages: DataFrame) -> DataFrame:
                     for (path, constant), (n, chars) in counts.items():
                         row = out.setdefault((host, path, constant), [0, 0, 0, 0])
                         row[0] = row[0] + n * page_hash & (1 << 64) - 1
-                        row[1] += n
-                        row[2] += n > 0
-                        row[3] += chars
+                        row[1] += n / copies
+                        row[2] += (n > 0) / copies
+                        row[3] += chars / copies
                 keys, values = list(out), np.array(list(out.values()), object).reshape(-1, 4)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)),
                         *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in ([k[2] for k in keys], values[:, 0].tolist())),
-                        *(pa.array(values[:, i].tolist(), pa.int64()) for i in (1, 2, 3)),
+                        *(pa.array(values[:, i].tolist(), pa.float64()) for i in (1, 2, 3)),
                     ],
                     ["host", "path", "constant", "weight", "count", "hits", "chars"],
                 )
 
-    taken = pages.select("host", F.xxhash64("page_id", "url", "html"), "html")
-    return taken.mapInArrow(lean(run), "host string, path string, constant long, weight long, count long, hits long, chars long")
+    hashed = pages.select("host", F.xxhash64("html").alias("content"), "html")
+    # Only pages that repeat are counted out: a short row for each of their contents.
+    repeated = materialize(hashed.groupBy("host", "content").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "repeated")
+    small = (repeated.agg(F.sum(F.length("host") + 64)).first()[0] or 0) <= BROADCAST_BYTES
+    taken = hashed.join(F.broadcast(repeated) if small else repeated, ["host", "content"], "left").select("host", "content", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
+    made = taken.mapInArrow(lean(run), "host string, path string, constant long, weight long, count double, hits double, chars double")
+    return made, repeated
 
 
 def deduce(n: int, tokens: list[tuple[str, int, int, int, int, int]]) -> tuple[list[str], list[int], list[str]]:
@@ -241,6 +251,7 @@ def deduce(n: int, tokens: list[tuple[str, int, int, int, int, int]]) -> tuple[l
     vectors: dict[int, list[str]] = {}
     for path, _, vector, *_ in tags:
         vectors.setdefault(vector, []).append(path)
+    of = {t[0]: t[2] for t in tags}
     constants = [t for t in tokens if t[1] and t[3] == t[4] and t[2] in vectors]
     below = lambda p, tops: next((s for s in sorted(tops, key=len, reverse=True) if p == s or p.startswith(s + ">")), "")
     whole = vectors.get(max(vectors, key=lambda v: (max(t[4] for t in tags if t[2] == v), len(vectors[v])), default=0), [])
@@ -251,30 +262,33 @@ def deduce(n: int, tokens: list[tuple[str, int, int, int, int, int]]) -> tuple[l
     roots = [p for p in named if not any(p.startswith(q + ">") for q in named)]
     if not roots:
         text = {t[0]: t[5] for t in tags if label(t[0]) in CONTAINERS and t[3] == t[4] and not bad(t[0])}
-        for path, _, _, _, _, chars in constants:
+        for path, _, vector, _, _, chars in constants:
             for s in text:
-                if path == s or path.startswith(s + ">"):
+                if vector == of[s] and (path == s or path.startswith(s + ">")):
                     text[s] -= chars
         at, left = "", max(text.values(), default=0)
         while inner := [p for p in text if p.startswith(at + ">") and text[p] >= DOMINANT * max(left, 1)]:
             at = min(inner, key=len)
             left = text[at]
         roots = [at] if at else []
-    return roots, sorted({t[1] for t in constants}), classes
+    root = {t[0]: below(t[0], roots) for t in constants}
+    return roots, sorted({t[1] for t in constants if not root[t[0]] or t[2] == of[root[t[0]]]}), classes
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, roots, constants, classes) of each host with ``SUPPORT`` pages: content roots, template texts and nested classes."""
     # Sums modulo 2**64: the halves are summed apart, which cannot overflow, and put together.
     half = 0xFFFFFFFF
+    tokens, repeated = _tokens(pages)
     summed = (
-        _tokens(pages)
+        tokens
         .groupBy("host", "path", "constant")
-        .agg(F.sum(F.shiftrightunsigned("weight", 32)).alias("high"), F.sum(F.col("weight").bitwiseAND(half)).alias("low"), *(F.sum(c).alias(c) for c in ("count", "hits", "chars")))
+        .agg(F.sum(F.shiftrightunsigned("weight", 32)).alias("high"), F.sum(F.col("weight").bitwiseAND(half)).alias("low"), *(F.round(F.sum(c)).cast("long").alias(c) for c in ("count", "hits", "chars")))
         .withColumn("vector", F.shiftleft((F.col("high") + F.shiftright("low", 32)).bitwiseAND(half), 32).bitwiseOR(F.col("low").bitwiseAND(half)))
         .drop("high", "low")
     )
     summed = materialize(summed, "tokens")
+    discard(repeated)
     totals = summed.where("path = ''").where(F.col("hits") >= SUPPORT).select("host", F.col("hits").alias("pages"))
     salted = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = summed.where("path != ''").withColumn("salt", F.pmod(F.xxhash64("path", "constant"), F.lit(SALTS)).cast("int"))

@@ -89,8 +89,32 @@ def test_text_in_named_elements_only_is_kept():
     assert main_text("<p>buy <span class='ad'>now</span> here</p>", set(), set()) == "buy here"
 
 
+def test_repeated_pages_keep_their_text(spark):
+    """Equal rows, equal html under three addresses, one story on 3 of 5 pages, pages that differ in nothing but a comment."""
+    foot = "<div class='end'>About us</div>"
+    story = f"<article><h1>Agency</h1><p>The same story {WORDS}</p><p>Its end</p></article>{foot}"
+    whole = f"Agency\n\nThe same story {WORDS.strip()}\n\nIts end"
+    row = (1, "http://a.example/x", f"<html><body>{story}</body></html>")
+    got = extract(spark.createDataFrame([row] * 3 + [(i, f"http://b.example/x?utm={i}", row[2]) for i in range(3)], "page_id long, url string, html string")).collect()
+    assert len(got) == 6 and {x.text for x in got} == {whole}
+    own = [f"<article><h1>T{i}</h1><p>body {i}</p></article>{foot}" for i in range(2)]
+    assert texts(spark, [story + f"<!-- {i} -->" for i in range(3)] + own) == {0: whole, 1: whole, 2: whole, 3: "T0\n\nbody 0", 4: "T1\n\nbody 1"}
+    assert texts(spark, [f"<!-- {i} -->{story}" for i in range(4)]) == {i: whole for i in range(4)}
+    assert texts(spark, [story] * 4 + own + [own[0]] * 3) == {**{i: whole for i in range(4)}, 4: "T0\n\nbody 0", 5: "T1\n\nbody 1", **{i: "T0\n\nbody 0" for i in (6, 7, 8)}}
+
+
+def test_copies_count_once_in_both_joins(spark, monkeypatch):
+    """Many copies of one page do not outvote the others, with the copies' table sent and shuffled."""
+    bodies = [f"<article><h1>T{i}</h1><p>body {i}</p><p class='legal'>Rights reserved</p></article>" for i in range(4)] + ["<p>Error"] * 30
+    want = {**{i: f"T{i}\n\nbody {i}" for i in range(4)}, **{i: "Error" for i in range(4, 34)}}
+    assert texts(spark, bodies) == want
+    monkeypatch.setattr("spanforge.llm.html_extract.BROADCAST_BYTES", -1)
+    assert texts(spark, bodies) == want
+
+
 def brute_force(pages):
-    """Roots and constants of a host from whole occurrence vectors."""
+    """Roots and constants of a host from whole occurrence vectors over its different pages."""
+    pages = list(dict.fromkeys(pages))
     vectors, chars = {}, Counter()
     for i, page in enumerate(pages):
         opened = []
@@ -115,7 +139,8 @@ def test_sketches_give_the_classes_of_whole_vectors(spark):
         pages = []
         for i in range(r.randint(3, 9)):
             parts = [f"<p>t{r.randint(0, 3)}</p>" if r.random() < 0.5 else f"<div class='k{'ab'[r.randint(0, 1)]}'>w{r.randint(0, 2)} <b>z</b></div>" for _ in range(r.randint(1, 6))]
-            pages.append(f"<html><body><div class='m'>{''.join(parts)}</div>" + ("<section>fixed</section>" if r.random() < 0.8 else ""))
+            pages.append(f"<html><body><div class='m'>{''.join(parts)}</div>" + ("<section>fixed</section>" if r.random() < 0.8 else "") + f"<!-- {i} -->")
+        pages += pages[:1] * r.randint(0, 5)
         df = spark.createDataFrame([(i, "u", p, "h") for i, p in enumerate(pages)], "page_id long, url string, html string, host string")
         (got,) = templates(df).collect()
         roots, constants, classes = brute_force(pages)
