@@ -214,17 +214,22 @@ def no_data(entries: DataFrame, window_ms: int, now: datetime) -> DataFrame:
 def zscore(entries: DataFrame, bucket_ms: int, threshold: float, now: datetime) -> DataFrame:
     """breached, value, expected: the latest bucket against the mean and deviation of all before, empty ones too.
 
-    Empty buckets need no rows: sums over the filled ones and the number of the oldest give both moments.
+    Empty buckets need no rows: moments of the filled ones and the number of the oldest give those of all.
     """
     if bucket_ms <= 0:
         return entries.sparkSession.createDataFrame([(False, 0.0, 0.0)], "breached boolean, value double, expected double")
     age = F.lit(int(now.timestamp() * 1000)) - F.unix_millis("observed_at")
-    counts = entries.groupBy(F.greatest(F.expr("0L"), F.floor(age / bucket_ms)).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("c"))
-    old = F.col("b") > 0
-    total = lambda x: F.coalesce(F.sum(F.when(old, x)), F.lit(0.0))
-    row = counts.agg(F.coalesce(F.sum(F.when(~old, F.col("c"))), F.lit(0.0)).alias("value"), F.coalesce(F.max("b"), F.lit(0)).alias("n"), total(F.col("c")).alias("s"), total(F.col("c") * F.col("c")).alias("q"))
-    mean = F.col("s") / F.col("n")
-    spread = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
+    return zscore_of(entries.groupBy(F.greatest(F.expr("0L"), F.floor(age / bucket_ms)).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("c")), threshold)
+
+
+def zscore_of(counts: DataFrame, threshold: float) -> DataFrame:
+    """The same of counts ``c`` by bucket ``b``, 0 being the latest."""
+    c = F.when(F.col("b") > 0, F.col("c"))
+    row = counts.agg(F.coalesce(F.sum(F.when(F.col("b") == 0, F.col("c"))), F.lit(0.0)).alias("value"), F.coalesce(F.max("b"), F.lit(0)).alias("n"), F.count(c).alias("m"), F.coalesce(F.avg(c), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(c), F.lit(0.0)).alias("var"))
+    # Moments about the mean of the filled buckets, merged with those of the n - m empty ones: no large squares cancel.
+    share = F.col("m") / F.col("n")
+    mean = F.col("mean") * share
+    spread = F.sqrt(F.col("var") * share + F.col("mean") * F.col("mean") * share * (1 - share))
     expected = F.when(F.col("n") < 2, F.col("value")).otherwise(mean + threshold * spread)
     return row.select((F.col("value") > expected).alias("breached"), "value", expected.alias("expected"))
 

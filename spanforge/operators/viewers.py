@@ -8,16 +8,18 @@ from __future__ import annotations
 
 import functools
 import operator
-import re
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import attribute_text, bucket_start
 from ..schema import RESOURCES
+from . import patterns
 from .selection import at_ranks
 
 SIGNAL_BITS = {"traces": 1, "metrics": 2, "logs": 4}
@@ -76,29 +78,25 @@ class Viewer:
 def _test(name: str, op: str, value: str) -> Column:
     x = F.col(FIELDS[name])
     if op == "regex":
-        found = x.rlike("(?iuU)" + engine_pattern(value))
+        found = patterns.found(x, value)
     else:
         found = F.lower(x) == value.lower() if op == "eq" else F.lower(x).contains(value.lower())
     return F.coalesce(found, F.lit(False))
 
 
-def engine_pattern(pattern: str) -> str:
-    """The pattern for the engine that runs it: names of groups, which nothing reads, are left out."""
-    return re.sub(r"(?<!\\)((?:\\\\)*)\(\?P?<(?![=!])[^>]*>", r"\1(", pattern)
-
-
 def check_pattern(pattern: str) -> None:
-    """By the engine that will run it where a session is there, else by the one at hand."""
+    """By the dialect's rules, then by the engine that will run it, where a session is there."""
     from pyspark.errors import PySparkException
     from pyspark.sql import SparkSession
 
-    session = SparkSession.getActiveSession()
     try:
-        if session is None:
-            re.compile(pattern)
-        else:
-            session.sparkContext._jvm.java.util.regex.Pattern.compile("(?iuU)" + engine_pattern(pattern))
-    except re.error as e:
+        made = patterns.read(pattern)
+        session = SparkSession.getActiveSession()
+        if made.nested:
+            pc.match_substring_regex(pa.array([""]), made.linear)
+        elif session is not None:
+            session.sparkContext._jvm.java.util.regex.Pattern.compile(made.java)
+    except (patterns.PatternError, pa.ArrowInvalid) as e:
         raise ViewerError("InvalidFilterRegex", e) from None
     except (Py4JJavaError, PySparkException) as e:
         raise ViewerError("InvalidFilterRegex", str(e).splitlines()[0]) from None
@@ -148,9 +146,6 @@ def compile_viewer(definition: dict) -> Viewer:
         if text["op"] not in ("eq", "contains", "regex"):
             raise ViewerError("InvalidFilterOp", text["op"])
         if text["op"] == "regex":
-            # Patterns are linear-time ones: no look-around, no back references.
-            if re.search(r"\(\?(?:[=!]|<[=!])|\\[1-9]", text["value"]):
-                raise ViewerError("InvalidFilterRegex", text["value"])
             check_pattern(text["value"])
         filters.append((text["field"], text["op"], text["value"]))
     mode = body.get("filter_mode", "and")

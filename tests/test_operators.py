@@ -240,9 +240,9 @@ def test_waterfall_query_covers_all_traces(spark):
 
 
 def test_patterns_for_the_engine(spark):
-    from spanforge.operators import viewers
+    from spanforge.operators import patterns, viewers
 
-    assert viewers.engine_pattern(r"(?P<n>x+)(?<m>y)\(?P<z>(?<=a)") == r"(x+)(y)\(?P<z>(?<=a)"
+    assert patterns.read(r"(?P<n>x+)(?<m>y)\(?P<z>").java == r"(?iuU)(x+)(y)\(?P<z>"
     v = viewers.compile_viewer({"id": "v", "signal_mask": 7, "lookback_ms": 1000, "definition_json": {"filters": [{"field": "payload", "op": "regex", "value": "(?P<n>x+)y"}]}})
     df = spark.createDataFrame([("logs", "XXY"), ("logs", "y")], "signal string, payload_text string")
     assert [r.payload_text for r in df.where(v.predicate()).collect()] == ["XXY"]
