@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import attribute_text, bucket_start
 from ..schema import RESOURCES
-from . import patterns
+from . import dispatch, patterns
 from .selection import at_ranks
 
 SIGNAL_BITS = {"traces": 1, "metrics": 2, "logs": 4}
@@ -28,6 +28,8 @@ FUNCTIONS = ("count", "sum", "avg", "p50", "p95", "p99", "rate")
 GROUP_KEYS = ("service_name", "k8s.node.name", "k8s.cluster.name", "k8s.namespace.name", "k8s.pod.name", "host.name")
 CHARTS = ("table", "stacked_bar", "line", "area", "pie", "donut", "billboard", "timeseries")
 UNKNOWN = "unknown"
+#: Viewers up to which each is a condition of its own; beyond some hundred, generated code gets too large to be compiled.
+FEW_VIEWERS = 64
 
 
 class ViewerError(ValueError):
@@ -183,7 +185,12 @@ def matching(viewer: Viewer, entries: DataFrame, now: datetime) -> DataFrame:
 
 
 def fan_out(viewers: list[Viewer], entries: DataFrame, now: datetime | None = None) -> DataFrame:
-    """Each entry once for every viewer that it meets, within its look-back where ``now`` is given, in one pass: adds ``viewer_id``."""
+    """Each entry once for every viewer that it meets, within its look-back where ``now`` is given, in one pass: adds ``viewer_id``.
+
+    A few viewers are conditions in generated code; many are looked up by one automaton.
+    """
+    if len(viewers) > FEW_VIEWERS:
+        return dispatch.fan_out(viewers, entries, FIELDS, now)
     meets = lambda v: v.predicate() if now is None else v.predicate() & (F.col("observed_at") > F.lit(now - timedelta(milliseconds=v.lookback_ms)))
     ids = F.array_compact(F.array(*(F.when(meets(v), F.lit(v.id)) for v in viewers)))
     return entries.withColumn("viewer_id", F.explode(ids))

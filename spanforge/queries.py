@@ -194,6 +194,21 @@ def v_fan_out(spark, sf_dir):
     return v.fan_out(_FAN, a.entries(spark, sf_dir)).groupBy("viewer_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+_MANY = [
+    v.compile_viewer({"id": f"{kind}-{n}", "signal_mask": mask, "lookback_ms": 20 * DAY, "definition_json": {"filter_mode": mode, "filters": [{"field": "payload", "op": "contains", "value": f"K={n}"}, {"field": "service_name", "op": op, "value": f"Svc-{n % 9}"}]}})
+    for kind, mask, mode, op in (("both", 4, "and", "contains"), ("one", 7, "or", "eq"))
+    for n in range(100)
+]
+
+
+@query(f"""WITH {ENTRIES}, live AS (SELECT * FROM entries WHERE ms > {NOW_MS} - {20 * DAY}), n AS (SELECT unnest(range(100)) AS n)
+SELECT 'both-' || n AS viewer_id, count(*) AS n FROM live, n WHERE signal = 'logs' AND contains(lower(payload_text), 'k=' || n) AND contains(service_name, 'svc-' || (n % 9)) GROUP BY ALL
+UNION ALL SELECT 'one-' || n, count(*) FROM live, n WHERE contains(lower(payload_text), 'k=' || n) OR service_name = 'svc-' || (n % 9) GROUP BY ALL""")
+def v_fan_out_many(spark, sf_dir):
+    """Two hundred viewers in one pass of an automaton."""
+    return v.fan_out(_MANY, a.entries(spark, sf_dir), a.NOW).groupBy("viewer_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- streams: the state that is left once the newest entry has taken back what its look-back leaves out ---
 
 

@@ -171,7 +171,8 @@ class Deltas:
             self.was_read += [f"entries/batch={b}" for b in numbers]
             first = (now - timedelta(milliseconds=max(v.lookback_ms for v in group), days=1)).date()
             met = viewers.fan_out(group, self.entries(numbers, first), now)
-            met = met.withColumn("viewer_key", F.coalesce(*(F.when(F.col("viewer_id") == v.id, F.lit(keys[v.id])) for v in group)))
+            named = self.spark.createDataFrame([(v.id, keys[v.id]) for v in group], "viewer_id string, viewer_key string")
+            met = met.join(F.broadcast(named), "viewer_id")  # a short row for each definition that the driver holds
             found = met if found is None else found.unionByName(met)
         return found
 
