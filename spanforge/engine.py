@@ -12,6 +12,7 @@ prunes days; bounds on scanned rows are off unless asked for.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 from functools import cached_property
 
@@ -22,7 +23,7 @@ from .catalog import Catalog, CatalogError
 from .operators import insight, preview, traces, viewers
 from .plans import dialect
 from .schema import RAW_ENTRY
-from .sources import landing, otlp
+from .sources import calls, landing, otlp
 
 MINUTE = 60_000
 APM_LOOKBACK_MS = 5 * MINUTE
@@ -58,20 +59,33 @@ class Engine:
         ``key`` names the batch: one that was taken already is not taken again.
         """
         taken = otlp.normalize(requests)
+        self._land(taken.where("status = 200").select("signal", "payload"), now, key, otlp.name_services, self._tables)
+        return taken.select("signal", "status")
+
+    def ingest_calls(self, requests: DataFrame, now: datetime | None = None, key: str | None = None) -> DataFrame:
+        """The same for remote calls (path, content_type, content_encoding, body): gives the code of each."""
+        taken = calls.normalize(requests)
+
+        def tables(bodies: DataFrame) -> dict[str, DataFrame]:
+            return {name: df.where(F.lit(name not in ("rollups", "attributes"))) for name, df in self._tables(bodies).items()}
+
+        self._land(taken.where(F.col("code") == calls.OK).select("signal", "payload", "transport"), now, key, calls.name_services, tables)
+        return taken.select("signal", "transport", "code")
+
+    def _land(self, good: DataFrame, now: datetime | None, key: str | None, named: Callable, tables: Callable) -> None:
         at = now or datetime.now(timezone.utc)
         batch = self.log.reserve(int(at.timestamp() * 1000), key)
         if not batch.committed:
-            good = taken.where("status = 200").select("signal", F.lit(at).cast("timestamp").alias("observed_at"), F.lit(None).cast("string").alias("service_name"), "payload")
+            good = good.select(F.lit(at).cast("timestamp").alias("observed_at"), F.lit(None).cast("string").alias("service_name"), *good.columns)
             rows = landing.with_ids(good, batch).withColumn("entry_id", F.xxhash64("signal", "stream_ms", "stream_seq", "payload"))
-            bodies = otlp.name_services(otlp.parse(otlp.decode_bodies(rows))).persist()
+            bodies = named(otlp.parse(otlp.decode_bodies(rows))).persist()
             try:
-                for name, df in self._tables(bodies).items():
+                for name, df in tables(bodies).items():
                     df.write.mode("overwrite").partitionBy(*BY.get(name, ("day",))).parquet(f"{self.root}/{name}/batch={batch.number}")
             finally:
                 bodies.unpersist()
             self.log.commit(batch)
             self.__dict__.pop("_floors", None)
-        return taken.select("signal", "status")
 
     def _tables(self, bodies: DataFrame) -> dict[str, DataFrame]:
         daily = {name: made(bodies).withColumn("day", F.to_date("observed_at")) for name, made in DECODED.items()}

@@ -15,7 +15,7 @@ from .operators import traces as t
 from .operators import viewers as v
 from .oracle import ENTRIES, NOW_MS, SPANS, SUMMARIES
 from .plans import dialect
-from .sources import landing, otlp
+from .sources import calls, landing, otlp
 from .streaming import live
 
 DAY = 86_400_000
@@ -479,6 +479,23 @@ def o_records(spark, sf_dir):
     return otlp.log_records(_bodies(spark, sf_dir)).select("entry_id", F.col("resource_service_name").alias("service_name"), "severity_text", "severity_number", "body")
 
 
+@query(f"""WITH {ENTRIES}, c AS (SELECT *, entry_id % 10 AS n FROM entries WHERE signal = 'logs' AND entry_id % 2 = 0)
+SELECT entry_id, CASE n WHEN 0 THEN 'grpc' WHEN 2 THEN 'grpc-web' WHEN 4 THEN 'grpc-web-text' WHEN 6 THEN 'connect' ELSE 'grpc' END AS transport, CASE WHEN n = 8 THEN 13 ELSE 0 END AS code,
+  CASE WHEN n <> 8 THEN service_name END AS service_name, CASE WHEN n <> 8 THEN CASE WHEN k % 2 = 0 THEN 'ERROR ' ELSE '' END || {_SAID} END AS payload_text FROM c""")
+def o_calls(spark, sf_dir):
+    """Remote calls in all framings, one kind cut short."""
+    r, n, p = a.raw_entries(spark, sf_dir).where("signal = 'logs' AND entry_id % 2 = 0"), F.col("entry_id") % 10, F.col("payload")
+    frame = F.concat(F.unhex(F.lit("00")), F.unhex(F.lpad(F.hex(F.octet_length(p)), 8, "0")), p)
+    web = F.concat(frame, F.unhex(F.lit("8000000004")), F.lit("ok\r\n").cast("binary"))
+    body = F.when(n == 0, frame).when(n == 2, web).when(n == 4, F.base64(web).cast("binary")).when(n == 6, p).otherwise(F.substring(frame, 1, F.octet_length(frame) - 1))
+    kind = F.when(n == 2, "application/grpc-web+proto").when(n == 4, "application/grpc-web-text").when(n == 6, "application/proto").otherwise("application/grpc")
+    path = F.lit("/opentelemetry.proto.collector.logs.v1.LogsService/Export")
+    sent = r.select("entry_id", "stream_ms", "stream_seq", "observed_at", F.lit(None).cast("string").alias("service_name"), path.alias("path"), kind.alias("content_type"), F.lit(None).cast("string").alias("content_encoding"), body.alias("body"))
+    taken = calls.normalize(sent)
+    good = otlp.entries(calls.name_services(otlp.parse(otlp.decode_bodies(taken.where(F.col("code") == calls.OK).drop("body")))))
+    return taken.select("entry_id", "transport", "code").join(good.select("entry_id", "service_name", "payload_text"), "entry_id", "left")
+
+
 @query(f"""WITH {ENTRIES} SELECT DISTINCT key, value, signal, entry_id FROM (SELECT 'k8s.pod.name' AS key, pod AS value, signal, entry_id FROM entries UNION ALL SELECT 'host.name', host, signal, entry_id FROM entries
   UNION ALL SELECT 'k', CAST(k AS VARCHAR), signal, entry_id FROM entries WHERE signal <> 'metrics') WHERE value IS NOT NULL""")
 def o_attributes(spark, sf_dir):

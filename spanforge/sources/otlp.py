@@ -344,7 +344,7 @@ def _inner(p: Column, outer: str, middle: str, inner: str) -> Column:
 
 
 def entries(bodies: DataFrame) -> DataFrame:
-    """The row that dialect and viewers read, one a request."""
+    """The row that dialect and viewers read, one a request; a remote call (``transport``) has its service's name already."""
     keep = ["entry_id", "stream_ms", "stream_seq", "signal", "observed_at"]
     p = F.col("p")
     no_number = F.lit(None).cast("double")
@@ -352,7 +352,8 @@ def entries(bodies: DataFrame) -> DataFrame:
     start, end = (lambda s: nanos(s["startTimeUnixNano"])), (lambda s: nanos(s["endTimeUnixNano"]))
     good = F.filter(t, lambda s: (start(s) > 0) & (end(s) >= start(s)))
     lasted = F.array_max(F.transform(good, lambda s: ((end(s) - start(s)) / 1e6).cast("double")))
-    named = lambda outer: F.coalesce("service_name", service_name(p, outer)).alias("service_name")
+    settled = "transport" in bodies.columns
+    named = lambda outer: (F.col("service_name") if settled else F.coalesce("service_name", service_name(p, outer))).alias("service_name")
     none_m, none_r = F.lit(None).cast(METRICS).alias("metrics"), F.lit(None).cast(RESOURCES).alias("resources")
     traces = _parsed(bodies, "traces").select(*keep, named("resourceSpans"), lasted.alias("duration_ms"), _joined(F.transform(t, lambda s: s["name"])).alias("payload_text"), none_m, none_r)
     m = F.flatten(F.transform(p["resourceMetrics"], lambda r, i: F.transform(F.flatten(F.transform(F.filter(r["scopeMetrics"], lambda s: s["metrics"].isNotNull()), lambda s: s["metrics"])), lambda x: F.struct(x["name"].alias("name"), metric_value(x).alias("value"), i.alias("rs")))))
