@@ -34,6 +34,8 @@ IDS = {
     "landing": ("signal", "stream_ms", "stream_seq"), "entries": ("signal", "stream_ms", "stream_seq"), "spans": ("'traces'", "ord.ms", "ord.seq"),
     "points": ("'metrics'", "ord.ms", "ord.seq"), "records": ("'logs'", "ord.ms", "ord.seq"),
 }
+#: Signals that a table's rows come from, and whether they are its partitions.
+HOLDS = {"landing": (landing.SIGNALS, True), "entries": (landing.SIGNALS, True), "spans": (("traces",), False), "points": (("metrics",), False), "records": (("logs",), False)}
 #: What is written of each landed request.
 DECODED = {
     "entries": otlp.entries, "spans": otlp.spans, "points": otlp.metric_points, "records": otlp.log_records,
@@ -42,13 +44,13 @@ DECODED = {
 
 
 #: Partitions of tables below those of their batch, where it is not the day.
-BY = {"landing": landing.PARTITIONS, "rollups": ("signal", "resolution")}
+BY = {"landing": landing.PARTITIONS, "entries": landing.PARTITIONS, "rollups": ("signal", "resolution")}
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, catalog: Catalog | None = None, retention: int | None = None):
-        """``retention``: how many newest entries of each signal are kept; all if None."""
-        self.spark, self.root, self.catalog, self.retention = spark, root.rstrip("/"), catalog or Catalog(), retention
+    def __init__(self, spark: SparkSession, root: str, catalog: Catalog | None = None, retention: int | None = None, purge: bool = False):
+        """``retention``: how many newest entries of each signal are kept; all if None.  ``purge``: others are deleted, not only left out."""
+        self.spark, self.root, self.catalog, self.retention, self.purge = spark, root.rstrip("/"), catalog or Catalog(), retention, purge
         self.log = landing.Log(spark, self.root)
 
     # --- data ---
@@ -86,6 +88,8 @@ class Engine:
                 bodies.unpersist()
             self.log.commit(batch)
             self.__dict__.pop("_floors", None)
+            if self.retention and self.purge:
+                self._expire()
 
     def _tables(self, bodies: DataFrame) -> dict[str, DataFrame]:
         daily = {name: made(bodies).withColumn("day", F.to_date("observed_at")) for name, made in DECODED.items()}
@@ -103,10 +107,28 @@ class Engine:
     def _floors(self) -> dict[str, tuple[int, int]]:
         return landing.floors(self._stored("landing"), self.retention) if self.retention else {}
 
+    def _expire(self) -> None:
+        """Deletes batches of which retention had kept nothing at the ingest before, and notes what it keeps now.
+
+        Readers leave out the batches below the noted floor, so one that began since the last ingest loses no file.
+        """
+        for signal, floor in self.log.floors().items():
+            for name, (signals, apart) in HOLDS.items():
+                if signal in signals:
+                    self.log.delete_below(f"{self.root}/{name}", floor[1] >> 40, f"/signal={signal}" if apart else "")
+        # Batches below the floor of before hold no entry that counts, so they are not looked at again.
+        self.log.note_floors(landing.floors(self._stored("landing"), self.retention))
+
     def _stored(self, name: str) -> DataFrame:
         if not self.log.batches():
             return self.spark.createDataFrame([], self._schemas[name]).drop("batch")
-        return self.log.whole(self.spark.read.schema(self._schemas[name]).option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}"))
+        rows = self.spark.read.schema(self._schemas[name]).option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}")
+        if name in HOLDS and self.retention and self.purge:
+            signals, apart = HOLDS[name]
+            for signal, floor in self.log.floors().items():
+                if signal in signals:  # partitions, so what is left out is not opened
+                    rows = rows.where((F.col("batch") >= floor[1] >> 40) | (F.col("signal") != signal if apart else F.lit(False)))
+        return self.log.whole(rows)
 
     def table(self, name: str) -> DataFrame:
         """Rows of committed batches, of kept entries where they name one."""

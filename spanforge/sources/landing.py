@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..schema import RAW_ENTRY
 
 PARTITIONS = ("signal", "day")
+SIGNALS = ("traces", "metrics", "logs")
 
 
 def append(entries: DataFrame, path: str) -> None:
@@ -79,6 +80,37 @@ class Log:
         name = f"{self.root}/{batch.number:012d}.{batch.ms}.{batch.key}"
         self._fs.rename(self._path(f"{name}.open"), self._path(f"{name}.done"))
 
+    def floors(self) -> dict[str, tuple[int, int]]:
+        """By signal, the id of the oldest entry that retention kept at the last ingest."""
+        folder = self._path(f"{self.root}-floors")
+        found: dict[str, tuple[int, int]] = {}
+        for status in self._fs.listStatus(folder) if self._fs.exists(folder) else ():
+            signal, ms, seq = status.getPath().getName().split(".")
+            found[signal] = max(found.get(signal, (0, 0)), (int(ms), int(seq)))
+        return found
+
+    def note_floors(self, floors: dict[str, tuple[int, int]]) -> None:
+        """Floors only rise; the names of files say all, and what is below the highest is cleared."""
+        before = self.floors()
+        for signal, at in floors.items():
+            if at <= before.get(signal, (-1, -1)):
+                continue
+            self._fs.create(self._path(f"{self.root}-floors/{signal}.{at[0]}.{at[1]}"), True).close()
+            if signal in before:
+                old = before[signal]
+                self._fs.delete(self._path(f"{self.root}-floors/{signal}.{old[0]}.{old[1]}"), False)
+
+    def delete_below(self, table: str, number: int, part: str) -> None:
+        """Deletes what a table (or the part of it) holds of batches before ``number``, and batches that are then empty."""
+        path = self._path(table)
+        for status in self._fs.listStatus(path) if self._fs.exists(path) else ():
+            name = status.getPath().getName()
+            if name.startswith("batch=") and int(name[6:]) < number:
+                self._fs.delete(self._path(f"{table}/{name}{part}"), True)
+                left = self._path(f"{table}/{name}")
+                if part and not any(s.getPath().getName().startswith("signal=") for s in self._fs.listStatus(left)):
+                    self._fs.delete(left, True)
+
     def whole(self, df: DataFrame) -> DataFrame:
         """The rows of committed batches."""
         open_ = [b.number for b in self.batches() if not b.committed]
@@ -111,7 +143,7 @@ def parse_stream_id(text) -> tuple:
 def floors(entries: DataFrame, n: int) -> dict[str, tuple[int, int]]:
     """By signal, the id of the n-th newest entry, for signals that have as many; a top-n of ids, no window over all rows."""
     out = {}
-    for signal in ("traces", "metrics", "logs"):
+    for signal in SIGNALS:
         ids = entries.where(F.col("signal") == signal).select("stream_ms", "stream_seq")
         row = ids.orderBy(F.desc("stream_ms"), F.desc("stream_seq")).offset(n - 1).limit(1).first()
         if row is not None:
