@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.core import attribute_json, attribute_scalar, attribute_text, duration_ns, has_attribute
 from .selection import at_ranks
+from .tree import preorder
 
 ERROR = 2
 PEER_KEYS = ("peer.service", "server.address", "net.peer.name")
+WATERFALL = "trace_id string, position int, depth int, span_id string, parent_span_id string, name string, service_name string, start_ms double, duration_ms double, status_code int"
+#: Spans of a trace that one task may walk.
+WALKED = 50_000
 
 
 def _has(attrs: str, key: str, value: str | None) -> Column:
@@ -137,16 +141,16 @@ def _walk(batches):
         yield walked(held)
 
 
-def waterfall(spans: DataFrame, trace_id: str | None = None) -> DataFrame:
+def waterfall(spans: DataFrame, trace_id: str | None = None, walked: int = WALKED) -> DataFrame:
     """Spans of one trace, or of all, in display order.
 
-    A trace is a handful to a few thousand spans; parents may form cycles, which a recursive query would have to cut,
-    so the walk is done in Arrow batches, many sorted traces in each.
+    Traces of up to ``walked`` spans are walked in Arrow batches, many sorted traces in each; larger ones are placed by
+    ``tree.preorder``, whose rounds split them, but for those in which an id is not clear.
     """
     rows = spans.where(F.col("trace_id") == trace_id) if trace_id is not None else spans.where(F.coalesce("trace_id", F.lit("")) != "")
     flat = rows.select(
         "trace_id",
-        F.concat_ws("-", *(F.lpad(F.col(f"ord.{p}").cast("string"), 20, "0") for p in ("ms", "seq", "rs", "ss", "i"))).alias("arrival"),
+        "ord",
         F.coalesce("span_id", F.lit("")).alias("span_id"),
         F.coalesce("parent_span_id", F.lit("")).alias("parent_span_id"),
         "name",
@@ -155,8 +159,17 @@ def waterfall(spans: DataFrame, trace_id: str | None = None) -> DataFrame:
         (duration_ns(F.col("start_ns"), F.col("end_ns")) / 1e6).cast("double").alias("duration_ms"),
         F.coalesce("status_code", F.lit(0)).cast("int").alias("status_code"),
     )
-    schema = "trace_id string, position int, depth int, span_id string, parent_span_id string, name string, service_name string, start_ms double, duration_ms double, status_code int"
-    return flat.repartition("trace_id").sortWithinPartitions("trace_id", "arrival").mapInArrow(_walk, schema)
+    large = rows.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > walked).select("trace_id")
+    if large.isEmpty():
+        return _walked(flat)
+    placed, unclear = preorder(flat.join(large, "trace_id", "left_semi"))
+    rest = flat.join(large, "trace_id", "left_anti")
+    return placed.select(*(c.split()[0] for c in WATERFALL.split(", "))).unionByName(_walked(rest if unclear is None else rest.unionByName(unclear)))
+
+
+def _walked(rows: DataFrame) -> DataFrame:
+    arrived = rows.withColumn("ord", F.concat_ws("-", *(F.lpad(F.col(f"ord.{p}").cast("string"), 20, "0") for p in ("ms", "seq", "rs", "ss", "i"))))
+    return arrived.repartition("trace_id").sortWithinPartitions("trace_id", "ord").mapInArrow(_walk, WATERFALL)
 
 
 def _recent(spans: DataFrame, now: datetime | None, lookback_ms: int) -> DataFrame:
