@@ -67,7 +67,7 @@ def metric_rows(bodies: DataFrame, query: str | None = None) -> DataFrame:
     x = _exploded(_parsed(bodies, "metrics", SHOWN_METRICS), "resourceMetrics", "scopeMetrics", "metrics").where("x.name IS NOT NULL")
     if query:
         x = x.where(F.lower("x.name").contains(query.lower()))
-    service = attribute_text(_attrs("r.resource.attributes"), "service.name")
+    service = attribute_text(_attrs("resource"), "service.name")
     return x.select("entry_id", "ord", "observed_at", service.alias("service_name"), F.col("x.name").alias("metric_name"), shown_value(F.col("x")).try_cast("double").alias("metric_value"))
 
 

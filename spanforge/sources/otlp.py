@@ -253,10 +253,17 @@ def _parsed(entries: DataFrame, signal: str, shape: str | None = None) -> DataFr
 
 
 def _exploded(df: DataFrame, outer: str, middle: str, inner: str) -> DataFrame:
-    """Rows of the innermost parts with their place: resource ``r``, part ``x``, ``ord``."""
-    a = df.select("*", F.posexplode(f"p.{outer}").alias("rs", "r"))
-    b = a.select("*", F.posexplode(f"r.{middle}").alias("ss", "s"))
-    c = b.select("*", F.posexplode(f"s.{inner}").alias("i", "x"))
+    """Rows of the innermost parts with their place: part ``x``, its resource's attributes ``resource``, ``ord``.
+
+    Rows carry nothing else of the body: with the part that they come from in each of them, a body's rows would take the
+    square of its size.
+    """
+    keep = [c for c in ("entry_id", "signal", "observed_at", "service_name", "stream_ms", "stream_seq") if c in df.columns]
+    a = df.select(*keep, F.posexplode(f"p.{outer}").alias("rs", "r"))
+    a = a.select(*keep, "rs", F.col("r.resource.attributes").alias("resource"), F.col(f"r.{middle}").alias("inside"))
+    b = a.select(*keep, "rs", "resource", F.posexplode("inside").alias("ss", "s"))
+    b = b.select(*keep, "rs", "ss", "resource", F.col(f"s.{inner}").alias("inside"))
+    c = b.select(*keep, "rs", "ss", "resource", F.posexplode("inside").alias("i", "x"))
     return c.withColumn("ord", F.struct(F.col("stream_ms").alias("ms"), F.col("stream_seq").alias("seq"), "rs", "ss", "i"))
 
 
@@ -267,11 +274,11 @@ def _attrs(path: str) -> Column:
 def spans(bodies: DataFrame) -> DataFrame:
     x = _exploded(_parsed(bodies, "traces"), "resourceSpans", "scopeSpans", "spans").where("x IS NOT NULL")
     return x.select(
-        "entry_id", "ord", "observed_at", F.col("service_name").alias("entry_service_name"), attribute_text(_attrs("r.resource.attributes"), "service.name").alias("resource_service_name"),
+        "entry_id", "ord", "observed_at", F.col("service_name").alias("entry_service_name"), attribute_text(_attrs("resource"), "service.name").alias("resource_service_name"),
         F.coalesce("x.traceId", F.lit("")).alias("trace_id"), F.coalesce("x.spanId", F.lit("")).alias("span_id"), F.coalesce("x.parentSpanId", F.lit("")).alias("parent_span_id"), F.coalesce("x.name", F.lit("")).alias("name"),
         F.col("x.kind").try_cast("int").alias("kind"), nanos(F.col("x.startTimeUnixNano")).alias("start_ns"), nanos(F.col("x.endTimeUnixNano")).alias("end_ns"),
         F.coalesce(F.col("x.status.code").try_cast("int"), F.lit(0)).alias("status_code"), F.col("x.status.message").alias("status_message"),
-        _attrs("r.resource.attributes").alias("resource_attrs"), _attrs("x.attributes").alias("attrs"), F.col("x.events").alias("events"),
+        _attrs("resource").alias("resource_attrs"), _attrs("x.attributes").alias("attrs"), F.col("x.events").alias("events"),
     )
 
 
@@ -296,7 +303,7 @@ def metric_points(bodies: DataFrame) -> DataFrame:
         return F.coalesce(shaped, F.array())
 
     points = F.flatten(F.array(*map(of, KINDS)))
-    y = x.select("entry_id", "ord", "observed_at", F.col("service_name").alias("entry_service_name"), _attrs("r.resource.attributes").alias("resource_attrs"), F.col("x.name").alias("metric_name"), F.posexplode(points).alias("point_idx", "pt"))
+    y = x.select("entry_id", "ord", "observed_at", F.col("service_name").alias("entry_service_name"), _attrs("resource").alias("resource_attrs"), F.col("x.name").alias("metric_name"), F.posexplode(points).alias("point_idx", "pt"))
     return y.select("entry_id", "ord", "observed_at", "entry_service_name", "resource_attrs", "metric_name", "pt.kind", "point_idx", "pt.value", F.col("pt.attributes").alias("attrs"))
 
 
@@ -309,7 +316,7 @@ def body_text(raw: Column) -> Column:
 def log_records(bodies: DataFrame) -> DataFrame:
     x = _exploded(_parsed(bodies, "logs"), "resourceLogs", "scopeLogs", "logRecords").where("x IS NOT NULL")
     return x.select(
-        "entry_id", "ord", "observed_at", F.col("service_name").alias("entry_service_name"), attribute_text(_attrs("r.resource.attributes"), "service.name").alias("resource_service_name"),
+        "entry_id", "ord", "observed_at", F.col("service_name").alias("entry_service_name"), attribute_text(_attrs("resource"), "service.name").alias("resource_service_name"),
         F.col("x.severityText").alias("severity_text"), F.col("x.severityNumber").try_cast("int").alias("severity_number"), body_text(F.col("x.body")).alias("body"), _attrs("x.attributes").alias("attrs"),
     )
 
@@ -368,7 +375,7 @@ def entries(bodies: DataFrame) -> DataFrame:
 def indexable_attributes(bodies: DataFrame) -> list[DataFrame]:
     """Sources for the attribute index: resource and own attributes of spans, data points and records."""
     s, m, g = spans(bodies), metric_points(bodies), log_records(bodies)
-    resource = _exploded(_parsed(bodies, "logs"), "resourceLogs", "scopeLogs", "logRecords").select("entry_id", "observed_at", _attrs("r.resource.attributes").alias("attributes"))
+    resource = _exploded(_parsed(bodies, "logs"), "resourceLogs", "scopeLogs", "logRecords").select("entry_id", "observed_at", _attrs("resource").alias("attributes"))
     row = lambda df, signal, attrs: df.select(F.lit(signal).alias("signal"), "entry_id", "observed_at", attrs.alias("attributes"))
     return [
         row(s, "traces", F.concat("resource_attrs", "attrs")),
