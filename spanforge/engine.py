@@ -45,6 +45,10 @@ DECODED = {
 
 #: Partitions of tables below those of their batch, where it is not the day.
 BY = {"landing": landing.PARTITIONS, "entries": landing.PARTITIONS, "rollups": ("signal", "resolution")}
+#: Order of rows in the files of tables that are looked into by a value, so that statistics leave row groups and pages out.
+SORTED = {"spans": ("trace_id", "start_ns"), "attributes": ("key", "value")}
+#: Columns of theirs with Bloom filters (or dictionaries, where those hold all values), sized to the values that come.
+BLOOM = {"spans": ("trace_id",), "attributes": ("value",)}
 
 
 class Engine:
@@ -83,7 +87,11 @@ class Engine:
             bodies = named(otlp.parse(otlp.decode_bodies(rows))).persist()
             try:
                 for name, df in tables(bodies).items():
-                    df.write.mode("overwrite").partitionBy(*BY.get(name, ("day",))).parquet(f"{self.root}/{name}/batch={batch.number}")
+                    by = BY.get(name, ("day",))
+                    if name in SORTED:
+                        df = df.sortWithinPartitions(*by, *SORTED[name])
+                    filters = {"parquet.bloom.filter.adaptive.enabled": "true"} | {f"parquet.bloom.filter.enabled#{c}": "true" for c in BLOOM[name]} if name in BLOOM else {}
+                    df.write.mode("overwrite").partitionBy(*by).options(**filters).parquet(f"{self.root}/{name}/batch={batch.number}")
             finally:
                 bodies.unpersist()
             self.log.commit(batch)
