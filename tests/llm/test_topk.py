@@ -82,3 +82,44 @@ def test_long_vectors_leave_the_driver_small(spark, monkeypatch):
     assert sorted(tuple(r) for r in got) == sorted(want)
     first, _ = held[0]
     assert 0 < sum(v.nbytes for _, v in first.values()) <= 8 << 19
+
+
+def test_cells_of_bounded_size_give_the_same(spark, monkeypatch):
+    """Many small cells, many equal vectors: each candidate is in one cell, a query meets all."""
+    from spanforge.llm import topk
+
+    monkeypatch.setattr(topk, "CELL_VALUES", 200)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    r = random.Random(8)
+    rows = [(i, [r.gauss(0, 0.3) for _ in range(8)]) for i in range(300)]
+    rows += [(300 + i, rows[5][1] if i % 3 else [4.0] * 8) for i in range(90)] + [(1000, [1.0, 2.0]), (1010, [0.5, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(tuple(x) for x in top_k(df, F.col("vec_id") % 10 == 0).collect()) == brute(rows, lambda i: i % 10 == 0, 5)
+
+
+def test_no_row_between_spark_and_python_grows_with_the_tables(spark, monkeypatch):
+    """A row that went to the search held a block of queries, one of candidates and its pivot table, 1.1 MB, up to 1,000 of them in a batch."""
+    from spanforge.llm import topk
+
+    seen = []
+    blocks = topk._blocks
+    monkeypatch.setattr(topk, "_blocks", blocks)
+    df = spark.range(0, 5000).select(F.col("id").alias("vec_id"), F.expr("transform(sequence(0, 63), j -> float(pmod(xxhash64(id, j), 512)) / 512 - 0.5)").alias("embedding"))
+    lean = topk.lean
+
+    def watched(run):
+        if run.__name__ != "search":
+            return lean(run)
+
+        def sizes(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([max(sum(c.slice(i, 1).nbytes for c in b.columns) for i in range(b.num_rows))]), pa.array([0])], ["query_id", "vec_id", "score"])
+
+        return lean(sizes)
+
+    monkeypatch.setattr(topk, "lean", watched)
+    seen = top_k(df, F.col("vec_id") % 2 == 0).collect()
+    assert seen and max(r.query_id for r in seen) <= 2 * topk.BATCH_BYTES and max(r.vec_id for r in seen) <= 200_000
